@@ -8,8 +8,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from notelattice.operators.search import MIN_TERM_CHARS, idf, search_table, term_score
-from notelattice.operators.skew import salted_join
+from notelattice.operators.skew import hot_of_counts, salted_join
+from notelattice.functions.stage import staged
 from notelattice.schema import DEFAULT_SEARCH_LIMIT, SEARCH_COLUMNS, SEARCH_WEIGHTS
+from notelattice.session import cut_lineage
 
 # Every position yields the three characters that start there; one pass over the text.
 TRIGRAMS = r"(?s)(?=(...))."
@@ -58,7 +60,8 @@ def batch_search(
     Each term is looked up by its rarest trigram, so text is only compared where that trigram occurs. A
     trigram, term or query that touches a large share of the pages is spread over salts, and the per-query
     top-k keeps at most ``limit`` rows per task before its shuffle. ``pages`` may be a stored
-    ``search_table``.
+    ``search_table``. What is used more than once (counts, probes, hits; never text) is written to the
+    shared checkpoint folder.
     """
     table = pages if "n_tokens" in pages.columns else search_table(pages)
     wanted = queries.select("query_id", F.explode(F.array_distinct(F.transform("terms", F.lower))).alias("term"))
@@ -67,14 +70,15 @@ def batch_search(
 
     spelled = terms.select("term", F.explode(F.array_distinct(trigrams(F.col("term")))).alias("trigram"))
     posted = postings(table).join(spelled.select("trigram").distinct(), "trigram", "left_semi")
-    counted = posted.groupBy("trigram").agg(F.count("*").alias("n_pages"))
+    counted = cut_lineage(posted.groupBy("trigram").agg(F.count("*").alias("n_pages")))
     # A trigram that no page holds counts zero: then the term has no hits at all.
-    probes = (
+    probes = cut_lineage(
         spelled.join(counted, "trigram", "left")
         .groupBy("term")
         .agg(F.min_by("trigram", F.struct(F.coalesce("n_pages", F.lit(0)), "trigram")).alias("trigram"))
     )
-    candidates = salted_join(posted, probes, "trigram", "inner").select("slug", "term")
+    hot = hot_of_counts(counted, "trigram", "n_pages")
+    candidates = salted_join(posted, probes, "trigram", "inner", hot).select("slug", "term")
 
     lows = [f"_low_{c}" for c in SEARCH_COLUMNS]
     compared = table.select("slug", "n_tokens", *lows).join(candidates, "slug")
@@ -82,15 +86,15 @@ def batch_search(
         lambda a, b: a + b,
         [F.lit(w) * F.regexp_count(F.col(c), _quoted(F.col("term"))) for c, w in zip(lows, weights, strict=True)],
     )
-    hits = compared.select("slug", "n_tokens", "term", freq.alias("freq")).where("freq > 0")
+    hits = cut_lineage(staged(compared, {"freq": freq}).select("slug", "n_tokens", "term", "freq").where("freq > 0"))
 
     stats = table.agg(
         F.struct(F.count("*").alias("n_pages"), F.avg("n_tokens").alias("mean_tokens"))
     ).scalar()
-    per_term = hits.groupBy("term").agg(F.count("*").alias("n_with"))
+    per_term = cut_lineage(hits.groupBy("term").agg(F.count("*").alias("n_with")))
     n_terms = wanted.groupBy("query_id").agg(F.count("*").alias("n_terms"))
     asked = wanted.join(per_term, "term").join(n_terms, "query_id")
-    scored = salted_join(hits, asked, "term", "inner").withColumn("_stats", stats)
+    scored = salted_join(hits, asked, "term", "inner", hot_of_counts(per_term, "term", "n_with")).withColumn("_stats", stats)
     weight = idf(F.col("_stats.n_pages"), F.col("n_with"))
     scored = scored.withColumn(
         "score", term_score(F.col("freq"), weight, F.col("n_tokens"), F.col("_stats.mean_tokens"))

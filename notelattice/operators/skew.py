@@ -14,7 +14,13 @@ def hot_keys(df: DataFrame, key: str) -> DataFrame:
 
     Counting combines before the shuffle; only the key column is read.
     """
-    counts = df.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("_hot")).agg(F.count("*").alias("_n"))
+    counts = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_n"))
+    return hot_of_counts(counts, key, "_n")
+
+
+def hot_of_counts(counts: DataFrame, key: str, n: str) -> DataFrame:
+    """``hot_keys`` where the rows per key are already counted."""
+    counts = counts.select(F.col(key).alias("_hot"), F.col(n).alias("_n"))
     total = counts.agg(F.sum("_n").alias("total")).scalar()
     return counts.where((F.col("_n") * HOT_SHARE > total) & (F.col("_n") > SALTS)).select("_hot")
 

@@ -29,10 +29,9 @@ def text_slug(doc_id: Column) -> Column:
     return F.concat(F.lit("wiki/"), (doc_id % 20).cast("string"), F.lit("/"), doc_id.cast("string"), bad)
 
 
-def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What search needs of the pages: no tags, so no join."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
-    quality = table(spark, sf_dir, "labels").select("doc_id", "quality")
-    d = docs.join(quality, "doc_id", "left")
     doc_id = F.col("doc_id")
     nothing = F.array().cast("array<string>")
     two = lambda n: F.lpad((n).cast("string"), 2, "0")
@@ -46,9 +45,6 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
         "slug": text_slug(doc_id),
         "title": F.when(doc_id % 17 == 0, F.lit(" ")).otherwise(trim_ws(F.substring_index("text", "\n", 1))),
         "page_type": F.element_at(F.array(*[F.lit(p) for p in PAGE_TYPES]), (doc_id % 6 + 1).cast("int")),
-        "tags": F.when(doc_id % 13 == 0, nothing).otherwise(
-            F.array_compact(F.array("lang", "source", F.when(F.col("quality") == 1, F.lit("quality"))))
-        ),
         "sources": F.when(doc_id % 5 == 0, nothing).otherwise(
             F.array(F.concat(F.lit("https://example.org/"), "source", F.lit("/"), doc_id.cast("string")))
         ),
@@ -62,16 +58,32 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.filter(F.array(F.lit(0), F.lit(1), F.lit(2)), lambda i: i < doc_id % 4), entry
         ),
     }
-    d = d.withColumns(columns)
-    d = d.withColumn("timeline_text", F.array_join(F.transform("timeline", lambda e: e["content"]), " "))
-    d = render_notes(d).withColumn("content_hash", content_hash(F.col("raw_content")))
+    d = docs.withColumns(columns)
     return d.withColumns(
         {
+            "timeline_text": F.array_join(F.transform("timeline", lambda e: e["content"]), " "),
             "vault": F.lit(""),
             "created_at": F.timestamp_seconds(F.lit(CREATED_BASE) + doc_id * 60),
             "updated_at": F.timestamp_seconds(F.lit(UPDATED_BASE) + doc_id * 3600),
         }
-    ).select("doc_id", "lang", "source", *PAGES.fieldNames())
+    ).drop("text")
+
+
+def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages with tags, not yet rendered to note text."""
+    quality = table(spark, sf_dir, "labels").select("doc_id", "quality")
+    tags = F.array_compact(F.array("lang", "source", F.when(F.col("quality") == 1, F.lit("quality"))))
+    tags = F.when(F.col("doc_id") % 13 == 0, F.array().cast("array<string>")).otherwise(tags)
+    return texts(spark, sf_dir).join(quality, "doc_id", "left").withColumn("tags", tags).drop("quality")
+
+
+def rendered_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rendered(pages(spark, sf_dir))
+
+
+def _rendered(p: DataFrame) -> DataFrame:
+    p = render_notes(p).withColumn("content_hash", content_hash(F.col("raw_content")))
+    return p.select("doc_id", "lang", "source", *PAGES.fieldNames())
 
 
 def _targets(spark: SparkSession, sf_dir: str) -> tuple[Column, Column, Column]:
@@ -122,7 +134,7 @@ def note_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     p = pages(spark, sf_dir)
     p = p.withColumn("compiled_truth", trim_ws(F.concat("compiled_truth", links_text)))
-    return render_notes(p).withColumn("content_hash", content_hash(F.col("raw_content")))
+    return _rendered(p)
 
 
 def notes(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,6 +19,7 @@ from notelattice.operators import sync as Y
 from notelattice.operators import timeline as TL
 from notelattice.operators.parse import page_links, parse_notes, unique_links
 from notelattice.plans import fixtures as fx
+from notelattice.session import cut_lineage
 from notelattice.sources import envelopes as V
 from notelattice.sources.notes import walk
 from notelattice.streaming import edits as stream_edits
@@ -39,7 +40,7 @@ def _hits(df: DataFrame) -> DataFrame:
 
 def _search(name: str, query: str, **options) -> None:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return _hits(S.search(fx.pages(spark, sf_dir), query, **options))
+        return _hits(S.search(fx.texts(spark, sf_dir), query, **options))
 
     run.__name__ = name
     register(run)
@@ -58,18 +59,18 @@ _search("search_phrase", "src1-note 0", limit=100)
 
 @register
 def search_unweighted(spark, sf_dir):
-    return S.search_slugs(fx.pages(spark, sf_dir), "tion OR keit")
+    return S.search_slugs(fx.texts(spark, sf_dir), "tion OR keit")
 
 
 @register
 def search_batch(spark, sf_dir):
-    hits = batch.batch_search(fx.pages(spark, sf_dir), fx.queries(spark, sf_dir), limit=10)
+    hits = batch.batch_search(fx.texts(spark, sf_dir), fx.queries(spark, sf_dir), limit=10)
     return hits.withColumn("rank", F.round("rank", 6))
 
 
 @register
 def trigram_postings(spark, sf_dir):
-    found = batch.trigram_postings(fx.pages(spark, sf_dir))
+    found = batch.trigram_postings(fx.texts(spark, sf_dir))
     return found.groupBy("trigram", "column").agg(
         F.count("*").alias("n_pages"), F.sum("tf").alias("n_occurrences")
     )
@@ -78,7 +79,7 @@ def trigram_postings(spark, sf_dir):
 @register
 def page_lookup(spark, sf_dir):
     cited = fx.links(spark, sf_dir).where("link_type = 'cites'").select(F.col("target_slug").alias("slug"))
-    return L.get_pages(fx.pages(spark, sf_dir), cited).select("slug", "title", "page_type", "content_hash")
+    return L.get_pages(fx.rendered_pages(spark, sf_dir), cited).select("slug", "title", "page_type", "content_hash")
 
 
 @register
@@ -188,7 +189,7 @@ def links_of_orphans(spark, sf_dir):
 
 @register
 def neighbors_out(spark, sf_dir):
-    return G.neighbors(fx.links(spark, sf_dir), "wiki/1/1", depth=6)
+    return G.neighbors(cut_lineage(fx.links(spark, sf_dir)), "wiki/1/1", depth=6)
 
 
 @register
@@ -198,7 +199,7 @@ def neighbors_in(spark, sf_dir):
 
 @register
 def neighbors_both(spark, sf_dir):
-    return G.neighbors(fx.links(spark, sf_dir), "wiki/1/1", depth=4, link_type="cites", direction="both")
+    return G.neighbors(cut_lineage(fx.links(spark, sf_dir)), "wiki/1/1", depth=4, link_type="cites", direction="both")
 
 
 @register
@@ -300,7 +301,7 @@ def timeline_entries(spark, sf_dir):
 
 @register
 def timeline_stats(spark, sf_dir):
-    return TL.timeline_stats(fx.pages(spark, sf_dir))
+    return TL.timeline_stats(fx.texts(spark, sf_dir))
 
 
 @register
@@ -366,7 +367,7 @@ def reindex(spark, sf_dir):
 
 @register
 def upsert_pages(spark, sf_dir):
-    pages = fx.pages(spark, sf_dir)
+    pages = fx.rendered_pages(spark, sf_dir)
     later = pages.where("lang = 'fr'").withColumns(
         {
             "title": F.upper("slug"),
