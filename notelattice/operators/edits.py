@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from notelattice.functions.body import render_page
 from notelattice.functions.frontmatter import json_object, json_string, merged_value, updates_error
+from notelattice.functions.stage import built_once, staged
 from notelattice.functions.text import content_hash, is_raw_path, normalize_slug, slug_error, slug_to_path
 from notelattice.operators.parse import page_links, parse_notes, unique_links
 from notelattice.operators.skew import hot_keys, salted_join
@@ -62,21 +63,24 @@ def _request_error() -> Column:
     )
 
 
-def check_edits(edits: DataFrame) -> DataFrame:
-    """Edits with normalised slug, ``request_error``, ``merge_error`` and ``create_error``."""
+@built_once
+def _check_columns() -> dict[str, Column]:
     title = json_string(json_object(F.col("frontmatter"))["title"])
     create_error = (
         F.when(F.col("frontmatter").isNull(), F.lit(MESSAGES["frontmatter"]))
         .when(title.isNull(), F.lit(MESSAGES["title"]))
         .when(title == "", F.lit(MESSAGES["blank_title"]))
     )
-    return edits.withColumn("slug", normalize_slug(F.col("slug"))).withColumns(
-        {
-            "request_error": _request_error(),
-            "merge_error": F.coalesce(slug_error(F.col("slug")), updates_error(F.col("frontmatter"))),
-            "create_error": create_error,
-        }
-    )
+    return {
+        "request_error": _request_error(),
+        "merge_error": F.coalesce(slug_error(F.col("slug")), updates_error(F.col("frontmatter"))),
+        "create_error": create_error,
+    }
+
+
+def check_edits(edits: DataFrame) -> DataFrame:
+    """Edits with normalised slug, ``request_error``, ``merge_error`` and ``create_error``."""
+    return edits.withColumn("slug", normalize_slug(F.col("slug"))).withColumns(_check_columns())
 
 
 def _decide(pending: DataFrame, pages: DataFrame) -> DataFrame:
@@ -117,8 +121,17 @@ def _decide(pending: DataFrame, pages: DataFrame) -> DataFrame:
 
 def _fold(applied: DataFrame, pages: DataFrame, as_of: Column) -> DataFrame:
     """Pages after the applied edits: last body, last value per given key, timeline in ``seq`` order."""
-    raw = json_object(F.col("frontmatter"))
-    given = {k: F.coalesce(F.map_contains_key(raw, k), F.lit(False)) for k in FRONTMATTER_KEYS}
+    given = staged(applied, {"_given": json_object(F.col("frontmatter"))})
+    changed = given.groupBy("slug").agg(*_fold_columns().values())
+    old = pages.select("slug", *FRONTMATTER_KEYS, "timeline", "created_at")
+    joined = staged(changed.join(old, "slug", "left"), _merge_columns())
+    rendered = joined.select("slug", "raw_content", F.coalesce("created_at", as_of).alias("created_at"))
+    # The stored page is what the written note says, so it is parsed again.
+    return parse_notes(rendered).withColumn("updated_at", as_of).select(*PAGE_COLUMNS)
+
+
+@built_once
+def _fold_columns() -> dict[str, Column]:
     entry = F.struct(
         "seq",
         F.col("as_of_date").alias("date"),
@@ -126,17 +139,21 @@ def _fold(applied: DataFrame, pages: DataFrame, as_of: Column) -> DataFrame:
         F.col("timeline_content").alias("content"),
         F.col("timeline_agent").alias("agent"),
     )
-    changed = applied.groupBy("slug").agg(
-        F.max_by("body", "seq").alias("_body"),
-        *[
-            F.max_by(F.struct(raw[k].alias("v")), F.when(given[k], F.col("seq"))).alias(f"_set_{k}")
-            for k in FRONTMATTER_KEYS
-        ],
+    last_set = {
+        f"_set_{k}": F.max_by(
+            F.struct(F.col("_given")[k].alias("v")), F.when(F.map_contains_key("_given", k), F.col("seq"))
+        ).alias(f"_set_{k}")
+        for k in FRONTMATTER_KEYS
+    }
+    return last_set | {
+        "_body": F.max_by("body", "seq").alias("_body"),
         # A page is one row, so its new entries meet here; the note text needs them all.
-        F.sort_array(F.collect_list(entry)).alias("_entries"),
-    )
-    old = pages.select("slug", *FRONTMATTER_KEYS, "timeline", "created_at")
-    joined = changed.join(old, "slug", "left")
+        "_entries": F.sort_array(F.collect_list(entry)).alias("_entries"),
+    }
+
+
+@built_once
+def _merge_columns() -> dict[str, Column]:
     defaults = {
         "title": F.lit(""),
         "page_type": F.lit(DEFAULT_PAGE_TYPE),
@@ -152,14 +169,9 @@ def _fold(applied: DataFrame, pages: DataFrame, as_of: Column) -> DataFrame:
     appended = F.transform(
         "_entries", lambda e: F.struct(*[e[f].alias(f) for f in ("date", "source_url", "content", "agent")])
     )
-    timeline = F.concat(F.coalesce("timeline", F.array().cast(old.schema["timeline"].dataType)), appended)
-    rendered = joined.select(
-        "slug",
-        render_page(F.col("_body"), timeline, values).alias("raw_content"),
-        F.coalesce("created_at", as_of).alias("created_at"),
-    )
-    # The stored page is what the written note says, so it is parsed again.
-    return parse_notes(rendered).withColumn("updated_at", as_of).select(*PAGE_COLUMNS)
+    no_timeline = F.array().cast(PAGES["timeline"].dataType)
+    timeline = F.concat(F.coalesce("timeline", no_timeline), appended)
+    return {"raw_content": render_page(F.col("_body"), timeline, values)}
 
 
 def apply_edits(pages: DataFrame, edits: DataFrame, as_of: Column) -> EditOutcome:

@@ -2,30 +2,47 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from notelattice.functions import body as B
 from notelattice.functions import frontmatter as FM
-from notelattice.functions.stage import staged
+from notelattice.functions.stage import built_once, staged
 from notelattice.functions.text import content_hash, slug_error
 from notelattice.functions.wikilinks import extract_links
 from notelattice.operators.skew import first_per_key
 from notelattice.schema import FRONTMATTER_KEYS, LINKS
 
 
-def parse_notes(notes: DataFrame) -> DataFrame:
-    """``notes(slug, raw_content, ...)`` to page columns plus ``parse_error`` (null for a good page).
+@built_once
+def _split_columns() -> dict[str, Column]:
+    yaml, text, error = FM.split_frontmatter(F.col("raw_content"))
+    return {"_yaml": yaml, "_body": text, "_split_error": error}
 
-    Purely row-wise: no shuffle.
-    """
-    yaml, text, split_error = FM.split_frontmatter(F.col("raw_content"))
-    parsed = staged(notes, {"_yaml": yaml, "_body": text, "_split_error": split_error})
-    parsed = staged(parsed, FM.decode_values(F.col("_yaml")))
-    parsed = staged(parsed, {"_decode_error": FM.decode_error(F.col("_yaml")), "_lines": B.body_lines(F.col("_body"))})
-    parsed = staged(parsed, {"_last": B.last_separator(F.col("_lines"))})
+
+@built_once
+def _value_columns() -> dict[str, Column]:
+    return FM.decode_values(F.col("_yaml"))
+
+
+@built_once
+def _line_columns() -> dict[str, Column]:
+    return {"_decode_error": FM.decode_error(F.col("_yaml")), "_lines": B.body_lines(F.col("_body"))}
+
+
+@built_once
+def _separator_columns() -> dict[str, Column]:
+    return {"_last": B.last_separator(F.col("_lines"))}
+
+
+@built_once
+def _body_columns() -> dict[str, Column]:
     truth, section = B.split_body(F.col("_body"), F.col("_lines"), F.col("_last"))
-    parsed = staged(parsed, {"compiled_truth": truth, "timeline": B.parse_timeline(section)})
+    return {"compiled_truth": truth, "timeline": B.parse_timeline(section)}
+
+
+@built_once
+def _page_columns() -> dict[str, Column]:
     error = F.coalesce(
         slug_error(F.col("slug")),
         F.concat(
@@ -35,25 +52,45 @@ def parse_notes(notes: DataFrame) -> DataFrame:
             F.coalesce("_split_error", "_decode_error"),
         ),
     )
-    return parsed.withColumns(
-        {
-            "timeline_text": B.timeline_text(F.col("timeline")),
-            "content_hash": content_hash(F.col("raw_content")),
-            "vault": F.lit(""),
-            "parse_error": error,
-        }
-    ).drop("_yaml", "_body", "_split_error", "_decode_error", "_lines", "_last", *FM.SCALAR_COLUMNS)
+    return {
+        "timeline_text": B.timeline_text(F.col("timeline")),
+        "content_hash": content_hash(F.col("raw_content")),
+        "vault": F.lit(""),
+        "parse_error": error,
+    }
+
+
+@built_once
+def _render_columns() -> dict[str, Column]:
+    text = B.render_page(F.col("compiled_truth"), F.col("timeline"), {k: F.col(k) for k in FRONTMATTER_KEYS})
+    return {"raw_content": text}
+
+
+@built_once
+def _link_columns() -> dict[str, Column]:
+    return {"_links": extract_links(F.col("compiled_truth"))}
+
+
+def parse_notes(notes: DataFrame) -> DataFrame:
+    """``notes(slug, raw_content, ...)`` to page columns plus ``parse_error`` (null for a good page).
+
+    Purely row-wise: no shuffle.
+    """
+    parsed = notes
+    for columns in (_split_columns, _value_columns, _line_columns, _separator_columns, _body_columns):
+        parsed = staged(parsed, columns())
+    scratch = ["_yaml", "_body", "_split_error", "_decode_error", "_lines", "_last", *FM.SCALAR_COLUMNS]
+    return parsed.withColumns(_page_columns()).drop(*scratch)
 
 
 def render_notes(pages: DataFrame) -> DataFrame:
     """Add ``raw_content``, the note text of each page."""
-    text = B.render_page(F.col("compiled_truth"), F.col("timeline"), {k: F.col(k) for k in FRONTMATTER_KEYS})
-    return pages.withColumn("raw_content", text)
+    return pages.withColumns(_render_columns())
 
 
 def page_links(pages: DataFrame) -> DataFrame:
     """All links of ``pages(slug, compiled_truth)`` with their position; self links dropped."""
-    found = staged(pages.select("slug", "compiled_truth"), {"_links": extract_links(F.col("compiled_truth"))})
+    found = staged(pages.select("slug", "compiled_truth"), _link_columns())
     return (
         found.select(F.col("slug").alias("source_slug"), F.posexplode("_links").alias("position", "link"))
         .select("source_slug", "position", "link.*")

@@ -187,11 +187,11 @@ def _errors(status: DataFrame, parsed: DataFrame) -> DataFrame:
 def reindex(notes: DataFrame, as_of: Column, directory: str = "wiki") -> tuple[DataFrame, DataFrame, DataFrame]:
     """(pages, links, errors) built from scratch: no diff and no join, one parse of every note."""
     listed = walk(notes, directory).withColumn("slug", normalize_slug(F.col("path")))
-    parsed = parse_notes(listed).withColumns({"created_at": as_of, "updated_at": as_of})
+    fetched = listed.where(F.col("raw_content").isNotNull())
+    parsed = parse_notes(fetched).withColumns({"created_at": as_of, "updated_at": as_of})
     good = parsed.where(F.col("parse_error").isNull()).select(*PAGE_COLUMNS)
     status = listed.select("path", F.when(F.col("raw_content").isNull(), F.lit("failed")).alias("status"))
-    errors = _errors(status, parsed.where(F.col("raw_content").isNotNull()))
-    return good, unique_links(page_links(good)), errors
+    return good, unique_links(page_links(good)), _errors(status, parsed)
 
 
 def clean_slugs(pages: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -248,16 +248,19 @@ w AS (SELECT DISTINCT item_id AS query_id, unnest(regexp_split_to_array(regexp_r
       FROM benchmark),
 q AS (SELECT *, count(*) OVER (PARTITION BY query_id) AS n_terms FROM w WHERE length(term) >= 3),
 terms AS (SELECT DISTINCT term FROM q),
-hit AS (SELECT t.slug, term, d,
-    list_sum(list_transform([(a, 10), (b, 5), (c, 1), (e, 1)], lambda p:
-      p[2] * CASE WHEN NOT contains(p[1], term) THEN 0
-        ELSE len(list_filter(range(1, length(p[1]) - length(term) + 2), lambda i: p[1][i:i + length(term) - 1] = term)) END)) AS f
-  FROM t, terms WHERE contains(a, term) OR contains(b, term) OR contains(c, term) OR contains(e, term)),
+has AS (SELECT t.slug, term FROM t, terms WHERE contains(a, term) OR contains(b, term) OR contains(c, term) OR contains(e, term)),
+nt AS (SELECT term, count(*) AS nw FROM has GROUP BY term),
+m AS MATERIALIZED (SELECT query_id, slug FROM q JOIN has USING (term) GROUP BY query_id, slug, n_terms HAVING count(*) = n_terms),
+txt AS MATERIALIZED (SELECT slug, d, [{{'x': string_split(a, ''), 'w': 10}}, {{'x': string_split(b, ''), 'w': 5}},
+    {{'x': string_split(c, ''), 'w': 1}}, {{'x': string_split(e, ''), 'w': 1}}] AS cols
+  FROM t WHERE slug IN (SELECT slug FROM m)),
+hit AS (SELECT query_id, slug, term, d, list_sum(list_transform(cols, lambda p: p.w * len(list_filter(range(1, len(p.x) - length(term) + 2),
+    lambda i: p.x[i] = term[1] AND array_to_string(p.x[i:i + length(term) - 1], '') = term)))) AS f
+  FROM m JOIN q USING (query_id) JOIN txt USING (slug)),
 st AS (SELECT count(*) AS n, avg(d) AS mean_d FROM t),
-nt AS (SELECT term, count(*) AS nw FROM hit GROUP BY term),
-sc AS (SELECT query_id, slug, n_terms, count(*) AS found, sum(-(CASE WHEN ln((n-nw+0.5)/(nw+0.5)) > 0 THEN ln((n-nw+0.5)/(nw+0.5))
+sc AS (SELECT query_id, slug, sum(-(CASE WHEN ln((n-nw+0.5)/(nw+0.5)) > 0 THEN ln((n-nw+0.5)/(nw+0.5))
       ELSE 1e-6 END) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * d / mean_d))) AS rank
-  FROM q JOIN hit USING (term) JOIN nt USING (term), st GROUP BY ALL HAVING found = n_terms)
+  FROM hit JOIN nt USING (term), st GROUP BY ALL)
 SELECT query_id, position::BIGINT AS position, slug, round(rank, 6) AS rank FROM (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank, slug) AS position FROM sc) WHERE position <= 10""",
         "trigram_postings": f"""WITH {BASE},

@@ -19,9 +19,10 @@ from notelattice.operators import sync as Y
 from notelattice.operators import timeline as TL
 from notelattice.operators.parse import page_links, parse_notes, unique_links
 from notelattice.plans import fixtures as fx
-from notelattice.session import cut_lineage
+from notelattice.session import cut_lineage, scratch_path
 from notelattice.sources import envelopes as V
 from notelattice.sources.notes import walk
+from notelattice.sources.tables import read_version, write_version
 from notelattice.streaming import edits as stream_edits
 from notelattice.streaming import sync as stream_sync
 
@@ -316,10 +317,20 @@ def content_hash(spark, sf_dir):
 
 
 def _index(spark, sf_dir):
-    """(pages, links) as the old snapshot left them."""
+    """(pages, links) tables as the old snapshot left them."""
     as_of = F.timestamp_seconds(F.lit(fx.CREATED_BASE))
-    pages, links, _ = Y.reindex(fx.old_snapshot(spark, sf_dir), as_of)
-    return pages, links
+    root = scratch_path(spark, "index")
+    pages, _, _ = Y.reindex(fx.old_snapshot(spark, sf_dir), as_of)
+    write_version(pages, f"{root}/pages", 0)
+    pages = read_version(spark, f"{root}/pages")
+    write_version(unique_links(page_links(pages)), f"{root}/links", 0)
+    return pages, read_version(spark, f"{root}/links")
+
+
+def _landed(notes):
+    path = scratch_path(notes.sparkSession, "notes")
+    notes.write.parquet(path)
+    return notes.sparkSession.read.parquet(path)
 
 
 @register
@@ -330,7 +341,7 @@ def sync_classify(spark, sf_dir):
 
 def _synced(spark, sf_dir):
     pages, links = _index(spark, sf_dir)
-    return Y.sync(pages, links, fx.new_snapshot(spark, sf_dir), F.timestamp_seconds(F.lit(fx.SYNC_TIME)))
+    return Y.sync(pages, links, _landed(fx.new_snapshot(spark, sf_dir)), F.timestamp_seconds(F.lit(fx.SYNC_TIME)))
 
 
 @register

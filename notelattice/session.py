@@ -18,6 +18,8 @@ def local_session(app: str = "notelattice", cpus: int = 8, memory: str = "8g") -
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
+        # No call sites of every column for error messages: they cost more than small queries.
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .getOrCreate()
     )
 
