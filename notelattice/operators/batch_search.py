@@ -2,32 +2,23 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from notelattice.operators.search import MIN_TERM_CHARS, idf, search_table, term_score
-from notelattice.operators.skew import hot_of_counts, salted_join
-from notelattice.functions.stage import staged
+from notelattice.operators.skew import salted_join
 from notelattice.schema import DEFAULT_SEARCH_LIMIT, SEARCH_COLUMNS, SEARCH_WEIGHTS
 from notelattice.session import cut_lineage
 
 # Every position yields the three characters that start there; one pass over the text.
 TRIGRAMS = r"(?s)(?=(...))."
+TERM_BROADCAST_BYTES = 32 << 20
 
 
 def trigrams(c: Column) -> Column:
     return F.regexp_extract_all(c, F.lit(TRIGRAMS), F.lit(1))
 
 
-def postings(table: DataFrame) -> DataFrame:
-    """``(slug, trigram)``, once per page: the whole texts of all four columns."""
-    lows = [f"_low_{c}" for c in SEARCH_COLUMNS]
-    found = F.array_distinct(F.concat(*[trigrams(F.col(c)) for c in lows]))
-    return table.select("slug", F.explode(found).alias("trigram"))
-
-
 def trigram_postings(pages: DataFrame) -> DataFrame:
     """``(trigram, slug, column, tf)``: how often each trigram occurs in each text column of a page."""
     table = search_table(pages)
@@ -45,8 +36,41 @@ def trigram_postings(pages: DataFrame) -> DataFrame:
     )
 
 
-def _quoted(term: Column) -> Column:
-    return F.concat(F.lit(r"(?=\Q"), F.replace(term, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E)"))
+def term_hits(table: DataFrame, terms: DataFrame, weights: tuple[float, ...] = SEARCH_WEIGHTS) -> DataFrame:
+    """``(slug, n_tokens, term, freq)``: weighted occurrences of every term in every page that holds it.
+
+    Each text position is a window as long as the longest term; it meets the terms that begin with its first
+    three characters and keeps those it starts with. The work grows with the text, not with pages times
+    terms. The terms are broadcast when their measured size allows it; then all rows of a page stay in its
+    task, and with ``table`` partitioned by slug the counts need no shuffle. More terms than that are joined
+    by shuffle, with frequent beginnings spread over salts.
+    """
+    probes = cut_lineage(terms.select(F.left("term", F.lit(MIN_TERM_CHARS)).alias("head"), "term").distinct())
+    size = probes.agg(
+        F.coalesce(F.max(F.char_length("term")), F.lit(MIN_TERM_CHARS)).alias("longest"),
+        F.coalesce(F.sum(F.octet_length("term") + 64), F.lit(0)).alias("n_bytes"),
+    ).first()
+    window = F.lit(rf"(?s)(?=(.{{{MIN_TERM_CHARS},{size['longest']}}})).")
+    columns = F.array(
+        *[
+            F.struct(F.lit(w).alias("weight"), F.regexp_extract_all(F.col(f"_low_{c}"), window, F.lit(1)).alias("found"))
+            for c, w in zip(SEARCH_COLUMNS, weights, strict=True)
+        ]
+    )
+    positions = (
+        table.select("slug", "n_tokens", F.explode(columns).alias("c"))
+        .select("slug", "n_tokens", "c.weight", F.explode("c.found").alias("window"))
+        .withColumn("head", F.left("window", F.lit(MIN_TERM_CHARS)))
+    )
+    if size["n_bytes"] <= TERM_BROADCAST_BYTES:
+        met = positions.join(F.broadcast(probes), "head")
+    else:
+        met = salted_join(positions, probes, "head", "inner")
+    return (
+        met.where(F.col("window").startswith(F.col("term")))
+        .groupBy("slug", "n_tokens", "term")
+        .agg(F.sum("weight").alias("freq"))
+    )
 
 
 def batch_search(
@@ -57,50 +81,45 @@ def batch_search(
 ) -> DataFrame:
     """Best ``limit`` pages for every ``queries(query_id, terms)``, all terms of a query required.
 
-    Each term is looked up by its rarest trigram, so text is only compared where that trigram occurs. A
-    trigram, term or query that touches a large share of the pages is spread over salts, and the per-query
-    top-k keeps at most ``limit`` rows per task before its shuffle. ``pages`` may be a stored
-    ``search_table``. What is used more than once (counts, probes, hits; never text) is written to the
+    First the page count of every term; then the pages of each query's rarest term; only those are looked at
+    for the other terms. The per-query top-k keeps at most ``limit`` rows per task before its shuffle.
+    ``pages`` may be a stored ``search_table``. Term and candidate tables (never text) are written to the
     shared checkpoint folder.
     """
     table = pages if "n_tokens" in pages.columns else search_table(pages)
+    table = table.select("slug", "n_tokens", *[f"_low_{c}" for c in SEARCH_COLUMNS]).repartition("slug")
     wanted = queries.select("query_id", F.explode(F.array_distinct(F.transform("terms", F.lower))).alias("term"))
-    wanted = wanted.where(F.char_length("term") >= MIN_TERM_CHARS)
-    terms = wanted.select("term").distinct()
-
-    spelled = terms.select("term", F.explode(F.array_distinct(trigrams(F.col("term")))).alias("trigram"))
-    posted = postings(table).join(spelled.select("trigram").distinct(), "trigram", "left_semi")
-    counted = cut_lineage(posted.groupBy("trigram").agg(F.count("*").alias("n_pages")))
-    # A trigram that no page holds counts zero: then the term has no hits at all.
-    probes = cut_lineage(
-        spelled.join(counted, "trigram", "left")
-        .groupBy("term")
-        .agg(F.min_by("trigram", F.struct(F.coalesce("n_pages", F.lit(0)), "trigram")).alias("trigram"))
+    wanted = cut_lineage(wanted.where(F.char_length("term") >= MIN_TERM_CHARS))
+    counts = term_hits(table, wanted, weights).groupBy("term").agg(F.count("*").alias("n_with"))
+
+    # A term without pages leaves its query without hits.
+    n_terms = wanted.groupBy("query_id").agg(F.count("*").alias("n_terms"))
+    asked = cut_lineage(wanted.join(counts, "term").join(n_terms, "query_id"))
+    rarest = asked.groupBy("query_id", "n_terms").agg(
+        F.count("*").alias("_found"), F.min_by("term", F.struct("n_with", "term")).alias("term")
     )
-    hot = hot_of_counts(counted, "trigram", "n_pages")
-    candidates = salted_join(posted, probes, "trigram", "inner", hot).select("slug", "term")
-
-    lows = [f"_low_{c}" for c in SEARCH_COLUMNS]
-    compared = table.select("slug", "n_tokens", *lows).join(candidates, "slug")
-    freq = reduce(
-        lambda a, b: a + b,
-        [F.lit(w) * F.regexp_count(F.col(c), _quoted(F.col("term"))) for c, w in zip(lows, weights, strict=True)],
+    rarest = rarest.where("_found = n_terms").select("query_id", "term")
+    candidates = cut_lineage(
+        salted_join(term_hits(table, rarest, weights).select("slug", "term"), rarest, "term", "inner").select(
+            "query_id", "slug"
+        )
     )
-    hits = cut_lineage(staged(compared, {"freq": freq}).select("slug", "n_tokens", "term", "freq").where("freq > 0"))
 
+    looked_at = table.join(candidates.select("slug").distinct(), "slug", "left_semi")
+    open_terms = asked.join(candidates.select("query_id").distinct(), "query_id", "left_semi")
+    hits = cut_lineage(term_hits(looked_at, open_terms, weights))
+    # A popular query meets many candidates, a popular page many queries; (slug, term) is unique in hits.
+    needed = salted_join(candidates, asked, "query_id", "inner")
+    scored = needed.join(hits, ["slug", "term"])
     stats = table.agg(
         F.struct(F.count("*").alias("n_pages"), F.avg("n_tokens").alias("mean_tokens"))
     ).scalar()
-    per_term = cut_lineage(hits.groupBy("term").agg(F.count("*").alias("n_with")))
-    n_terms = wanted.groupBy("query_id").agg(F.count("*").alias("n_terms"))
-    asked = wanted.join(per_term, "term").join(n_terms, "query_id")
-    scored = salted_join(hits, asked, "term", "inner", hot_of_counts(per_term, "term", "n_with")).withColumn("_stats", stats)
+    scored = scored.withColumn("_stats", stats)
     weight = idf(F.col("_stats.n_pages"), F.col("n_with"))
-    scored = scored.withColumn(
-        "score", term_score(F.col("freq"), weight, F.col("n_tokens"), F.col("_stats.mean_tokens"))
-    )
+    score = term_score(F.col("freq"), weight, F.col("n_tokens"), F.col("_stats.mean_tokens"))
     whole = (
-        scored.groupBy("query_id", "slug", "n_terms")
+        scored.withColumn("score", score)
+        .groupBy("query_id", "slug", "n_terms")
         .agg(F.count("*").alias("n_found"), F.sum("score").alias("rank"))
         .where("n_found = n_terms")
     )

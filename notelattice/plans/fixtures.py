@@ -23,6 +23,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Rows of an input with fewer partitions than cores over all cores; a large input stays as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+
+
 def text_slug(doc_id: Column) -> Column:
     """Slug of a document; some are invalid on purpose."""
     bad = F.when(doc_id % 29 == 0, F.lit("!")).otherwise(F.lit(""))
@@ -31,7 +37,7 @@ def text_slug(doc_id: Column) -> Column:
 
 def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What search needs of the pages: no tags, so no join."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"), "doc_id")
     doc_id = F.col("doc_id")
     nothing = F.array().cast("array<string>")
     two = lambda n: F.lpad((n).cast("string"), 2, "0")
