@@ -118,12 +118,20 @@ def _words_match(words: list[str]) -> Column:
     return reduce(and_, [has_term(w) for w in long])
 
 
-def match_condition(parts: list[list[list[list[str]]]]) -> Column:
+def alternatives(parts: list[list[list[list[str]]]]) -> list[tuple[Column, list[str]]]:
+    """(condition, scored words) of every OR alternative. Excluded words are never scored."""
+
     def operand(chain: list[list[str]]) -> Column:
         first, *excluded = [_words_match(words) for words in chain]
         return reduce(lambda kept, drop: kept & ~drop, excluded, first)
 
-    return reduce(or_, [reduce(and_, [operand(chain) for chain in chains]) for chains in parts])
+    return [
+        (
+            reduce(and_, [operand(chain) for chain in chains]),
+            [w for chain in chains for w in chain[0] if len(w) >= MIN_TERM_CHARS],
+        )
+        for chains in parts
+    ]
 
 
 def search(
@@ -165,8 +173,8 @@ def ranked(
         if on_invalid == "raise":
             raise
         return nothing
-    terms = {w: None for alternative in parts for chain in alternative for words in chain for w in words}
-    terms = [t for t in terms if len(t) >= MIN_TERM_CHARS]
+    choices = alternatives(parts)
+    terms = list(dict.fromkeys(w for _, words in choices for w in words))
     if not terms:
         return nothing
     table = pages if "n_tokens" in pages.columns else search_table(pages)
@@ -177,10 +185,11 @@ def ranked(
             F.array(*[F.count_if(has_term(t)) for t in terms]).alias("n_with"),
         ).alias("stats")
     ).scalar()
-    matched = table.where(match_condition(parts)).withColumn("_stats", stats)
+    condition = reduce(or_, [condition for condition, _ in choices])
+    matched = table.where(condition).withColumn("_stats", stats)
     matched = matched.withColumns({f"_f{i}": frequency(t, weights) for i, t in enumerate(terms)})
-    scores = [
-        F.when(
+    score = {
+        t: F.when(
             F.col(f"_f{i}") > 0,
             term_score(
                 F.col(f"_f{i}"),
@@ -189,8 +198,13 @@ def ranked(
                 F.col("_stats.mean_tokens"),
             ),
         ).otherwise(0.0)
-        for i in range(len(terms))
-    ]
+        for i, t in enumerate(terms)
+    }
+    # The words of an alternative count, repeated ones repeatedly, where that alternative holds.
+    scores = []
+    for condition, words in choices:
+        total = reduce(lambda a, b: a + b, [score[w] for w in words], F.lit(0.0))
+        scores.append(total if len(choices) == 1 else F.when(condition, total).otherwise(0.0))
     return matched.withColumn("rank", reduce(lambda a, b: a + b, scores)).select(*pages.columns, "rank")
 
 

@@ -121,9 +121,11 @@ def _count(column: str, term: str) -> str:
     return f"(length({column}) - length(replace({column}, '{term}', ''))) // {len(term)}"
 
 
-def _search(terms: list[str], condition: str, order: str, limit: int | None, where: str = "", weights=None) -> str:
-    """``condition`` names the terms {0}, {1}, ..."""
-    weights = weights or COLUMNS
+def _search(terms: list[str], condition: str, order: str, limit: int | None, where: str = "", counts=None) -> str:
+    """``condition`` names the terms {0}, {1}, ...; ``counts`` says for each term where it is scored."""
+    weights = COLUMNS
+    held = [f"h{i}" for i in range(len(terms))]
+    counts = [c.format(*held) for c in counts or ["true"] * len(terms)]
     lower = ", ".join(f"lower({c}) AS low_{c}" for c in COLUMNS)
     tokens = " + ".join(f"greatest(length({c}) - 2, 0)" for c in COLUMNS)
     freq = ", ".join(
@@ -136,7 +138,7 @@ def _search(terms: list[str], condition: str, order: str, limit: int | None, whe
     n_with = ", ".join(f"count(*) FILTER (h{i}) AS n{i}" for i in range(len(terms)))
     idf = "greatest(ln((n - n{i} + 0.5) / (n{i} + 0.5)), 0)"
     score = " + ".join(
-        f"CASE WHEN f{i} > 0 THEN -(CASE WHEN {idf.format(i=i)} > 0 THEN {idf.format(i=i)} ELSE 1e-6 END) * f{i} * 2.2 / "
+        f"CASE WHEN f{i} > 0 AND {counts[i]} THEN -(CASE WHEN {idf.format(i=i)} > 0 THEN {idf.format(i=i)} ELSE 1e-6 END) * f{i} * 2.2 / "
         f"(f{i} + 1.2 * (0.25 + 0.75 * d / mean_d)) ELSE 0 END"
         for i in range(len(terms))
     )
@@ -145,7 +147,7 @@ def _search(terms: list[str], condition: str, order: str, limit: int | None, whe
 t AS (SELECT slug, title, truth, updated, page_type, {tokens} AS d, {lower} FROM kb),
 h AS (SELECT *, {has} FROM t),
 st AS (SELECT count(*) AS n, avg(d) AS mean_d, {n_with} FROM h),
-f AS (SELECT *, {freq} FROM h WHERE {condition.format(*[f'h{i}' for i in range(len(terms))])}),
+f AS (SELECT *, {freq} FROM h WHERE {condition.format(*held)}),
 s AS (SELECT slug, title, left(truth, 200) AS preview, {score} AS score, updated FROM f, st {where})
 SELECT slug, title, preview, round(score, 8) AS rank FROM s {tail}"""
 
@@ -237,7 +239,9 @@ def statements() -> dict[str, str]:
         "search_date_sort": _search(["ment"], "{0}", "updated DESC, slug", 25),
         "search_type_filter": _search(["tion"], "{0}", "score, slug", 100, "WHERE page_type = 'Source'"),
         "search_and": _search(["tion", "note"], "{0} AND {1}", "score, slug", 100),
-        "search_or": _search(["keit", "ment", "note"], "{0} OR ({1} AND {2})", "score, slug", 100),
+        "search_or": _search(
+            ["keit", "ment", "note"], "{0} OR ({1} AND {2})", "score, slug", 100, counts=["{0}", "{1} AND {2}", "{1} AND {2}"]
+        ),
         "search_not": _search(["tion", "ment"], "{0} AND NOT {1}", "score, slug", 100),
         "search_phrase": _search(["src1-note 0"], "{0}", "score, slug", 100),
         "search_unweighted": "SELECT slug FROM (" + _search(["tion", "keit"], "{0} OR {1}", "", None) + ")",
@@ -251,12 +255,12 @@ terms AS (SELECT DISTINCT term FROM q),
 has AS (SELECT t.slug, term FROM t, terms WHERE contains(a, term) OR contains(b, term) OR contains(c, term) OR contains(e, term)),
 nt AS (SELECT term, count(*) AS nw FROM has GROUP BY term),
 m AS MATERIALIZED (SELECT query_id, slug FROM q JOIN has USING (term) GROUP BY query_id, slug, n_terms HAVING count(*) = n_terms),
-txt AS MATERIALIZED (SELECT slug, d, [{{'x': string_split(a, ''), 'w': 10}}, {{'x': string_split(b, ''), 'w': 5}},
-    {{'x': string_split(c, ''), 'w': 1}}, {{'x': string_split(e, ''), 'w': 1}}] AS cols
+txt AS MATERIALIZED (SELECT slug, d, string_split(unnest([a, b, c, e]), '') AS x, unnest([10, 5, 1, 1]) AS w
   FROM t WHERE slug IN (SELECT slug FROM m)),
-hit AS (SELECT query_id, slug, term, d, list_sum(list_transform(cols, lambda p: p.w * len(list_filter(range(1, len(p.x) - length(term) + 2),
-    lambda i: p.x[i] = term[1] AND array_to_string(p.x[i:i + length(term) - 1], '') = term)))) AS f
-  FROM m JOIN q USING (query_id) JOIN txt USING (slug)),
+win AS MATERIALIZED (SELECT slug, d, w, unnest(list_transform(range(1, len(x) - 1), lambda i: array_to_string(x[i:i + 99], ''))) AS win
+  FROM txt),
+hit AS (SELECT query_id, slug, term, d, sum(w) AS f FROM m JOIN q USING (query_id) JOIN win USING (slug)
+  WHERE starts_with(win, term) GROUP BY ALL),
 st AS (SELECT count(*) AS n, avg(d) AS mean_d FROM t),
 sc AS (SELECT query_id, slug, sum(-(CASE WHEN ln((n-nw+0.5)/(nw+0.5)) > 0 THEN ln((n-nw+0.5)/(nw+0.5))
       ELSE 1e-6 END) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * d / mean_d))) AS rank
