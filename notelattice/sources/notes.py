@@ -22,18 +22,18 @@ def _relative_path(root: str) -> Column:
 
 def read_notes(spark: SparkSession, root: str, markdown_only: bool = True) -> DataFrame:
     """All notes below a folder, one row per file. Spark's lister skips names that start with ``.`` or ``_``."""
-    reader = spark.read.option("recursiveFileLookup", "true").option("wholetext", "true")
+    reader = spark.read.option("recursiveFileLookup", "true")
     if markdown_only:
         reader = reader.option("pathGlobFilter", "*.md")
-    return reader.text(root).select(_relative_path(root).alias("path"), F.col("value").alias("raw_content"))
+    return reader.text(root, wholetext=True).select(_relative_path(root).alias("path"), F.col("value").alias("raw_content"))
 
 
 def stream_notes(spark: SparkSession, root: str, markdown_only: bool = True) -> DataFrame:
     """The same as a stream of files as they arrive."""
-    reader = spark.readStream.option("recursiveFileLookup", "true").option("wholetext", "true")
+    reader = spark.readStream.option("recursiveFileLookup", "true")
     if markdown_only:
         reader = reader.option("pathGlobFilter", "*.md")
-    return reader.text(root).select(_relative_path(root).alias("path"), F.col("value").alias("raw_content"))
+    return reader.text(root, wholetext=True).select(_relative_path(root).alias("path"), F.col("value").alias("raw_content"))
 
 
 def walk(notes: DataFrame, directory: str = "wiki", markdown_only: bool = True) -> DataFrame:
