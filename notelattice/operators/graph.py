@@ -110,7 +110,7 @@ def neighbors(
     links: DataFrame, slug: str, depth: int = 1, link_type: str | None = None, direction: str = "out"
 ) -> DataFrame:
     """``(slug, distance)`` of all pages within ``depth`` steps of one page; the page itself is left out."""
-    start = links.sparkSession.createDataFrame([(slug,)], "slug string")
+    start = links.sparkSession.range(1).select(F.lit(slug).alias("slug"))
     return neighbors_of(links, start, depth, link_type, direction).select("slug", "distance")
 
 

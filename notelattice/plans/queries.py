@@ -19,7 +19,7 @@ from notelattice.operators import sync as Y
 from notelattice.operators import timeline as TL
 from notelattice.operators.parse import page_links, parse_notes, unique_links
 from notelattice.plans import fixtures as fx
-from notelattice.session import cut_lineage, scratch_path
+from notelattice.session import scratch_path, written
 from notelattice.sources import envelopes as V
 from notelattice.sources.notes import walk
 from notelattice.sources.tables import read_version, write_version
@@ -190,17 +190,17 @@ def links_of_orphans(spark, sf_dir):
 
 @register
 def neighbors_out(spark, sf_dir):
-    return G.neighbors(cut_lineage(fx.links(spark, sf_dir)), "wiki/1/1", depth=6)
+    return G.neighbors(written(fx.links(spark, sf_dir), "links"), "wiki/1/1", depth=6)
 
 
 @register
 def neighbors_in(spark, sf_dir):
-    return G.neighbors(fx.graph_links(spark, sf_dir), "region/1", depth=3, direction="in")
+    return G.neighbors(written(fx.graph_links(spark, sf_dir), "links"), "region/1", depth=3, direction="in")
 
 
 @register
 def neighbors_both(spark, sf_dir):
-    return G.neighbors(cut_lineage(fx.links(spark, sf_dir)), "wiki/1/1", depth=4, link_type="cites", direction="both")
+    return G.neighbors(written(fx.links(spark, sf_dir), "links"), "wiki/1/1", depth=4, link_type="cites", direction="both")
 
 
 @register
@@ -327,12 +327,6 @@ def _index(spark, sf_dir):
     return pages, read_version(spark, f"{root}/links")
 
 
-def _landed(notes):
-    path = scratch_path(notes.sparkSession, "notes")
-    notes.write.parquet(path)
-    return notes.sparkSession.read.parquet(path)
-
-
 @register
 def sync_classify(spark, sf_dir):
     pages, _ = _index(spark, sf_dir)
@@ -341,7 +335,7 @@ def sync_classify(spark, sf_dir):
 
 def _synced(spark, sf_dir):
     pages, links = _index(spark, sf_dir)
-    return Y.sync(pages, links, _landed(fx.new_snapshot(spark, sf_dir)), F.timestamp_seconds(F.lit(fx.SYNC_TIME)))
+    return Y.sync(pages, links, written(fx.new_snapshot(spark, sf_dir), "notes"), F.timestamp_seconds(F.lit(fx.SYNC_TIME)))
 
 
 @register

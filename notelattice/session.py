@@ -53,3 +53,10 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the shared folder, so that a lost executor never forces a recomputation."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once as a table in the shared folder: for inputs that many jobs read column by column."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
