@@ -82,7 +82,7 @@ def test_body_split(spark):
 
 def test_timeline_lines(spark):
     lines = [
-        "- 2026-05-09 [claude]: update",
+        "- 2026-05-09 [bot]: update",
         "- 2024-99-99: shape only",
         "-2024-01-01: no blank",
         "- 2024-1-01: short",
@@ -95,7 +95,7 @@ def test_timeline_lines(spark):
     ]
     row = parsed(spark, {"p": note(body="---\n" + "\n".join(lines))})["p"]
     assert [(e.date, e.agent, e.content) for e in row.timeline] == [
-        ("2026-05-09", "claude", "update"),
+        ("2026-05-09", "bot", "update"),
         ("2024-99-99", None, "shape only"),
         ("2024-01-01", "", "empty agent"),
         ("2024-01-01", None, "spaced"),
