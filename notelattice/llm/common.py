@@ -2,18 +2,51 @@
 
 from __future__ import annotations
 
+import io
+import re
+import zipfile
 from collections.abc import Iterator
+from pathlib import Path
 
 import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from notelattice.session import scratch_path
 
+#: Applications that have the package on their workers.
+_SHIPPED: set[str] = set()
+
 #: The ASCII white space that separates words, as the inside of a character class.
 WORD_SPACE = r"\x20\x09-\x0D"
 
 
+def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
+    """File system and path of a folder or file that Spark names, such as ``file:/x`` or ``hdfs://host/x``."""
+    uri = re.sub(r"^file:/+", "/", uri)
+    return (pafs.LocalFileSystem(), uri) if uri.startswith("/") else pafs.FileSystem.from_uri(uri)
+
+
+def ship(spark: SparkSession) -> None:
+    """Make this package importable in the Python workers of a job that was started from a checkout."""
+    context = spark.sparkContext
+    if context.applicationId in _SHIPPED:
+        return
+    top = Path(__file__).resolve().parents[1]
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w", zipfile.ZIP_DEFLATED) as z:
+        for file in sorted(top.rglob("*.py")):
+            z.write(file, str(file.relative_to(top.parent)))
+    uri = scratch_path(spark, "package") + ".zip"
+    store, path = filesystem(uri)
+    store.create_dir(path.rpartition("/")[0], recursive=True)
+    with store.open_output_stream(path, compression=None) as out:
+        out.write(packed.getvalue())
+    context.addPyFile(uri)
+    _SHIPPED.add(context.applicationId)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once below ``spark.checkpoint.dir``. The schema is kept, so no job infers it anew."""
     path = scratch_path(df.sparkSession, name)

@@ -8,9 +8,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from notelattice.llm import langid
 from notelattice.llm.common import table
 from notelattice.llm.line_dedup import drop_boilerplate
 from notelattice.llm.mixing import mix
+from notelattice.llm.packing import pack_documents
+from notelattice.llm.simhash import near_duplicates
 from notelattice.llm.token_counts import token_counts
 from notelattice.llm.warc import read_warc, write_warc
 
@@ -43,6 +46,14 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drop_boilerplate(docs, ratio=0.1, min_pages=3)
 
 
+@query
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of at most 2048 tokens."""
+    docs = table(spark, sf_dir, "documents")
+    packed = pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), capacity=2048)
+    return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
 @query
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that the mix takes of every document; sources weigh 5, 2, 1 in turn."""
@@ -56,3 +67,18 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every whole document."""
     docs = table(spark, sf_dir, "documents")
     return token_counts(docs, public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@query
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document; three quarters of the labelled ones may teach."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    docs = docs.withColumn("held_out", langid.held_out("doc_id"))
+    model = langid.fit(docs.where(~F.col("held_out")))
+    return langid.identify(docs, model, keep=("doc_id", "held_out"))
+
+
+@query
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of documents whose fingerprints differ by at most four bits."""
+    return near_duplicates(table(spark, sf_dir, "documents"), max_distance=4, shingle=4)

@@ -24,7 +24,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from notelattice.llm.common import check_columns, text_batches
+from notelattice.llm.common import check_columns, ship, text_batches
 
 SPACE_MARK = "▁"
 #: One space with neither a space nor the space mark at its sides.
@@ -80,6 +80,7 @@ def token_counts(
     check_columns(docs, [text_col, *keep], ["n_bytes", "n_tokens", "over_limit"])
     if text_col in keep:
         raise ValueError("the text isn't returned")
+    ship(docs.sparkSession)
     kept = docs.select(*keep).schema
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), "n_bytes long, n_tokens long"])
 

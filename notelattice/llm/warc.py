@@ -25,12 +25,11 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-import pyarrow.fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from notelattice.llm.common import check_columns, stored
+from notelattice.llm.common import check_columns, filesystem, ship, stored
 from notelattice.session import scratch_path
 
 MAGIC = b"\x1f\x8b\x08"
@@ -45,12 +44,6 @@ RECORDS = (
 )
 
 
-def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
-    """File system and path of a folder or file that Spark names, such as ``file:/x`` or ``hdfs://host/x``."""
-    uri = re.sub(r"^file:/+", "/", uri)
-    return (pafs.LocalFileSystem(), uri) if uri.startswith("/") else pafs.FileSystem.from_uri(uri)
-
-
 def with_copies_marked(records: DataFrame, id_col: str, payload_col: str, min_bytes: int = 0) -> DataFrame:
     """Adds ``_payload``, ``_first`` (smallest id with this payload, null unless several) and ``_copies``."""
     payload = F.coalesce(F.col(payload_col).cast("string"), F.lit(""))
@@ -103,6 +96,7 @@ def write_warc(
     """Write the records; returns the manifest ``(path, n_bytes, n_records)`` of the committed files."""
     check_columns(records, [id_col, uri_col, payload_col], [])
     spark = records.sparkSession
+    ship(spark)
     folder = folder or scratch_path(spark, "warc")
     plain = records.select(
         F.col(id_col).alias("_id"), F.col(uri_col).alias("_uri"), F.col(payload_col).alias("_body")
@@ -252,6 +246,7 @@ def read_warc(files: DataFrame, split_bytes: int = 1 << 26, with_payload: bool =
     """
     if split_bytes < 1:
         raise ValueError("split_bytes must be positive")
+    ship(files.sparkSession)
     ranges = files.where("n_bytes > 0").select(
         "path",
         "n_bytes",
