@@ -67,4 +67,33 @@ SELECT doc_id, size, source_size, target,
   CAST(whole * size + least(greatest(part - before, 0), size) AS BIGINT) AS taken FROM e
 """
 
-STATEMENTS = {"op1_warc": _WARC, "op2_line_dedup": _LINES, "op5_mixing": _MIX}
+_TOP_K = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS DOUBLE)) AS w FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, p.vec_id, CAST(list_inner_product(q.w, p.w) AS BIGINT) AS score
+  FROM v q JOIN v p ON q.vec_id % 100 = 0 AND p.vec_id <> q.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS place FROM s)
+SELECT query_id, CAST(place AS INT) AS rank, vec_id, score FROM r WHERE place <= 10
+"""
+
+# All pairs of a label; components by following the smallest id until nothing changes.
+_LINKS = """
+WITH RECURSIVE v AS MATERIALIZED (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+p AS MATERIALIZED (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id
+  WHERE len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.98),
+reach AS (SELECT DISTINCT a, a AS b FROM p UNION SELECT r.a, p.b FROM reach r JOIN p ON r.b = p.a),
+c AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a),
+n AS (SELECT a, count(*) AS n_links FROM p GROUP BY a)
+SELECT vec_id, CAST(coalesce(n_links, 0) AS BIGINT) AS n_links, coalesce(component_id, vec_id) AS component_id,
+  vec_id = coalesce(component_id, vec_id) AS kept
+FROM embeddings LEFT JOIN n ON vec_id = n.a LEFT JOIN c ON vec_id = c.a
+"""
+
+STATEMENTS = {"op1_warc": _WARC, "op2_line_dedup": _LINES, "op5_mixing": _MIX, "op7_embedding_dedup": _LINKS, "op8_top_k": _TOP_K}

@@ -8,13 +8,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from notelattice.llm import langid
+from notelattice.llm import embedding_dedup, langid
 from notelattice.llm.common import table
 from notelattice.llm.line_dedup import drop_boilerplate
 from notelattice.llm.mixing import mix
 from notelattice.llm.packing import pack_documents
 from notelattice.llm.simhash import near_duplicates
 from notelattice.llm.token_counts import token_counts
+from notelattice.llm.topk import top_k
 from notelattice.llm.warc import read_warc, write_warc
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -69,6 +70,19 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(docs, public_tokenizers.path("piece_bpe_32k.model"))
 
 
+@query
+def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors of one label with a cosine of at least 0.98 are linked."""
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"), min_cosine=0.98)
+
+
+@query
+def op8_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten rows nearest to every hundredth vector, by integer inner product."""
+    vectors = table(spark, sf_dir, "embeddings")
+    return top_k(vectors, vectors.where(F.col("vec_id") % 100 == 0), k=10)
+
+
 @query
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document; three quarters of the labelled ones may teach."""
