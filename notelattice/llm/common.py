@@ -73,6 +73,34 @@ def text_batches(
             yield batch.slice(begin), texts[begin:]
 
 
+CARRIED = "_carried"
+
+
+def slim(docs: DataFrame, used: dict[str, str], added: list[str]) -> DataFrame:
+    """Columns under the operator's own names, all others in one struct, so that no name of theirs can clash.
+
+    ``used``: own name -> column of ``docs``. Columns that the result adds are left out.
+    """
+    check_columns(docs, list(used.values()), added)
+    gone = {c.lower() for c in [*used.values(), *added]}
+    rest = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in gone]
+    return docs.select(
+        F.struct(*rest).alias(CARRIED) if rest else F.lit(None).cast("string").alias(CARRIED),
+        *[F.col(f"`{c}`").alias(name) for name, c in used.items()],
+    )
+
+
+def restored(docs: DataFrame, used: dict[str, Column | str], added: list[str]) -> list[Column]:
+    """The columns of ``docs`` in their order, for a result of ``slim``. ``used``: column of ``docs`` -> its value."""
+    gone = {c.lower() for c in added}
+    values = {c: F.col(v) if isinstance(v, str) else v for c, v in used.items()}
+    return [
+        (values[c] if c in values else F.col(f"{CARRIED}.`{c}`")).alias(c)
+        for c in docs.columns
+        if c.lower() not in gone
+    ]
+
+
 def check_columns(df: DataFrame, needed: list[str], added: list[str]) -> None:
     """Refuse an input without a needed column, or with one that the result would carry twice."""
     missing = [c for c in needed if c not in df.columns]

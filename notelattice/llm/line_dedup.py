@@ -16,9 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from notelattice.llm.common import check_columns, stored
-
-DIGEST = "_digest"
+from notelattice.llm.common import restored, slim, stored
 
 
 def line_key(line: Column) -> Column:
@@ -51,22 +49,18 @@ def drop_boilerplate(
     docs: DataFrame, text_col: str = "text", host_col: str = "source", ratio: float = 0.1, min_pages: int = 3
 ) -> DataFrame:
     """``docs`` with the boilerplate lines gone from the text, and ``lines_total`` and ``lines_dropped`` added."""
-    check_columns(docs, [text_col, host_col], ["lines_total", "lines_dropped"])
-    found = boilerplate(docs, text_col, host_col, ratio, min_pages)
-    sites = stored(
-        found.groupBy(F.col("host").alias("_host")).agg(F.collect_list("digest").alias("_bad")), "boilerplate"
-    )
-    lines = F.split(F.col(text_col), "\n", -1)
-    kept = F.filter(
-        "_lines", lambda x: ~F.coalesce(F.array_contains("_bad", F.md5(line_key(x))), F.lit(False))
-    )
+    added = ["lines_total", "lines_dropped"]
+    own = slim(docs, {"text": text_col, "host": host_col}, added)
+    found = boilerplate(own, "text", "host", ratio, min_pages)
+    sites = stored(found.groupBy(F.col("host").alias("_host")).agg(F.collect_list("digest").alias("_bad")), "boilerplate")
+    kept = F.filter("_lines", lambda x: ~F.array_contains("_bad", F.md5(line_key(x))))
     kept = F.when(F.col("_bad").isNull(), F.col("_lines")).otherwise(kept)
-    others = [c for c in docs.columns if c not in ("lines_total", "lines_dropped")]
-    joined = docs.select(*others).join(sites, F.col(host_col) == F.col("_host"), "left")
-    staged = joined.withColumn("_lines", lines).withColumn("_kept", kept)
-    total = F.coalesce(F.size("_lines"), F.lit(0))
-    return staged.select(
-        *[F.array_join("_kept", "\n").alias(c) if c == text_col else F.col(c) for c in others],
-        F.greatest(total, F.lit(0)).cast("long").alias("lines_total"),
-        F.greatest(total - F.size("_kept"), F.lit(0)).cast("long").alias("lines_dropped"),
+    joined = own.join(sites, F.col("host") == F.col("_host"), "left")
+    cut = joined.withColumn("_lines", F.split("text", "\n", -1)).withColumn("_kept", kept)
+    total = F.greatest(F.coalesce(F.size("_lines"), F.lit(0)), F.lit(0))
+    left = F.greatest(F.coalesce(F.size("_kept"), F.lit(0)), F.lit(0))
+    return cut.select(
+        *restored(docs, {text_col: F.array_join("_kept", "\n"), host_col: "host"}, added),
+        total.cast("long").alias("lines_total"),
+        (total - left).cast("long").alias("lines_dropped"),
     )

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from notelattice.llm.common import check_columns, stored, word_count
+from notelattice.llm.common import restored, slim, stored, word_count
 
 HASH_BITS = 32
 
@@ -88,15 +88,15 @@ def mix(
 ) -> DataFrame:
     """``docs`` with ``size``, ``source_size``, ``target`` (of the source) and ``taken`` words."""
     added = ["size", "source_size", "target", "taken"]
-    check_columns(docs, [id_col, text_col, source_col], added)
+    used = {"id": id_col, "text": text_col, "source": source_col}
     sized = (
-        docs.drop(*added)
-        .withColumn("size", word_count(text_col))
-        .withColumn("_order", seeded_hash(seed, F.col(id_col)))
+        slim(docs, used, added)
+        .withColumn("size", word_count("text"))
+        .withColumn("_order", seeded_hash(seed, F.col("id")))
         .withColumn("_bucket", F.shiftright("_order", HASH_BITS - bucket_bits))
     )
     sums = stored(
-        sized.groupBy(F.col(source_col).alias("_source"), "_bucket").agg(F.sum("size").alias("_words")), "words"
+        sized.groupBy(F.col("source").alias("_source"), "_bucket").agg(F.sum("size").alias("_words")), "words"
     )
     sources = sums.groupBy("_source").agg(F.sum("_words").alias("size"))
     total = sums.agg(F.sum("_words")).first()[0] or 0
@@ -121,19 +121,18 @@ def mix(
     rules = stored(
         plan.join(edges, F.col("_source").eqNullSafe(F.col("_key")), "left").drop("_key"), "mix-rules"
     )
-    placed = sized.join(rules, F.col(source_col).eqNullSafe(F.col("_source")), "left")
+    placed = sized.join(rules, F.col("source").eqNullSafe(F.col("_source")), "left")
     extra = F.when(F.col("_bucket") < F.col("_edge"), F.col("size")).otherwise(F.lit(0))
-    names = [c for c in docs.columns if c not in added]
     outside = placed.where(F.col("_edge").isNull() | (F.col("_bucket") != F.col("_edge")))
     edge = placed.where(F.col("_bucket") == F.col("_edge"))
-    inside = Window.partitionBy("_source").orderBy("_order", id_col, "size")
+    inside = Window.partitionBy("_source").orderBy("_order", "id", "size")
     upto = F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)) + F.col("_before")
     edge = edge.withColumn(
         "_extra", F.least(F.greatest(F.col("_part") - (upto - F.col("size")), F.lit(0)), F.col("size"))
     )
     both = outside.withColumn("_extra", extra).unionByName(edge)
     return both.select(
-        *names,
+        *restored(docs, {id_col: "id", text_col: "text", source_col: "source"}, added),
         "size",
         "source_size",
         "target",
@@ -142,7 +141,7 @@ def mix(
 
 
 def repeated(mixed: DataFrame, text_col: str = "text") -> DataFrame:
-    """The rows of the mix: a document once per whole repetition, and once more with its first words for a part.
+    """The rows of the mix (as ``mix`` returns it): a document once per whole repetition, and once more with its first words for a part.
 
     The part's words are joined by single spaces. Rows that nothing is taken of go.
     """
@@ -151,10 +150,10 @@ def repeated(mixed: DataFrame, text_col: str = "text") -> DataFrame:
     rest = F.when(size > 0, taken % size).otherwise(F.lit(0)).cast("int")
     names = [c for c in mixed.columns if c not in ("size", "source_size", "target", "taken")]
     copies = mixed.where(taken >= size).where(taken > 0).select(
-        *names, F.explode(F.sequence(F.lit(1), whole)).alias("_copy")
-    )
+        *names, F.explode(F.array_repeat(F.lit(0), whole))
+    ).select(*names)
     words = F.split(F.btrim(F.col(text_col), F.lit(" \t\n\x0b\f\r")), r"[\x20\x09-\x0D]+")
     part = F.array_join(F.slice(words, F.lit(1), rest), " ")
     parts = mixed.where((size > 0) & (taken % size > 0))
     parts = parts.select(*[part.alias(c) if c == text_col else F.col(c) for c in names])
-    return copies.drop("_copy").unionByName(parts)
+    return copies.unionByName(parts)

@@ -13,6 +13,7 @@ from notelattice.llm.common import table
 from notelattice.llm.line_dedup import drop_boilerplate
 from notelattice.llm.mixing import mix
 from notelattice.llm.packing import pack_documents
+from notelattice.llm.pii import replace_pii
 from notelattice.llm.simhash import near_duplicates
 from notelattice.llm.token_counts import token_counts
 from notelattice.llm.topk import top_k
@@ -47,6 +48,13 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drop_boilerplate(docs, ratio=0.1, min_pages=3)
 
 
+@query
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with surrogates for personal data."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return replace_pii(docs, key="a key that a caller keeps secret")
+
+
 @query
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of at most 2048 tokens."""
@@ -95,4 +103,5 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of documents whose fingerprints differ by at most four bits."""
-    return near_duplicates(table(spark, sf_dir, "documents"), max_distance=4, shingle=4)
+    found = near_duplicates(table(spark, sf_dir, "documents"), max_distance=4, shingle=4)
+    return found.select("doc_id", "fingerprint", "component_id")

@@ -235,24 +235,38 @@ def near_duplicates(
     text_col: str = "text",
     max_distance: int = 4,
     shingle: int = 4,
+    keep: tuple[str, ...] | None = None,
     **options,
 ) -> DataFrame:
-    """``id_col``, ``fingerprint`` (16 hex digits) and ``component_id`` of every row. ``options`` are ``linked``'s."""
-    marked = stored(fingerprints(docs, text_col, (id_col,), shingle), "fingerprints")
+    """``keep`` (the id by default) with ``fingerprint`` (16 hex digits), ``component_id`` and ``group`` of every row.
+
+    ``group`` is a number for groups of two rows and more, else null. ``options`` are those of ``linked``.
+    """
+    keep = keep or (id_col,)
+    check_columns(docs, [id_col, *keep], ["fingerprint", "component_id", "group"])
+    marked = stored(fingerprints(docs, text_col, keep, shingle), "fingerprints")
     nodes = stored(
         marked.groupBy("fp").agg(F.min(id_col).alias("first"), F.count("*").alias("copies")), "nodes"
     )
     members = components(linked(nodes.select("fp"), max_distance, **options))
     rooted = nodes.join(members.select(F.col("node").alias("fp"), "root"), "fp", "left")
-    rooted = rooted.select("fp", "first", "copies", F.coalesce("root", "fp").alias("root"))
-    names = rooted.groupBy("root").agg(
-        F.min("first").alias("name"), F.sum("copies").alias("size"), F.count("*").alias("texts")
-    )
+    rooted = rooted.select("fp", "first", "copies", F.coalesce("root", "fp").alias("group"))
+    names = rooted.groupBy("group").agg(F.min("first").alias("_name"), F.sum("copies").alias("_size"))
     # Only groups of two and more rows; every other row names its own group.
-    groups = rooted.join(names.where("size > 1").select("root", "name"), "root").select("fp", "name")
+    groups = rooted.join(names.where("_size > 1").select("group", "_name"), "group").select("fp", "group", "_name")
     found = marked.join(stored(groups, "groups"), "fp", "left")
     return found.select(
-        id_col,
+        *keep,
         F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"),
-        F.coalesce("name", id_col).alias("component_id"),
+        F.coalesce("_name", id_col).alias("component_id"),
+        "group",
     )
+
+
+def one_of_each(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """One row of each group of ``near_duplicates``: that of the smallest id, the smallest row if ids repeat."""
+    first = F.col(id_col).eqNullSafe(F.col("component_id"))
+    rest = [c for c in found.columns if c != "group"]
+    grouped = found.where(first & F.col("group").isNotNull())
+    chosen = grouped.groupBy("group").agg(F.min(F.struct(*rest)).alias("_row")).select("group", "_row.*")
+    return found.where("group is null").unionByName(chosen).select(*found.columns)
