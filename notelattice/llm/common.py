@@ -101,6 +101,11 @@ def restored(docs: DataFrame, used: dict[str, Column | str], added: list[str]) -
     ]
 
 
+def with_text(docs: DataFrame, keep: tuple[str, ...], text_col: str) -> DataFrame:
+    """The columns to keep and the text, each once."""
+    return docs.select(*dict.fromkeys([*keep, text_col]))
+
+
 def check_columns(df: DataFrame, needed: list[str], added: list[str]) -> None:
     """Refuse an input without a needed column, or with one that the result would carry twice."""
     missing = [c for c in needed if c not in df.columns]

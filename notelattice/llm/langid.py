@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from notelattice.llm.common import check_columns, ship, text_batches
+from notelattice.llm.common import check_columns, ship, text_batches, with_text
 
 UNDETERMINED = "und"
 BUCKETS = 1 << 16
@@ -47,12 +47,11 @@ def letters() -> np.ndarray:
 def grams(texts: list[str], max_n: int) -> tuple[np.ndarray, np.ndarray]:
     """(row, bucket) of all n-grams of all texts. The work is a few passes over all characters at once."""
     lowered = [t.lower() for t in texts]
-    joined = " " + " ".join(lowered) + " "
+    joined = "".join([f" {t} " for t in lowered])
     points = np.frombuffer(joined.encode("utf-32-le", "replace"), "<u4")
-    sizes = np.array([len(t) + 1 for t in lowered])
+    sizes = np.array([len(t) + 2 for t in lowered], np.int64)
     row = np.repeat(np.arange(len(texts), dtype=np.int32), sizes)
-    row = np.concatenate((row[:1], row)) if len(row) else np.zeros(0, np.int32)
-    points = np.where(letters()[points], points, SPACE)[: len(row)]
+    points = np.where(letters()[points], points, SPACE)
     again = np.zeros(len(points), bool)
     again[1:] = (points[1:] == SPACE) & (points[:-1] == SPACE) & (row[1:] == row[:-1])
     points, row = points[~again].astype(np.uint32), row[~again]
@@ -106,7 +105,7 @@ class Model:
                     scores.append(0.0)
                     out.append(True)
                     continue
-                score = float(min(1.0, max(0.0, cosines[i, best[i]])))
+                score = round(float(min(1.0, max(0.0, cosines[i, best[i]]))), 6)
                 labels.append(self.labels[best[i]])
                 scores.append(score)
                 out.append(score < self.limit(len(text)))
@@ -230,8 +229,8 @@ def identify(
                 names=[*keep, "lang_pred", "score", "rejected"],
             )
 
-    needed = list(dict.fromkeys([*keep, text_col]))
-    return docs.select(*needed).mapInArrow(predict, f"{types}, lang_pred string, score double, rejected boolean")
+    schema = f"{types}, lang_pred string, score double, rejected boolean"
+    return with_text(docs, keep, text_col).mapInArrow(predict, schema)
 
 
 def held_out(id_col: str = "doc_id", fold: int = 2, folds: int = 4) -> Column:

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from notelattice.llm.common import check_columns, ship, stored, text_batches
+from notelattice.llm.common import check_columns, ship, stored, text_batches, with_text
 from notelattice.llm.components import components, merge
 
 BITS = 64
@@ -76,7 +76,7 @@ def fingerprints(
                 [*(batch.column(c) for c in keep), pa.array(values)], names=[*keep, "fp"]
             )
 
-    return docs.select(*keep, text_col).mapInArrow(made, f"{types}, fp long")
+    return with_text(docs, keep, text_col).mapInArrow(made, f"{types}, fp long")
 
 
 # ---- trees ----
