@@ -80,7 +80,7 @@ targets AS (
 two AS (
   SELECT doc_id, t1 AS t, kind, NULL AS snip, 0 AS pos FROM targets UNION ALL
   SELECT doc_id, t2, kind, 'second', 1 FROM targets),
-lk AS (
+lk AS MATERIALIZED (
   SELECT source_slug, target_slug, link_type, context_snippet FROM (
     SELECT {slug('doc_id')} AS source_slug, {slug('t')} AS target_slug, kind AS link_type,
       snip AS context_snippet,
@@ -95,7 +95,7 @@ valid AS (SELECT * FROM notes WHERE doc_id % 29 <> 0)
 """
 
 GRAPH = """
-lk AS (
+lk AS MATERIALIZED (
   SELECT 'order/' || o_orderkey AS source_slug, 'customer/' || o_custkey AS target_slug, 'placed_by' AS link_type FROM orders
   UNION ALL SELECT 'customer/' || c_custkey, 'nation/' || c_nationkey, 'in' FROM customer
   UNION ALL SELECT 'nation/' || n_nationkey, 'region/' || n_regionkey, 'in' FROM nation
@@ -209,7 +209,7 @@ ed AS (
   SELECT n.*, s.hash, CASE WHEN turn IN (0, 2) THEN s.hash END AS etag, contains(n.slug, '!') AS bad
   FROM named n LEFT JOIN stored s ON n.slug = s.slug),
 res AS (
-  SELECT slug, turn AS seq, role, text, CASE WHEN bad AND turn = 2 AND false THEN 'conflict' WHEN bad THEN 'rejected'
+  SELECT slug, turn AS seq, role, text, CASE WHEN bad THEN 'rejected'
     WHEN hash IS NOT NULL AND turn = 2 THEN 'conflict' ELSE 'applied' END AS status, etag, bad FROM ed)
 """.format(slug=slug("conv_id"))
 
@@ -294,7 +294,7 @@ SELECT b.source_slug, b.target_slug, EXISTS (SELECT 1 FROM lk WHERE lk.source_sl
   count(*) FILTER (page_type = 'Concept') AS n_concept, count(*) FILTER (page_type = 'Source') AS n_source,
   count(*) FILTER (page_type = 'Query') AS n_query, count(*) FILTER (page_type = 'Synthesis') AS n_synthesis,
   count(*) FILTER (page_type = 'Comparison') AS n_comparison, (SELECT count(*) FROM lk) AS total_links,
-  count(*) FILTER (slug NOT IN (SELECT target_slug FROM lk)) AS orphan_count FROM kb""",
+  (SELECT count(*) FROM kb ANTI JOIN lk ON slug = target_slug) AS orphan_count FROM kb""",
         "pages_by_type": f"WITH {GRAPH} SELECT page_type, count(*) AS n_pages FROM pg GROUP BY page_type",
         "tags_list": f"WITH {BASE} SELECT DISTINCT unnest(tags) AS tag FROM kb",
         "tags_or": f"""WITH {BASE} SELECT DISTINCT slug, title, array_to_string(tags, '|') AS tags, page_type FROM (
@@ -306,14 +306,15 @@ WHERE list_contains(tags, 'en') AND list_contains(tags, 'quality')""",
 WHERE target_slug = 'nation/7' AND link_type = 'in'""",
         "links_both": f"""WITH {GRAPH} SELECT source_slug, target_slug, 'Custom("' || link_type || '")' AS link_type, NULL::VARCHAR AS context_snippet
 FROM (SELECT * FROM lk WHERE source_slug = 'customer/7' UNION ALL SELECT * FROM lk WHERE target_slug = 'customer/7')""",
-        "links_of_orphans": f"""WITH {GRAPH} SELECT source_slug, target_slug, link_type FROM lk
-WHERE source_slug IN (SELECT slug FROM pg) AND source_slug NOT IN (SELECT target_slug FROM lk)""",
+        "links_of_orphans": f"""WITH {GRAPH}, hit AS (SELECT DISTINCT target_slug AS slug FROM lk),
+lonely AS MATERIALIZED (SELECT slug FROM pg ANTI JOIN hit USING (slug))
+SELECT source_slug, target_slug, link_type FROM lk SEMI JOIN lonely ON source_slug = slug""",
         "neighbors_out": _neighbors(BASE, FORWARD, "wiki/1/1", 6),
         "neighbors_in": _neighbors(GRAPH, BACKWARD, "region/1", 3),
         "neighbors_both": _neighbors(
             BASE, f"{FORWARD} WHERE link_type = 'cites' UNION ALL {BACKWARD} WHERE link_type = 'cites'", "wiki/1/1", 4
         ),
-        "orphans": f"WITH {GRAPH} SELECT slug FROM pg WHERE slug NOT IN (SELECT target_slug FROM lk)",
+        "orphans": f"WITH {GRAPH} SELECT slug FROM pg ANTI JOIN lk ON slug = target_slug",
         "link_types": f"WITH {GRAPH} SELECT DISTINCT link_type FROM lk",
         "shared_links": f"""WITH {GRAPH} SELECT target_slug FROM lk WHERE source_slug = 'order/1'
 INTERSECT SELECT target_slug FROM lk WHERE source_slug = 'order/2'""",
@@ -323,12 +324,12 @@ SELECT DISTINCT slug_a, slug_b, x.target_slug FROM pr JOIN lk x ON x.source_slug
   JOIN lk y ON y.source_slug = slug_b AND y.target_slug = x.target_slug""",
         "lint": f"WITH {BASE} {LINT}",
         "broken_links": f"""WITH {BASE} SELECT source_slug, target_slug, link_type FROM lk
-WHERE target_slug NOT IN (SELECT slug FROM kb)""",
+ANTI JOIN kb ON target_slug = slug""",
         "maintain_full": f"""WITH {BASE} {LINT}
 UNION ALL SELECT 'warning', 'orphans', 'Page ''' || slug || ''' has no inbound links' FROM kb
-  WHERE slug NOT IN (SELECT target_slug FROM lk)
+  ANTI JOIN lk ON slug = target_slug
 UNION ALL SELECT 'error', 'backlinks', 'Page ''' || source_slug || ''' links to nonexistent page ''' || target_slug || '''' FROM lk
-  WHERE target_slug NOT IN (SELECT slug FROM kb)""",
+  ANTI JOIN kb ON target_slug = slug""",
         "slug_checks": f"""WITH s AS (SELECT regexp_replace(url, '^https?://', '') AS slug FROM pages
   UNION ALL SELECT {slug('doc_id')} || CASE WHEN lang = 'en' THEN '.md' ELSE '' END FROM documents)
 SELECT slug, {SLUG_ERROR} AS error,
@@ -347,7 +348,7 @@ SELECT e.date AS date, e.agent AS agent, count(*) AS n_entries, count(DISTINCT s
         "content_hash": f"WITH {BASE} SELECT slug || '.md' AS path, sha256(raw) AS content_hash FROM notes",
         "sync_classify": f"WITH {SNAPSHOTS} SELECT slug, status FROM status",
         "sync_pages": f"WITH {SNAPSHOTS} SELECT slug, title, content_hash, created::BIGINT AS created, updated::BIGINT AS updated FROM synced",
-        "sync_links": f"WITH {SNAPSHOTS} {_LINKS_OF.format('synced')} WHERE lk.target_slug NOT IN (SELECT slug FROM gone)",
+        "sync_links": f"WITH {SNAPSHOTS} {_LINKS_OF.format('synced')} ANTI JOIN gone ON lk.target_slug = gone.slug",
         "sync_counts": f"""WITH {SNAPSHOTS} SELECT (SELECT count(*) FROM todo) AS files_changed, (SELECT count(*) FROM todo) AS pages_indexed,
   (SELECT count(*) FROM gone) AS pages_removed, (SELECT count(*) FROM lk JOIN todo ON lk.source_slug = todo.slug) AS links_updated,
   (SELECT count(*) FROM newer WHERE source = 'src5' OR contains(slug, '!')) AS n_errors""",
@@ -361,7 +362,7 @@ FROM newer WHERE source <> 'src5' AND NOT contains(slug, '!')""",
         "delete_cascade": f"""WITH {BASE}, gone AS (SELECT slug FROM kb WHERE page_type = 'Query')
 SELECT slug, 'page' AS kind FROM kb WHERE page_type <> 'Query'
 UNION ALL SELECT source_slug || ' ' || link_type || ' ' || target_slug, 'link' FROM lk
-  WHERE source_slug NOT IN (SELECT slug FROM gone) AND target_slug NOT IN (SELECT slug FROM gone)""",
+  ANTI JOIN gone ON source_slug = gone.slug ANTI JOIN gone g ON target_slug = g.slug""",
         "slug_cleanup": f"""WITH {BASE}, dirty AS (SELECT slug || {ending} AS slug FROM kb)
 SELECT CASE WHEN lower(slug) LIKE '%.md' THEN left(slug, length(slug) - 3) ELSE slug END AS slug, 'page' AS kind FROM dirty
 UNION ALL SELECT source_slug || ' ' || link_type || ' ' || target_slug, 'link' FROM lk""",
