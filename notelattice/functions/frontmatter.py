@@ -45,10 +45,64 @@ def _key_text(yaml: Column, key: str) -> Column:
     return trim_ws(F.regexp_extract(yaml, rf"(?md)^{key}:(?:[ \t]+(.*))?$", 1))
 
 
+# The single-letter escapes of double-quoted YAML scalars.
+ESCAPES = {
+    "0": "\0",
+    "a": "\a",
+    "b": "\b",
+    "t": "\t",
+    "n": "\n",
+    "v": "\v",
+    "f": "\f",
+    "r": "\r",
+    "e": "\x1b",
+    " ": " ",
+    '"': '"',
+    "/": "/",
+    "\\": "\\",
+    "N": "\x85",
+    "_": "\xa0",
+    "L": "\u2028",
+    "P": "\u2029",
+}
+#: Characters that a plain or single-quoted scalar cannot hold as they are.
+CONTROL = r"[\x00-\x1F\x7F-\x9F\u2028\u2029\uFEFF]"
+
+
 def _unescape(c: Column) -> Column:
-    for escape, char in [(r"\n", "\n"), (r"\t", "\t"), (r"\"", '"')]:
-        c = F.replace(c, F.lit(escape), F.lit(char))
-    return F.replace(c, F.lit("\\\\"), F.lit("\\"))
+    """Value of the inside of a double-quoted scalar, in one pass from left to right; null for an unknown escape."""
+    parts = F.regexp_extract_all(
+        c, F.lit(r"(?s)\\(?:x[0-9a-fA-F]{2}|u[0-9a-fA-F]{4}|U[0-9a-fA-F]{8}|.)|[^\\]+"), F.lit(0)
+    )
+
+    def value(part: Column) -> Column:
+        letter = F.substr(part, F.lit(2), F.lit(1))
+        digits = F.lpad(F.substr(part, F.lit(3)), 8, "0")
+        code = F.conv(digits, 16, 10).cast("long")
+        character = (code <= 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
+        # UTF-32 would take U+FEFF for a byte order mark.
+        decoded = F.when(code < 0x10000, F.decode(F.unhex(F.substr(digits, F.lit(5))), "UTF-16BE"))
+        out = F.when(F.length(part) > 2, F.when(character, decoded.otherwise(F.decode(F.unhex(digits), "UTF-32"))))
+        for name, char in ESCAPES.items():
+            out = out.when(letter == name, F.lit(char))
+        return F.when(part.startswith("\\"), out).otherwise(part)
+
+    values = F.transform(parts, value)
+    return F.when(~F.exists(values, lambda x: x.isNull()), F.array_join(values, ""))
+
+
+def _escape(c: Column) -> Column:
+    """The inside of a double-quoted scalar; ``_unescape`` takes it back."""
+    parts = F.regexp_extract_all(c, F.lit(rf"(?s){CONTROL}|[\\\"]|(?:(?!{CONTROL})[^\\\"])+"), F.lit(0))
+
+    def text(part: Column) -> Column:
+        code = F.lower(F.hex(F.ascii(part)))
+        short = F.when(part == "\\", F.lit("\\\\")).when(part == '"', F.lit('\\"')).when(part == "\n", F.lit("\\n"))
+        short = short.when(part == "\t", F.lit("\\t")).when(part == "\r", F.lit("\\r")).when(part == "\0", F.lit("\\0"))
+        wide = F.concat(F.lit("\\u"), F.lpad(code, 4, "0"))
+        return F.coalesce(short, F.when(part.rlike(rf"^{CONTROL}$"), wide).otherwise(part))
+
+    return F.array_join(F.transform(parts, text), "")
 
 
 def _decode_scalar(text: Column) -> Column:
@@ -153,10 +207,8 @@ def render_scalar(c: Column) -> Column:
         r"|\A[-+]?0(?:x[0-9a-fA-F]+|o[0-7]+|b[01]+)\z"
         r"|\A[-+]?\.(?:inf|Inf|INF)\z|\A\.(?:nan|NaN|NAN)\z"
     )
-    escaped = F.replace(F.replace(c, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
-    escaped = F.replace(F.replace(escaped, F.lit("\n"), F.lit("\\n")), F.lit("\t"), F.lit("\\t"))
     return (
-        F.when(c.rlike(r"[\n\t]"), F.concat(F.lit('"'), escaped, F.lit('"')))
+        F.when(c.rlike(CONTROL), F.concat(F.lit('"'), _escape(c), F.lit('"')))
         .when(c.rlike(not_plain), F.concat(F.lit("'"), F.replace(c, F.lit("'"), F.lit("''")), F.lit("'")))
         .otherwise(c)
     )

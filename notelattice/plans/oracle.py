@@ -339,6 +339,10 @@ SELECT slug, {SLUG_ERROR} AS error,
         "parse_roundtrip": f"""WITH {BASE} SELECT slug, title, page_type, array_to_string(tags, '|') AS tags,
   array_to_string(sources, '|') AS sources, date, visibility, created_by, truth AS compiled_truth, timeline_text,
   len(timeline)::BIGINT AS n_entries FROM valid""",
+        "frontmatter_escapes": f"""WITH x AS (SELECT doc_id, lang, source, ['C:\\new ', 'say "x" ', 'it''s ', 'tab' || chr(9) || 'and' || chr(10) || 'line ',
+  'a: b # ', 'é日本 ', '\\\\', '- ', chr(7) || chr(133) || ' '] AS t FROM documents)
+SELECT {slug('doc_id')} AS slug, t[doc_id % 9 + 1] || source AS title,
+  t[(doc_id + 1) % 9 + 1] || lang || '|' || source || t[(doc_id + 2) % 9 + 1] AS tags FROM x""",
         "parse_errors": f"WITH {BASE} SELECT slug || '.md' AS path, {INVALID} AS parse_error FROM notes WHERE doc_id % 29 = 0",
         "timeline_entries": f"""WITH {BASE}, x AS (SELECT slug, unnest(range(len(timeline))) AS position, unnest(timeline) AS e FROM valid)
 SELECT slug, position, e.date AS date, e.source_url AS source_url, e.content AS content, e.agent AS agent FROM x""",

@@ -287,6 +287,22 @@ def parse_roundtrip(spark, sf_dir):
     )
 
 
+#: Beginnings of titles and tags that only a quoted scalar can hold.
+AWKWARD = ["C:\\new ", 'say "x" ', "it's ", "tab\tand\nline ", "a: b # ", "é日本 ", "\\\\", "- ", "\x07\x85 "]
+
+
+@register
+def frontmatter_escapes(spark, sf_dir):
+    """Titles and tags with backslashes, quotes, white space and control characters, rendered and parsed again."""
+    texts = F.array(*[F.lit(x) for x in AWKWARD])
+    nth = lambda k: F.element_at(texts, ((F.col("doc_id") + k) % len(AWKWARD) + 1).cast("int"))
+    written = fx.pages(spark, sf_dir).withColumns(
+        {"title": F.concat(nth(0), "source"), "tags": F.array(F.concat(nth(1), "lang"), F.concat("source", nth(2)))}
+    )
+    parsed = parse_notes(fx.render_notes(written).select("slug", "raw_content"))
+    return parsed.select("slug", "title", F.array_join("tags", "|").alias("tags"))
+
+
 @register
 def parse_errors(spark, sf_dir):
     return _parsed(spark, sf_dir).where(F.col("parse_error").isNotNull()).select("path", "parse_error")

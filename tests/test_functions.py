@@ -1,3 +1,5 @@
+import random
+
 from pyspark.sql import functions as F
 
 from helpers import note, parsed
@@ -220,3 +222,26 @@ def test_long_text_links(spark):
 def test_self_links_are_dropped(spark):
     df = spark.createDataFrame([("me", "[[me]] [[me|x]] [[other]]")], "slug string, compiled_truth string")
     assert [(r.source_slug, r.target_slug) for r in page_links(df).collect()] == [("me", "other")]
+
+
+def test_double_quoted_escapes(spark):
+    texts = {
+        r'"C:\\new"': "C:\\new",
+        r'"caf\u00e9"': "café",
+        r'"\x41\U0001F600\/\e"': "A\U0001F600/\x1b",
+        r'"\\n\n"': "\\n\n",
+        r'"\q"': None,
+        r'"\ud800"': None,
+    }
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = {r.t: r.v for r in df.select("t", FM._decode_scalar(F.col("t")).alias("v")).collect()}
+    assert got == texts
+
+
+def test_scalars_survive_rendering(spark):
+    draw = random.Random(11)
+    alphabet = "ab \\\"'#:-\t\n\r\x00\x07\x1b\x7f\x85\xa0é日\u2028\ufeff\U0001F600[]{},&*!|>%@`~?0"
+    values = ["".join(draw.choices(alphabet, k=draw.randint(0, 8))) for _ in range(600)]
+    df = spark.createDataFrame([(v,) for v in values], "v string").withColumn("r", FM.render_scalar(F.col("v")))
+    rows = df.select("v", "r", FM._decode_scalar(F.col("r")).alias("back")).collect()
+    assert [(r.v, r.r) for r in rows if r.back != r.v] == []
