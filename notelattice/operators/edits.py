@@ -20,9 +20,9 @@ from notelattice.functions.frontmatter import json_object, json_string, merged_v
 from notelattice.functions.stage import built_once, staged
 from notelattice.functions.text import content_hash, is_raw_path, normalize_slug, slug_error, slug_to_path
 from notelattice.operators.parse import page_links, parse_notes, unique_links
-from notelattice.operators.skew import hot_keys, salted_join
+from notelattice.operators.skew import hot_keys, if_small, salted_join
 from notelattice.schema import DEFAULT_PAGE_TYPE, DEFAULT_VISIBILITY, FRONTMATTER_KEYS, PAGE_TYPES, PAGES
-from notelattice.session import cut_lineage
+from notelattice.session import written
 
 PAGE_COLUMNS = PAGES.fieldNames()
 MESSAGES = {
@@ -32,6 +32,8 @@ MESSAGES = {
     "frontmatter": "frontmatter is required when creating a new page",
     "title": "title is required in frontmatter for new pages",
     "blank_title": "title must not be empty for new pages",
+    "no_seq": "seq is required",
+    "repeated_seq": "seq repeats within the page",
     "slug": "normalizing slug would produce an empty string",
 }
 
@@ -41,7 +43,7 @@ class EditOutcome:
     upserts: DataFrame  # pages as they are after the batch, touched ones only
     new_links: DataFrame  # out-links of the upserts
     raw_notes: DataFrame  # path, raw_content, content_hash: stored verbatim, not indexed
-    results: DataFrame  # slug, seq, status (applied, conflict, rejected), message
+    results: DataFrame  # slug, seq, status (applied, conflict, rejected), message, and the page after the batch
 
 
 def _request_error() -> Column:
@@ -85,7 +87,7 @@ def check_edits(edits: DataFrame) -> DataFrame:
 
 def _decide(pending: DataFrame, pages: DataFrame) -> DataFrame:
     """Pending edits with ``status`` (applied, conflict, rejected, waiting) and ``message`` for one round."""
-    hot = cut_lineage(hot_keys(pending, "slug"))
+    hot = written(hot_keys(pending, "slug"), "hot")
     stored = pages.select("slug", F.col("content_hash").alias("_hash"))
     known = salted_join(pending, stored, "slug", "left", hot)
     exists = F.col("_hash").isNotNull()
@@ -127,7 +129,7 @@ def _fold(applied: DataFrame, pages: DataFrame, as_of: Column) -> DataFrame:
     joined = staged(changed.join(old, "slug", "left"), _merge_columns())
     rendered = joined.select("slug", "raw_content", F.coalesce("created_at", as_of).alias("created_at"))
     # The stored page is what the written note says, so it is parsed again.
-    return parse_notes(rendered).withColumn("updated_at", as_of).select(*PAGE_COLUMNS)
+    return parse_notes(rendered).withColumn("updated_at", as_of).select(*PAGE_COLUMNS, "parse_error")
 
 
 @built_once
@@ -174,9 +176,51 @@ def _merge_columns() -> dict[str, Column]:
     return {"raw_content": render_page(F.col("_body"), timeline, values)}
 
 
+def _results(results: DataFrame, upserts: DataFrame, new_links: DataFrame, raw_notes: DataFrame) -> DataFrame:
+    """What a caller gets for each edit: with the applied ones, the state of their page after the batch."""
+    links = new_links.groupBy(F.col("source_slug").alias("slug")).agg(F.count("*").alias("links_count"))
+    wiki = upserts.join(links, "slug", "left").select(
+        "slug",
+        "content_hash",
+        F.lit(True).alias("indexed"),
+        F.coalesce("links_count", F.lit(0)).alias("links_count"),
+        F.size("timeline").cast("long").alias("timeline_count"),
+    )
+    none = F.lit(None).cast("long")
+    raw = raw_notes.select(
+        normalize_slug(F.col("path")).alias("slug"),
+        "content_hash",
+        F.lit(False).alias("indexed"),
+        none.alias("links_count"),
+        none.alias("timeline_count"),
+    )
+    state = wiki.unionByName(raw).withColumn("status", F.lit("applied"))
+    return results.join(state, ["slug", "status"], "left").select(
+        "slug", "seq", "status", "message", "content_hash", "indexed", "links_count", "timeline_count"
+    )
+
+
+def _with_order_errors(checked: DataFrame) -> DataFrame:
+    """``request_error`` also for edits without ``seq`` and for those that share it with another edit of the page."""
+    twice = checked.where("seq is not null").groupBy("slug", "seq").count().where("count > 1")
+    twice = written(twice.select("slug", "seq", F.lit(True).alias("_twice")), "repeated-seq")
+    marked = checked.join(if_small(twice), ["slug", "seq"], "left")
+    error = F.coalesce(
+        "request_error",
+        F.when(F.col("seq").isNull(), F.lit(MESSAGES["no_seq"])),
+        F.when(F.col("_twice"), F.lit(MESSAGES["repeated_seq"])),
+    )
+    return marked.withColumn("request_error", error).select(*checked.columns)
+
+
 def apply_edits(pages: DataFrame, edits: DataFrame, as_of: Column) -> EditOutcome:
-    """Apply ``edits`` (see the schema) to ``pages``; ``seq`` orders the edits of a page."""
-    checked = cut_lineage(check_edits(edits))
+    """Apply ``edits`` (see the schema) to ``pages``; ``seq`` orders the edits of a page.
+
+    The pages that the batch names are looked up once, in a semi join that a small batch broadcasts, and written;
+    every round works on these alone. A page that does not parse after its edits stays as it was, and they are
+    rejected.
+    """
+    checked = written(_with_order_errors(written(check_edits(edits), "checked")), "edits")
     refused = checked.where(F.col("request_error").isNotNull()).select(
         "slug", "seq", F.lit("rejected").alias("status"), F.col("request_error").alias("message")
     )
@@ -185,29 +229,44 @@ def apply_edits(pages: DataFrame, edits: DataFrame, as_of: Column) -> EditOutcom
     raw_notes = raw.groupBy(slug_to_path(F.col("slug")).alias("path")).agg(
         F.max_by("body", "seq").alias("raw_content")
     )
+    raw_notes = raw_notes.withColumn("content_hash", content_hash(F.col("raw_content")))
     raw_results = raw.select(
         "slug", "seq", F.lit("applied").alias("status"), F.lit(None).cast("string").alias("message")
     )
 
     pending = good.where(~is_raw_path(F.col("slug")))
-    state = pages
+    named = written(pending.select("slug").distinct(), "named")
+    state = written(pages.join(if_small(named), "slug", "left_semi").select(*PAGE_COLUMNS), "touched")
     rounds: list[DataFrame] = []
     results = [refused, raw_results]
     while True:
-        decided = cut_lineage(_decide(pending, state))
-        results.append(decided.where("status != 'waiting'").select("slug", "seq", "status", "message"))
-        rounds.append(cut_lineage(_fold(decided.where("status = 'applied'"), state, as_of)))
+        decided = written(_decide(pending, state), "decided")
+        folded = written(_fold(decided.where("status = 'applied'"), state, as_of), "folded")
+        broken = folded.where("parse_error is not null").select("slug", F.col("parse_error").alias("_broken"))
+        told = decided.where("status != 'waiting'").join(broken, "slug", "left")
+        undone = (F.col("status") == "applied") & F.col("_broken").isNotNull()
+        results.append(
+            told.select(
+                "slug",
+                "seq",
+                F.when(undone, F.lit("rejected")).otherwise(F.col("status")).alias("status"),
+                F.when(undone, F.col("_broken")).otherwise(F.col("message")).alias("message"),
+            )
+        )
+        rounds.append(folded.where("parse_error is null").select(*PAGE_COLUMNS))
         pending = decided.where("status = 'waiting'").select(*checked.columns)
         if pending.isEmpty():
             break
-        state = rounds[-1]  # a waiting edit follows an applied one, so its page is among these
+        # A waiting edit follows an applied one, so its page is among these, unless it did not parse.
+        state = rounds[-1].unionByName(state.join(broken, "slug", "left_semi"))
 
     upserts = rounds[-1]
     for earlier in reversed(rounds[:-1]):
         upserts = upserts.unionByName(earlier.join(upserts.select("slug"), "slug", "left_anti"))
+    new_links = unique_links(page_links(upserts))
     return EditOutcome(
         upserts=upserts,
-        new_links=unique_links(page_links(upserts)),
-        raw_notes=raw_notes.withColumn("content_hash", content_hash(F.col("raw_content"))),
-        results=reduce(DataFrame.unionByName, results),
+        new_links=new_links,
+        raw_notes=raw_notes,
+        results=_results(reduce(DataFrame.unionByName, results), upserts, new_links, raw_notes),
     )

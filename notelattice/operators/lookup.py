@@ -20,13 +20,20 @@ def get_pages(pages: DataFrame, slugs: DataFrame) -> DataFrame:
 
 
 def page_view(notes: DataFrame) -> DataFrame:
-    """What reading each of ``notes(path, raw_content)`` shows; raw notes have no frontmatter or timeline."""
+    """What reading each of ``notes(path, raw_content)`` shows; raw notes have no frontmatter or timeline.
+
+    A note that cannot be parsed has a row with its ``error`` and nothing else.
+    """
     notes = notes.withColumn("slug", normalize_slug(F.col("path")))
-    frontmatter = F.struct(*FRONTMATTER_KEYS).alias("frontmatter")
-    wiki = (
-        parse_notes(notes.where(~is_raw_path(F.col("slug"))))
-        .where(F.col("parse_error").isNull())
-        .select("slug", frontmatter, F.col("compiled_truth").alias("body"), "timeline", "content_hash")
+    frontmatter = F.struct(*FRONTMATTER_KEYS)
+    fine = F.col("parse_error").isNull()
+    wiki = parse_notes(notes.where(~is_raw_path(F.col("slug")))).withColumn("frontmatter", frontmatter).select(
+        "slug",
+        F.when(fine, F.col("frontmatter")).alias("frontmatter"),
+        F.when(fine, F.col("compiled_truth")).alias("body"),
+        F.when(fine, F.col("timeline")).alias("timeline"),
+        F.when(fine, F.col("content_hash")).alias("content_hash"),
+        F.col("parse_error").alias("error"),
     )
     raw = notes.where(is_raw_path(F.col("slug"))).select(
         "slug",

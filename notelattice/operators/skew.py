@@ -7,6 +7,20 @@ from pyspark.sql import functions as F
 
 HOT_SHARE = 200  # a key is hot when it holds more than 1/HOT_SHARE of the rows, so fewer than HOT_SHARE are
 SALTS = 32
+BROADCAST_BYTES = 64 << 20  # of a stored table whose size was measured
+
+
+def if_small(table: DataFrame, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """``table`` marked for broadcast if its rows take up to ``max_bytes``, else ``table`` itself.
+
+    For written tables: they are read once to be measured. The result of a join is the same either way.
+    """
+    sizes = [F.coalesce(F.octet_length(c), F.lit(0)) if kind == "string" else F.lit(16) for c, kind in table.dtypes]
+    total = F.lit(16)
+    for size in sizes:
+        total = total + size
+    measured = table.agg(F.sum(total)).first()[0] or 0
+    return F.broadcast(table) if measured <= max_bytes else table
 
 
 def hot_keys(df: DataFrame, key: str) -> DataFrame:

@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 
 from notelattice.functions.text import content_hash, is_raw_path, normalize_slug, slug_to_path, strip_md_any_case
 from notelattice.operators.parse import page_links, parse_notes, repeated_link_sources, unique_links
-from notelattice.operators.skew import first_per_key, salted_join
-from notelattice.schema import LINKS, PAGES
-from notelattice.session import cut_lineage
-from notelattice.sources.notes import delete_notes, walk
+from notelattice.operators.skew import BROADCAST_BYTES, first_per_key, if_small, salted_join
+from notelattice.schema import LINKS, MAX_WALK_DEPTH, PAGES
+from notelattice.session import written
+from notelattice.sources.notes import delete_notes, too_deep, walk
 
 REMOVALS = ("all", "scoped", "none")
 PAGE_COLUMNS = PAGES.fieldNames()
@@ -31,26 +31,72 @@ class SyncOutcome:
     counts: DataFrame  # one row
 
 
-def classify(
-    pages: DataFrame, notes: DataFrame, directory: str = "wiki", removals: str = "all", markdown_only: bool = True
-) -> DataFrame:
-    """``(slug, path, status, created_at)`` with status new, changed, unchanged, failed, removed or kept.
+def _listing(notes: DataFrame, directory: str, markdown_only: bool, max_depth: int | None) -> DataFrame:
+    """One row per slug: ``(slug, path, _new_hash, copies, fetch_failed)``.
 
-    ``notes(path, raw_content)`` lists the snapshot; a null content is a failed fetch, which keeps its page.
-    Only slugs and hashes are shuffled, never text. ``removals``: pages missing from the listing go all, or
-    only those below ``directory`` ("scoped"), or never ("none": a stream cannot see deletions).
+    Of several arrivals of a slug the one with content wins, then the one with the highest ``seq`` (if notes have
+    one), then ``.md`` paths, then the smaller path. Only slugs, paths and hashes are grouped.
     """
-    if removals not in REMOVALS:
-        raise ValueError(f"removals must be one of {', '.join(REMOVALS)}")
-    listed = walk(notes, directory, markdown_only).select(
+    seq = F.col("seq") if "seq" in notes.columns else F.lit(0)
+    listed = walk(notes, directory, markdown_only, max_depth).select(
         normalize_slug(F.col("path")).alias("slug"),
         "path",
         content_hash(F.col("raw_content")).alias("_new_hash"),
+        seq.cast("long").alias("seq"),
+    )
+    order = F.struct(F.col("_new_hash").isNull(), -F.coalesce("seq", F.lit(0)), ~F.col("path").endswith(".md"), "path", "_new_hash")
+    return (
+        listed.groupBy("slug")
+        .agg(
+            F.min_by(F.struct("path", "_new_hash"), order).alias("_first"),
+            F.count("*").alias("copies"),
+            F.max(F.col("_new_hash").isNull()).alias("fetch_failed"),
+        )
+        .select("slug", "_first.*", "copies", "fetch_failed")
     )
+
+
+def _below(slug: Column, folders: DataFrame, missing: DataFrame) -> DataFrame:
+    """Slugs of ``missing(slug)`` that lie below one of ``folders(folder)``, at any depth."""
+    parts = F.split(slug, "/")
+    ups = F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda n: F.array_join(F.slice(parts, 1, n), "/"))
+    spread = missing.select("slug", F.explode(ups).alias("folder"))
+    named = folders.select(F.when(F.col("folder") == ".", F.lit("")).otherwise(F.col("folder")).alias("folder")).distinct()
+    return spread.join(named, "folder", "left_semi").select("slug").distinct()
+
+
+def classify(
+    pages: DataFrame,
+    notes: DataFrame,
+    directory: str = "wiki",
+    removals: str = "all",
+    markdown_only: bool = True,
+    max_depth: int | None = MAX_WALK_DEPTH,
+    incomplete: DataFrame | None = None,
+) -> DataFrame:
+    """One row per slug: ``(slug, path, status, created_at, hash, copies, fetch_failed)``.
+
+    The status is new, changed, unchanged, failed, removed or kept. ``notes(path, raw_content)`` lists the snapshot;
+    a null content is a failed fetch, which keeps its page. Only slugs and hashes are shuffled, never text.
+    ``removals``: pages missing from the listing go all, or only those below ``directory`` ("scoped"), or never
+    ("none": a stream cannot see deletions). Whatever it says, a page is kept if the listing could not show it:
+    below more than ``max_depth`` folders, or below one of ``incomplete(folder)``.
+    """
+    if removals not in REMOVALS:
+        raise ValueError(f"removals must be one of {', '.join(REMOVALS)}")
+    listed = _listing(notes, directory, markdown_only, max_depth)
     stored = pages.select("slug", F.col("content_hash").alias("_old_hash"), "created_at")
     gone: Column = F.lit(removals != "none")
     if removals == "scoped":
         gone = F.col("slug").startswith(directory.rstrip("/") + "/")
+    if max_depth is not None:
+        gone = gone & ~too_deep(F.col("slug"), directory, max_depth)
+    how = "left" if removals == "none" else "full_outer"
+    joined = listed.join(stored, "slug", how)
+    if incomplete is not None and removals != "none":
+        unseen = _below(F.col("slug"), incomplete, stored).withColumn("_unseen", F.lit(True))
+        joined = joined.join(unseen, "slug", "left")
+        gone = gone & F.col("_unseen").isNull()
     status = (
         F.when(F.col("path").isNull(), F.when(gone, F.lit("removed")).otherwise(F.lit("kept")))
         .when(F.col("_new_hash").isNull(), F.lit("failed"))
@@ -58,15 +104,35 @@ def classify(
         .when(F.col("_old_hash") != F.col("_new_hash"), F.lit("changed"))
         .otherwise(F.lit("unchanged"))
     )
-    how = "left" if removals == "none" else "full_outer"
-    return listed.join(stored, "slug", how).select("slug", "path", status.alias("status"), "created_at")
+    return joined.select(
+        "slug",
+        "path",
+        status.alias("status"),
+        "created_at",
+        F.col("_new_hash").alias("hash"),
+        F.coalesce("copies", F.lit(0)).alias("copies"),
+        F.coalesce("fetch_failed", F.lit(False)).alias("fetch_failed"),
+    )
+
 
+def parse_changes(notes: DataFrame, status: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """Parse only new and changed notes. ``notes`` is scanned once more instead of shuffling all its text.
 
-def parse_changes(notes: DataFrame, status: DataFrame) -> DataFrame:
-    """Parse only new and changed notes. ``notes`` is scanned once more instead of shuffling all its text:
-    the changed slugs are a semi-join filter that Spark broadcasts when small or turns into a Bloom filter."""
-    todo = status.where(F.col("status").isin("new", "changed")).select("slug", "path", "created_at")
-    return parse_notes(notes.join(todo, "path"))
+    The changed paths are written and measured; up to ``broadcast_bytes`` they are broadcast and the text stays
+    where it is. A larger set is joined by shuffle: then most of the text has to be parsed anyway.
+    """
+    todo = written(
+        status.where(F.col("status").isin("new", "changed")).select("slug", "path", "created_at", "hash", "copies"),
+        "todo",
+    )
+    hits = notes.select("path", "raw_content").join(if_small(todo, broadcast_bytes), "path")
+    single = hits.where("copies = 1").drop("copies", "hash")
+    if todo.where("copies > 1").isEmpty():
+        return parse_notes(single)
+    # A path that arrived several times: only the arrival that won, once.
+    several = hits.where("copies > 1").where(content_hash(F.col("raw_content")) == F.col("hash"))
+    once = first_per_key(several.drop("copies", "hash"), ["slug"], F.col("path"))
+    return parse_notes(single.unionByName(once))
 
 
 def upsert_pages(pages: DataFrame, upserts: DataFrame) -> DataFrame:
@@ -80,11 +146,17 @@ def upsert_pages(pages: DataFrame, upserts: DataFrame) -> DataFrame:
     return pages.join(upserts.select("slug"), "slug", "left_anti").select(*PAGE_COLUMNS).unionByName(fresh)
 
 
-def drop_links(links: DataFrame, slugs: DataFrame, end: str) -> DataFrame:
-    """Links whose ``end`` (source_slug or target_slug) is not in ``slugs(slug)``; hubs spread over salts."""
-    return salted_join(links, slugs.select(F.col("slug").alias(end)).distinct(), end, "left_anti").select(
-        *LINK_COLUMNS
-    )
+def drop_links(links: DataFrame, slugs: DataFrame, end: str, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """Links whose ``end`` (source_slug or target_slug) is not in ``slugs(slug)``.
+
+    The slugs are written and measured. A small set is broadcast and no link moves; a larger one is joined by
+    shuffle, with hubs spread over salts.
+    """
+    gone = written(slugs.select(F.col("slug").alias(end)).distinct(), "gone")
+    small = if_small(gone, broadcast_bytes)
+    if small is not gone:
+        return links.join(small, end, "left_anti").select(*LINK_COLUMNS)
+    return salted_join(links, gone, end, "left_anti").select(*LINK_COLUMNS)
 
 
 def replace_links(links: DataFrame, sources: DataFrame, new_links: DataFrame) -> DataFrame:
@@ -117,25 +189,32 @@ def sync(
     removals: str = "all",
     on_duplicate: str = "first",
     markdown_only: bool = True,
+    max_depth: int | None = MAX_WALK_DEPTH,
+    incomplete: DataFrame | None = None,
 ) -> SyncOutcome:
     """Diff, re-parse what changed, upsert, replace links, remove.
 
-    ``on_duplicate="reject"`` keeps the old links of a page that holds one link twice and reports it.
-    The classification (slugs only) and the parsed changes are written to the shared checkpoint folder,
-    because several results derive from them.
+    ``on_duplicate="reject"`` keeps the old links of a page that holds one link twice and reports it. Every row
+    of the listing that does not end in a page is in ``errors``: stage fetch, parse, walk (deeper than
+    ``max_depth`` folders), duplicate (another path has its slug), list (``incomplete`` folders) or links. The
+    classification (slugs only) and the parsed changes are written as tables, because several results read
+    different columns of them.
     """
-    status = cut_lineage(classify(pages, notes, directory, removals, markdown_only))
-    parsed = cut_lineage(
+    status = written(classify(pages, notes, directory, removals, markdown_only, max_depth, incomplete), "status")
+    parsed = written(
         parse_changes(notes, status).withColumns(
             {"created_at": F.coalesce("created_at", as_of), "updated_at": as_of}
-        )
+        ),
+        "parsed",
     )
     upserts = parsed.where(F.col("parse_error").isNull()).select(*PAGE_COLUMNS)
     removed = status.where("status = 'removed'").select("slug")
 
     found = page_links(upserts)
     relinked = upserts.select("slug")
-    errors = _errors(status, parsed)
+    errors = _errors(status, parsed).unionByName(
+        unlisted(status, notes, directory, markdown_only, max_depth, incomplete)
+    )
     if on_duplicate == "reject":
         repeated = repeated_link_sources(found)
         relinked = relinked.join(repeated, "slug", "left_anti")
@@ -173,7 +252,7 @@ def sync(
 
 
 def _errors(status: DataFrame, parsed: DataFrame) -> DataFrame:
-    fetch = status.where("status = 'failed'").select(
+    fetch = status.where("fetch_failed").select(
         "path", F.lit("fetch").alias("stage"), F.concat(F.lit("failed to fetch "), F.col("path")).alias("message")
     )
     parse = parsed.where(F.col("parse_error").isNotNull()).select(
@@ -184,25 +263,74 @@ def _errors(status: DataFrame, parsed: DataFrame) -> DataFrame:
     return fetch.unionByName(parse)
 
 
+def unlisted(
+    status: DataFrame,
+    notes: DataFrame,
+    directory: str,
+    markdown_only: bool,
+    max_depth: int | None,
+    incomplete: DataFrame | None,
+) -> DataFrame:
+    """Errors of notes that are listed but take no part, and of folders whose listing is not whole."""
+    deep = walk(notes, directory, markdown_only, None)
+    deep = deep.where(too_deep(F.col("path"), directory, max_depth) if max_depth is not None else F.lit(False))
+    errors = deep.select(
+        "path",
+        F.lit("walk").alias("stage"),
+        F.concat(F.lit(f"more than {max_depth} folders deep: "), F.col("path")).alias("message"),
+    )
+    winners = status.where("copies > 1").select("slug", F.col("path").alias("_winner"))
+    listed = walk(notes, directory, markdown_only, max_depth).select(normalize_slug(F.col("path")).alias("slug"), "path")
+    others = listed.join(winners, "slug").where("path != _winner").distinct()
+    errors = errors.unionByName(
+        others.select(
+            "path",
+            F.lit("duplicate").alias("stage"),
+            F.concat(F.lit("same slug as "), F.col("_winner"), F.lit(": "), F.col("path")).alias("message"),
+        )
+    )
+    if incomplete is not None:
+        errors = errors.unionByName(
+            incomplete.select(
+                F.col("folder").alias("path"),
+                F.lit("list").alias("stage"),
+                F.concat(F.lit("incomplete listing of "), F.col("folder")).alias("message"),
+            ).distinct()
+        )
+    return errors
+
+
+def batch_errors(status: DataFrame, parsed: DataFrame, notes: DataFrame, directory: str = "wiki") -> DataFrame:
+    """All errors of one batch of arriving notes."""
+    return _errors(status, parsed).unionByName(unlisted(status, notes, directory, True, MAX_WALK_DEPTH, None))
+
+
 def reindex(notes: DataFrame, as_of: Column, directory: str = "wiki") -> tuple[DataFrame, DataFrame, DataFrame]:
     """(pages, links, errors) built from scratch: no diff and no join, one parse of every note."""
     listed = walk(notes, directory).withColumn("slug", normalize_slug(F.col("path")))
     fetched = listed.where(F.col("raw_content").isNotNull())
     parsed = parse_notes(fetched).withColumns({"created_at": as_of, "updated_at": as_of})
     good = parsed.where(F.col("parse_error").isNull()).select(*PAGE_COLUMNS)
-    status = listed.select("path", F.when(F.col("raw_content").isNull(), F.lit("failed")).alias("status"))
+    status = listed.select("path", F.col("raw_content").isNull().alias("fetch_failed"))
     return good, unique_links(page_links(good)), _errors(status, parsed)
 
 
 def clean_slugs(pages: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Strip ``.md`` from stored slugs. Rows that become equal combine: latest page, first link."""
+    """Strip ``.md`` from stored slugs. Rows that become equal combine: latest page, first link.
+
+    Slugs that collide are found from slugs alone; only their pages are combined, all others stay where they are.
+    """
     tidy_pages = pages.withColumn("slug", strip_md_any_case(F.col("slug")))
     tidy_links = links.withColumns(
         {end: strip_md_any_case(F.col(end)) for end in ("source_slug", "target_slug")}
     )
     newest = -F.unix_micros(F.coalesce("updated_at", F.timestamp_seconds(F.lit(0))))
     keys = ["source_slug", "target_slug", "link_type"]
+    collide = written(tidy_pages.groupBy("slug").count().where("count > 1").select("slug"), "collisions")
+    few = if_small(collide)
+    alone = tidy_pages.join(few, "slug", "left_anti")
+    combined = first_per_key(tidy_pages.join(few, "slug", "left_semi"), ["slug"], newest)
     return (
-        first_per_key(tidy_pages, ["slug"], newest),
+        alone.select(*tidy_pages.columns).unionByName(combined),
         first_per_key(tidy_links, keys, F.coalesce("context_snippet", F.lit(""))),
     )

@@ -213,21 +213,27 @@ res AS (
     WHEN hash IS NOT NULL AND turn = 2 THEN 'conflict' ELSE 'applied' END AS status, etag, bad FROM ed)
 """.format(slug=slug("conv_id"))
 
-_FOLDED = f"""{_TALK},
-app AS (SELECT * FROM res WHERE status = 'applied'),
-fold AS (
+
+
+def _folded(page: str, condition: str) -> str:
+    """Common table ``page``: pages after the applied edits that meet the condition, with their note text."""
+    return f"""
+{page}_fold AS (
   SELECT slug, arg_max(text, seq) AS body, arg_min(role, seq) AS role0, arg_min(text, seq) AS text0,
     list({{'date': '2025-01-01', 'source_url': NULL, 'content': role || ' turn ' || seq,
       'agent': CASE WHEN seq <> 1 THEN role END}}::{ENTRY} ORDER BY seq) AS added
-  FROM app GROUP BY slug),
-page AS (
+  FROM res WHERE status = 'applied' AND {condition} GROUP BY slug),
+{page}_page AS (
   SELECT f.slug, {trim("split_part(text0, chr(10), 1)")} AS title, [role0, 'talk'] AS tags, coalesce(s.page_type, 'Entity') AS page_type,
     coalesce(s.sources, []) AS sources, s.date, coalesce(s.visibility, 'shared') AS visibility, s.created_by, body,
     list_concat(coalesce(s.timeline, []), added) AS timeline, coalesce(s.created, 1735689600) AS created
-  FROM fold f LEFT JOIN stored s ON f.slug = s.slug)
+  FROM {page}_fold f LEFT JOIN stored s ON f.slug = s.slug),
+{page} AS (SELECT *, sha256({rendered('body')}) AS content_hash FROM {page}_page)"""
+
+
+_FOLDED = f"""{_TALK}, {_folded('page', 'true')}
 SELECT slug, title, array_to_string(tags, '|') AS tags, {trim('body')} AS compiled_truth,
-  array_to_string(list_transform(timeline, lambda e: e.content), ' ') AS timeline_text,
-  sha256({rendered('body')}) AS content_hash, created FROM page"""
+  array_to_string(list_transform(timeline, lambda e: e.content), ' ') AS timeline_text, content_hash, created FROM page"""
 
 
 def statements() -> dict[str, str]:
@@ -276,8 +282,9 @@ SELECT trigram, "column", count(DISTINCT slug) AS n_pages, count(*) AS n_occurre
         "page_lookup": f"""WITH {BASE} SELECT slug, title, page_type, sha256({rendered('truth')}) AS content_hash FROM kb
 WHERE slug IN (SELECT target_slug FROM lk WHERE link_type = 'cites')""",
         "page_view": f"""WITH {BASE}
-SELECT slug, title, array_to_string(tags, '|') AS tags, truth AS body, len(timeline)::BIGINT AS n_entries, sha256(raw) AS content_hash FROM valid
-UNION ALL SELECT 'raw/' || conv_id || '/' || turn, NULL, NULL, text, 0, sha256(text) FROM conversations""",
+SELECT slug, title, array_to_string(tags, '|') AS tags, truth AS body, len(timeline)::BIGINT AS n_entries, sha256(raw) AS content_hash, NULL AS error FROM valid
+UNION ALL SELECT 'raw/' || conv_id || '/' || turn, NULL, NULL, text, 0, sha256(text), NULL FROM conversations
+UNION ALL SELECT slug, NULL, NULL, NULL, NULL, NULL, {INVALID} FROM notes WHERE doc_id % 29 = 0""",
         "page_list": f"""WITH p AS (SELECT {slug('doc_id')} || '.md' AS path FROM documents
   UNION ALL SELECT 'raw/' || conv_id || '/' || turn || '.md' FROM conversations)
 SELECT DISTINCT split_part(path, '/', 1) AS path, 'folder' AS kind FROM p
@@ -359,6 +366,16 @@ SELECT e.date AS date, e.agent AS agent, count(*) AS n_entries, count(DISTINCT s
         "sync_errors": f"""WITH {SNAPSHOTS} SELECT slug || '.md' AS path, 'fetch' AS stage, 'failed to fetch ' || slug || '.md' AS message
 FROM newer WHERE source = 'src5'
 UNION ALL SELECT slug || '.md', 'parse', 'failed to parse ' || slug || '.md: ' || {INVALID} FROM newer WHERE source <> 'src5' AND contains(slug, '!')""",
+        "sync_deep_paths": """WITH d AS (SELECT source, CASE source WHEN 'src3' THEN 'wiki/a/b/c/d/e/f/g/h/i/j/k/' ELSE 'wiki/' END || doc_id AS slug FROM documents)
+SELECT slug, CASE source WHEN 'src3' THEN 'kept' WHEN 'src7' THEN 'removed' ELSE 'unchanged' END AS status FROM d
+UNION ALL SELECT 'more than 10 folders deep: ' || slug || '.md', 'walk' FROM d WHERE source = 'src3'""",
+        "sync_duplicates": """SELECT 'wiki/' || doc_id AS slug, 'wiki/' || doc_id || '.md' AS path, 'unchanged' AS status FROM documents
+UNION ALL SELECT 'same slug as wiki/' || doc_id || '.md: wiki/' || doc_id, 'wiki/' || doc_id, 'duplicate' FROM documents WHERE lang = 'fr'""",
+        "envelope_sync": f"""WITH d AS (SELECT doc_id, {slug('doc_id')} AS slug, doc_id % 20 = 3 AS partly FROM documents)
+SELECT slug, CASE WHEN partly AND doc_id < 2000 THEN 'kept' ELSE 'unchanged' END AS status FROM d
+UNION ALL SELECT slug || '-old', CASE WHEN partly THEN 'kept' ELSE 'removed' END FROM d""",
+        "envelope_listings": """SELECT 'wiki/' || doc_id % 20 AS folder, count(*) FILTER (doc_id % 20 <> 3 OR doc_id >= 2000) AS received,
+  count(*) AS total, doc_id % 20 <> 3 AS complete FROM documents GROUP BY ALL""",
         "reindex": f"""WITH {SNAPSHOTS} SELECT slug, title, page_type, sha256(raw) AS content_hash, 1735689600::BIGINT AS created
 FROM newer WHERE source <> 'src5' AND NOT contains(slug, '!')""",
         "upsert_pages": f"""WITH {BASE} SELECT slug, CASE WHEN lang = 'fr' THEN upper(slug) ELSE title END AS title, created,
@@ -371,8 +388,12 @@ UNION ALL SELECT source_slug || ' ' || link_type || ' ' || target_slug, 'link' F
 SELECT CASE WHEN lower(slug) LIKE '%.md' THEN left(slug, length(slug) - 3) ELSE slug END AS slug, 'page' AS kind FROM dirty
 UNION ALL SELECT source_slug || ' ' || link_type || ' ' || target_slug, 'link' FROM lk""",
         "edits_apply": f"WITH {BASE}, {_FOLDED}",
-        "edits_results": f"""WITH {BASE}, {_TALK} SELECT slug, seq, status, CASE WHEN status = 'conflict' THEN 'etag mismatch: expected ' || etag
-  WHEN status = 'rejected' THEN {INVALID} END AS message FROM res""",
+        "edits_results": f"""WITH {BASE}, {_TALK}, {_folded('page', 'true')}, {_folded('early', 'seq < 2')}
+SELECT res.slug, seq, status, CASE WHEN status = 'conflict' THEN 'etag mismatch: expected ' || etag || ', got ' || early.content_hash
+  WHEN status = 'rejected' THEN {INVALID.replace("slug ||", "res.slug ||")} END AS message,
+  page.content_hash, CASE WHEN status = 'applied' THEN true END AS indexed, CASE WHEN status = 'applied' THEN 0 END AS links_count,
+  CASE WHEN status = 'applied' THEN len(page.timeline) END AS timeline_count
+FROM res LEFT JOIN early USING (slug) LEFT JOIN page ON res.slug = page.slug AND status = 'applied'""",
         "envelope_decode": f"SELECT {slug('doc_id')} || '.md' AS path, text AS raw_content FROM documents",
         "envelope_errors": """SELECT 'not_found' AS stage, 'Note does not exist' AS message, count(*) AS n_responses FROM documents WHERE source = 'src9'
 HAVING count(*) > 0 UNION ALL SELECT 'service', 'denied ' || lang, count(*) FROM documents WHERE source = 'src8' GROUP BY lang""",
@@ -384,5 +405,11 @@ SELECT vec_id, round(similarity, 6) AS similarity FROM (SELECT * FROM s ORDER BY
     out["stream_sync_pages"] = f"""WITH {SNAPSHOTS} SELECT slug, title, sha256(raw) AS content_hash FROM newer
 WHERE source <> 'src5' AND NOT contains(slug, '!')
 UNION ALL SELECT slug, title, sha256(raw) FROM older WHERE source IN ('src5', 'src7')"""
+    out["stream_sync_one_batch"] = out["stream_sync_pages"]
+    out["stream_sync_errors"] = f"""WITH {SNAPSHOTS},
+bad AS (SELECT slug FROM notes WHERE lang <> 'de' AND contains(slug, '!')
+  UNION ALL SELECT slug FROM newer WHERE source <> 'src5' AND contains(slug, '!'))
+SELECT slug || '.md' AS path, 'parse' AS stage, 'failed to parse ' || slug || '.md: ' || {INVALID} AS message FROM bad
+UNION ALL SELECT slug || '.md', 'fetch', 'failed to fetch ' || slug || '.md' FROM newer WHERE source = 'src5'"""
     out["stream_edits_pages"] = out["edits_apply"]
     return out

@@ -93,6 +93,7 @@ def page_view(spark, sf_dir):
         "body",
         F.size("timeline").cast("long").alias("n_entries"),
         "content_hash",
+        "error",
     )
 
 
@@ -380,6 +381,56 @@ def sync_errors(spark, sf_dir):
     return _synced(spark, sf_dir).errors
 
 
+def _small_index(spark, sf_dir, slug):
+    """What a diff needs of stored pages: one per document."""
+    return fx.table(spark, sf_dir, "documents").select(
+        slug.alias("slug"), X.content_hash(F.col("text")).alias("content_hash"), F.timestamp_seconds(F.lit(fx.CREATED_BASE)).alias("created_at")
+    )
+
+
+@register
+def sync_deep_paths(spark, sf_dir):
+    """One source lies deeper than a walk goes: it is reported and kept; another is gone."""
+    deep = F.when(F.col("source") == "src3", F.lit("wiki/a/b/c/d/e/f/g/h/i/j/k/")).otherwise(F.lit("wiki/"))
+    slug = F.concat(deep, F.col("doc_id").cast("string"))
+    listed = fx.table(spark, sf_dir, "documents").where("source <> 'src7'")
+    notes = listed.select(X.slug_to_path(slug).alias("path"), F.col("text").alias("raw_content"))
+    status = written(Y.classify(_small_index(spark, sf_dir, slug), notes), "status")
+    errors = Y.unlisted(status, notes, "wiki", True, 10, None)
+    return status.select("slug", "status").unionByName(errors.select(F.col("message").alias("slug"), F.col("stage").alias("status")))
+
+
+@register
+def sync_duplicates(spark, sf_dir):
+    """French notes are listed under two paths of one slug; the ``.md`` one counts, the other is reported."""
+    slug = F.concat(F.lit("wiki/"), F.col("doc_id").cast("string"))
+    docs = fx.table(spark, sf_dir, "documents")
+    paths = F.when(F.col("lang") == "fr", F.array(slug, F.concat(slug, F.lit(".md")))).otherwise(F.array(F.concat(slug, F.lit(".md"))))
+    notes = docs.select(F.explode(paths).alias("path"), "text")
+    notes = notes.select("path", F.when(F.col("path").endswith(".md"), F.col("text")).otherwise(F.lit("other")).alias("raw_content"))
+    status = written(Y.classify(_small_index(spark, sf_dir, slug), notes, markdown_only=False), "status")
+    errors = Y.unlisted(status, notes, "wiki", False, 10, None)
+    return status.select("slug", "path", "status").unionByName(
+        errors.select(F.col("message").alias("slug"), "path", F.col("stage").alias("status"))
+    )
+
+
+@register
+def envelope_sync(spark, sf_dir):
+    """Listings in pages of 100, one of them missing: nothing below its folder is removed."""
+    responses = written(fx.listings(spark, sf_dir), "responses")
+    notes, _ = V.decode_envelopes(responses)
+    index = _small_index(spark, sf_dir, fx.text_slug(F.col("doc_id")))
+    stale = index.withColumn("slug", F.concat("slug", F.lit("-old")))
+    status = Y.classify(index.unionByName(stale), notes, incomplete=V.incomplete_folders(responses))
+    return status.select("slug", "status")
+
+
+@register
+def envelope_listings(spark, sf_dir):
+    return V.listing_status(fx.listings(spark, sf_dir))
+
+
 @register
 def reindex(spark, sf_dir):
     pages, _, _ = Y.reindex(fx.new_snapshot(spark, sf_dir), F.timestamp_seconds(F.lit(fx.SYNC_TIME)))
@@ -446,8 +497,7 @@ def edits_apply(spark, sf_dir):
 
 @register
 def edits_results(spark, sf_dir):
-    results = _edited(spark, sf_dir).results
-    return results.select("slug", "seq", "status", F.substring_index("message", ", got ", 1).alias("message"))
+    return _edited(spark, sf_dir).results
 
 
 @register
@@ -468,12 +518,27 @@ def nearest_vectors(spark, sf_dir):
     return near.withColumn("similarity", F.round("similarity", 6))
 
 
+def _streamed(spark, sf_dir, together=False):
+    snapshots = [fx.old_snapshot(spark, sf_dir), fx.new_snapshot(spark, sf_dir)]
+    return stream_sync.replay(spark, snapshots, F.timestamp_seconds(F.lit(fx.SYNC_TIME)), together)
+
+
 @register
 def stream_sync_pages(spark, sf_dir):
     """Both snapshots arrive one after the other; nothing is removed by a stream."""
-    snapshots = [fx.old_snapshot(spark, sf_dir), fx.new_snapshot(spark, sf_dir).where("raw_content is not null")]
-    pages, _ = stream_sync.replay(spark, snapshots, F.timestamp_seconds(F.lit(fx.SYNC_TIME)))
-    return pages.select("slug", "title", "content_hash")
+    return _streamed(spark, sf_dir)[0].select("slug", "title", "content_hash")
+
+
+@register
+def stream_sync_errors(spark, sf_dir):
+    """What the same stream could not fetch or parse, once per arrival."""
+    return _streamed(spark, sf_dir)[2]
+
+
+@register
+def stream_sync_one_batch(spark, sf_dir):
+    """Both snapshots arrive in one batch: one row per page, of the later arrival that could be fetched."""
+    return _streamed(spark, sf_dir, together=True)[0].select("slug", "title", "content_hash")
 
 
 @register

@@ -21,11 +21,14 @@ def read_envelopes(spark: SparkSession, path: str) -> DataFrame:
 def decode_envelopes(responses: DataFrame, column: str = "value") -> tuple[DataFrame, DataFrame]:
     """(notes ``(path, raw_content)``, errors ``(stage, message)``). A null list is an empty one."""
     decoded = responses.select(F.from_json(column, ENVELOPE).alias("r")).select("r.*")
-    notes = (
+    listed = (
         decoded.where(F.col("code") == CODE_OK)
         .select(F.explode("data.list").alias("note"))
         .select("note.path", F.col("note.content").alias("raw_content"))
-        .where(F.col("path").isNotNull())
+    )
+    notes = listed.where(F.col("path").isNotNull())
+    nameless = listed.where(F.col("path").isNull()).select(
+        F.lit("listing").alias("stage"), F.lit("note without a path").alias("message")
     )
     stage = (
         F.when(F.col("code").isNull(), F.lit("decode"))
@@ -40,12 +43,40 @@ def decode_envelopes(responses: DataFrame, column: str = "value") -> tuple[DataF
     errors = decoded.where(F.col("code").isNull() | (F.col("code") != CODE_OK)).select(
         stage.alias("stage"), message.alias("message")
     )
-    return notes, errors
+    return notes, errors.unionByName(nameless)
+
+
+def listing_status(responses: DataFrame, column: str = "value", folder: str = "folder") -> DataFrame:
+    """``(folder, received, total, complete)`` of landed listing responses that say which folder they list.
+
+    A listing is complete when as many notes arrived as its pager counts and no response for the folder failed.
+    """
+    decoded = responses.select(F.col(folder).alias("folder"), F.from_json(column, ENVELOPE).alias("r"))
+    fine = F.coalesce(F.col("r.code") == CODE_OK, F.lit(False))
+    listed = F.when(fine, F.coalesce(F.size("r.data.list"), F.lit(0))).otherwise(F.lit(0))
+    sums = decoded.groupBy("folder").agg(
+        F.sum(F.greatest(listed, F.lit(0))).alias("received"),
+        F.max("r.data.pager.totalRows").alias("total"),
+        F.min(fine).alias("_fine"),
+    )
+    whole = F.col("_fine") & F.coalesce(F.col("received") >= F.col("total"), F.lit(False))
+    return sums.select("folder", "received", "total", whole.alias("complete"))
+
+
+def incomplete_folders(responses: DataFrame, column: str = "value", folder: str = "folder") -> DataFrame:
+    """``(folder)`` whose listing is not whole: ``sync`` keeps what lies below them."""
+    return listing_status(responses, column, folder).where("not complete").select("folder")
 
 
 def encode_envelopes(pages_of_notes: DataFrame) -> DataFrame:
-    """Response texts ``value`` from ``(code, message, notes)`` rows; the inverse of decoding, used for landing."""
+    """Response texts ``value`` from ``(code, message, notes)`` rows; the inverse of decoding, used for landing.
+
+    ``total`` (the pager's count, else the size of ``notes``) and ``folder`` are taken along if they are there.
+    """
+    has = set(pages_of_notes.columns)
+    total = F.col("total") if "total" in has else F.size("notes")
     return pages_of_notes.select(
+        *[F.col("folder")] * ("folder" in has),
         F.to_json(
             F.struct(
                 F.col("code"),
@@ -53,7 +84,7 @@ def encode_envelopes(pages_of_notes: DataFrame) -> DataFrame:
                 F.col("message"),
                 F.struct(
                     F.col("notes").alias("list"),
-                    F.struct(F.size("notes").cast("long").alias("totalRows")).alias("pager"),
+                    F.struct(total.cast("long").alias("totalRows")).alias("pager"),
                 ).alias("data"),
             )
         ).alias("value")

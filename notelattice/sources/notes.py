@@ -36,12 +36,30 @@ def stream_notes(spark: SparkSession, root: str, markdown_only: bool = True) ->
     return reader.text(root, wholetext=True).select(_relative_path(root).alias("path"), F.col("value").alias("raw_content"))
 
 
-def walk(notes: DataFrame, directory: str = "wiki", markdown_only: bool = True) -> DataFrame:
-    """Notes that a recursive walk of ``directory`` finds: not hidden, at most MAX_WALK_DEPTH folders down."""
+def _below(path: Column, directory: str) -> tuple[str, Column]:
     prefix = "" if directory in (".", "") else directory.rstrip("/") + "/"
-    below = F.substr(F.col("path"), F.lit(len(prefix) + 1))
+    return prefix, F.substr(path, F.lit(len(prefix) + 1))
+
+
+def too_deep(path: Column, directory: str = "wiki", max_depth: int = MAX_WALK_DEPTH) -> Column:
+    """Whether a path lies below ``directory`` and more than ``max_depth`` folders down."""
+    prefix, below = _below(path, directory)
+    deep = F.size(F.split(below, "/")) - 1 > max_depth
+    return path.startswith(prefix) & deep if prefix else deep
+
+
+def walk(
+    notes: DataFrame, directory: str = "wiki", markdown_only: bool = True, max_depth: int | None = MAX_WALK_DEPTH
+) -> DataFrame:
+    """Notes that a recursive walk of ``directory`` finds: not hidden, at most ``max_depth`` folders down (None: any).
+
+    ``sync`` reports what the depth leaves out.
+    """
+    prefix, below = _below(F.col("path"), directory)
     found = notes.where(F.col("path").startswith(prefix)) if prefix else notes
-    found = found.where(~has_hidden_segment(below) & (F.size(F.split(below, "/")) - 1 <= MAX_WALK_DEPTH))
+    found = found.where(~has_hidden_segment(below))
+    if max_depth is not None:
+        found = found.where(~too_deep(F.col("path"), directory, max_depth))
     return found.where(F.col("path").endswith(".md")) if markdown_only else found
 
 
@@ -60,11 +78,18 @@ def put_notes(notes: DataFrame, updates: DataFrame) -> DataFrame:
 
 
 def append_notes(notes: DataFrame, appends: DataFrame) -> DataFrame:
-    """Append ``appends(path, content)`` (one row per path) to existing notes."""
+    """Append ``appends(path, content)`` (one row per path) to existing notes. See ``missing_appends``."""
     return notes.join(appends.select("path", "content"), "path", "left").select(
         "path", F.concat("raw_content", F.coalesce("content", F.lit(""))).alias("raw_content")
     )
 
 
+def missing_appends(notes: DataFrame, appends: DataFrame) -> DataFrame:
+    """Errors ``(path, stage, message)`` of appends to notes that don't exist."""
+    return appends.select("path").distinct().join(notes.select("path"), "path", "left_anti").select(
+        "path", F.lit("append").alias("stage"), F.concat(F.lit("note does not exist: "), F.col("path")).alias("message")
+    )
+
+
 def delete_notes(notes: DataFrame, paths: DataFrame) -> DataFrame:
     return notes.join(paths.select("path"), "path", "left_anti")

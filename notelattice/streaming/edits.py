@@ -9,7 +9,7 @@ from pyspark.sql.streaming import StreamingQuery
 from notelattice.functions.text import normalize_slug
 from notelattice.operators.edits import apply_edits
 from notelattice.schema import EDITS, PAGES
-from notelattice.session import cut_lineage, scratch_path
+from notelattice.session import scratch_path
 from notelattice.sources.tables import write_version
 from notelattice.streaming.log import current_pages
 
@@ -21,7 +21,7 @@ def start_edits(edits: DataFrame, root: str, checkpoint: str, as_of: Column) ->
         spark = batch.sparkSession
         version = batch_id + 1  # version 0 is the state before the stream
         named = batch.select(normalize_slug(F.col("slug")).alias("slug")).distinct()
-        touched = cut_lineage(current_pages(spark, root, below=version).join(named, "slug", "left_semi"))
+        touched = current_pages(spark, root, below=version).join(named, "slug", "left_semi")
         outcome = apply_edits(touched, batch, as_of)
         write_version(outcome.results, f"{root}/results", version)
         write_version(outcome.raw_notes, f"{root}/raw_notes", version)

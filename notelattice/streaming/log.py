@@ -16,8 +16,16 @@ def _log(spark: SparkSession, root: str, schema, below: int | None) -> DataFrame
     return read_log(spark, root, below)
 
 
+def current_hashes(spark: SparkSession, root: str, below: int | None = None) -> DataFrame:
+    """``(slug, content_hash, created_at)`` of the newest row of every slug: three columns of the log, no text."""
+    log = _log(spark, f"{root}/pages", PAGES, below)
+    newest = log.groupBy("slug").agg(F.max_by(F.struct("content_hash", "created_at"), "version").alias("_row"))
+    return newest.select("slug", "_row.*")
+
+
 def current_pages(spark: SparkSession, root: str, below: int | None = None) -> DataFrame:
-    """Newest row of every slug. Only slugs and versions are aggregated; text meets them in a semi join."""
+    """Newest row of every slug. Slugs and versions are aggregated; the text meets them in a semi join, which
+    moves it if the table of slugs is too large to broadcast. Batches read ``current_hashes`` instead."""
     log = _log(spark, f"{root}/pages", PAGES, below)
     newest = log.groupBy("slug").agg(F.max("version").alias("version"))
     return log.join(newest, ["slug", "version"], "left_semi").select(*PAGES.fieldNames())

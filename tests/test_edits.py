@@ -94,3 +94,16 @@ def test_batch_equals_one_by_one(spark):
         state = apply_edits(state, spark.createDataFrame([e], EDITS), at(100)).upserts
     assert state.first().compiled_truth == together["wiki/a"].compiled_truth
     assert state.first().tags == together["wiki/a"].tags == ["3"]
+
+
+def test_order_errors_and_result_fields(spark):
+    pages = indexed(spark, {"wiki/a.md": note("A")})
+    rows, results, out = run(
+        spark,
+        pages,
+        [edit("wiki/a", 1, "One [[x]] [[y]]"), edit("wiki/a", 2, "t"), edit("wiki/a.md", 2, "t"), edit("wiki/a", None, "n")],
+    )
+    assert results[("wiki/a", 2)] == ("rejected", "seq repeats within the page")
+    assert results[("wiki/a", None)] == ("rejected", "seq is required")
+    one = next(r for r in out.results.collect() if r.status == "applied")
+    assert (one.content_hash, one.indexed, one.links_count, one.timeline_count) == (rows["wiki/a"].content_hash, True, 2, 1)

@@ -25,6 +25,8 @@ def test_read_note_files(spark, tmp_path):
 def test_put_append_delete(spark):
     df = notes_df(spark, {"a.md": "1", "b.md": "2"})
     put = notes.put_notes(df, notes_df(spark, {"b.md": "3", "c.md": "4"}))
+    lost = notes.missing_appends(put, spark.createDataFrame([("a.md",), ("zz.md",)], "path string"))
+    assert [(r.path, r.stage) for r in lost.collect()] == [("zz.md", "append")]
     added = notes.append_notes(put, spark.createDataFrame([("a.md", "+"), ("zz.md", "+")], "path string, content string"))
     left = notes.delete_notes(added, spark.createDataFrame([("c.md",)], "path string"))
     assert {r.path: r.raw_content for r in left.collect()} == {"a.md": "1+", "b.md": "3"}
@@ -59,9 +61,12 @@ def test_versions(spark):
 def test_stream_sync(spark):
     first = notes_df(spark, {"wiki/a.md": note("A", "[[wiki/b]] [[wiki/c]]"), "wiki/b.md": note("B"), "wiki/x.md": "broken"})
     second = notes_df(spark, {"wiki/a.md": note("A2", "[[wiki/c]]"), "wiki/b.md": note("B"), "wiki/c.md": note("C")})
-    pages, links = stream_sync.replay(spark, [first, second], at(7))
+    pages, links, errors = stream_sync.replay(spark, [first, second], at(7))
     assert {r.slug: r.title for r in pages.collect()} == {"wiki/a": "A2", "wiki/b": "B", "wiki/c": "C"}
     assert [(r.source_slug, r.target_slug) for r in links.collect()] == [("wiki/a", "wiki/c")]
+    assert [(r.path, r.stage) for r in errors.collect()] == [("wiki/x.md", "parse")]
+    together = stream_sync.replay(spark, [first, second], at(7), together=True)
+    assert sorted((r.slug, r.title) for r in together[0].collect()) == [("wiki/a", "A2"), ("wiki/b", "B"), ("wiki/c", "C")]
 
 
 def test_stream_from_files(spark, tmp_path):

@@ -113,3 +113,54 @@ def test_slug_cleanup(spark):
     assert slugs(tidy) == ["a", "b", "c"] and edges(tidy_links) == [("a", "b", "plain"), ("c", "d", "plain")]
     once = Y.clean_slugs(tidy, tidy_links)
     assert slugs(once[0]) == slugs(tidy)
+
+
+def test_deep_and_duplicate_notes_are_reported_and_kept(spark):
+    deep = "wiki/" + "d/" * 11 + "n"
+    pages = indexed(spark, {"wiki/a.md": note("A"), f"{deep}.md": note("Deep"), "wiki/gone.md": note("Gone")})
+    listed = {f"{deep}.md": note("Deep"), "wiki/a.md": note("A2"), "wiki/a": note("Other"), "wiki/b": note("B")}
+    out = Y.sync(pages, links_df(spark, []), notes_df(spark, listed), at(5), markdown_only=False)
+    assert {r.slug: r.status for r in out.status.collect()} == {
+        "wiki/a": "changed", "wiki/b": "new", deep: "kept", "wiki/gone": "removed",
+    }
+    assert sorted((r.slug, r.title) for r in out.pages.collect()) == sorted([("wiki/a", "A2"), ("wiki/b", "B"), (deep, "Deep")])
+    assert sorted((r.path, r.stage) for r in out.errors.collect()) == sorted([("wiki/a", "duplicate"), (f"{deep}.md", "walk")])
+    whole = Y.sync(pages, links_df(spark, []), notes_df(spark, listed), at(5), max_depth=None)
+    assert {r.slug: r.status for r in whole.status.collect()}[deep] == "unchanged"
+
+
+def test_incomplete_folders_lose_nothing(spark):
+    pages = indexed(spark, {"wiki/x/a.md": note("A"), "wiki/x/y/b.md": note("B"), "wiki/xy.md": note("C")})
+    folders = spark.createDataFrame([("wiki/x",)], "folder string")
+    out = Y.sync(pages, links_df(spark, []), notes_df(spark, {"wiki/z.md": note("Z")}), at(5), incomplete=folders)
+    status = {r.slug: r.status for r in out.status.collect()}
+    assert status == {"wiki/x/a": "kept", "wiki/x/y/b": "kept", "wiki/xy": "removed", "wiki/z": "new"}
+    assert [(r.path, r.stage) for r in out.errors.collect()] == [("wiki/x", "list")]
+
+
+def test_several_arrivals_of_a_path(spark):
+    rows = [("wiki/a.md", note("One"), 1), ("wiki/a.md", note("Three"), 3), ("wiki/a.md", note("Two"), 2), ("wiki/a.md", None, 4)]
+    rows += [("wiki/b.md", note("Same"), 1), ("wiki/b.md", note("Same"), 1)]
+    arrived = spark.createDataFrame(rows, "path string, raw_content string, seq long")
+    out = Y.sync(pages_df(spark, []), links_df(spark, []), arrived, at(5))
+    assert sorted((r.slug, r.title) for r in out.pages.collect()) == [("wiki/a", "Three"), ("wiki/b", "Same")]
+    assert [(r.path, r.stage) for r in out.errors.collect()] == [("wiki/a.md", "fetch")]
+
+
+def test_no_text_is_shuffled_to_find_what_changed(spark):
+    """With notes too large to broadcast, the changed paths are broadcast and the text stays where it is."""
+    pages, links, notes = start(spark)
+    status = Y.written(Y.classify(pages, notes), "status")
+    size = status._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    assert int(str(size)) < 1 << 20
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        parsed = Y.parse_changes(notes, status)
+        plan = parsed._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "Exchange hashpartitioning" not in plan
+        assert sorted(r.slug for r in parsed.collect()) == ["wiki/bad slug", "wiki/broken", "wiki/edit", "wiki/new"]
+        shuffled = Y.parse_changes(notes, status, broadcast_bytes=0)
+        assert "SortMergeJoin" in shuffled._jdf.queryExecution().executedPlan().toString()
+        assert sorted(map(str, shuffled.collect())) == sorted(map(str, parsed.collect()))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
