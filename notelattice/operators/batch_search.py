@@ -8,11 +8,12 @@ from pyspark.sql import functions as F
 from notelattice.operators.search import MIN_TERM_CHARS, idf, search_table, term_score
 from notelattice.operators.skew import salted_join
 from notelattice.schema import DEFAULT_SEARCH_LIMIT, SEARCH_COLUMNS, SEARCH_WEIGHTS
-from notelattice.session import cut_lineage
+from notelattice.session import written
 
 # Every position yields the three characters that start there; one pass over the text.
 TRIGRAMS = r"(?s)(?=(...))."
-TERM_BROADCAST_BYTES = 32 << 20
+TERM_BROADCAST_BYTES = 32 << 20  # measured; more terms are joined by shuffle, with the same result
+MAX_WINDOW = 32
 
 
 def trigrams(c: Column) -> Column:
@@ -24,52 +25,94 @@ def trigram_postings(pages: DataFrame) -> DataFrame:
     table = search_table(pages)
     columns = F.array(
         *[
-            F.struct(F.lit(c).alias("column"), trigrams(F.col(f"_low_{c}")).alias("found"))
+            F.struct(F.lit(c).alias("column"), F.sort_array(trigrams(F.col(f"_low_{c}"))).alias("found"))
             for c in SEARCH_COLUMNS
         ]
     )
-    return (
-        table.select("slug", F.explode(columns).alias("c"))
-        .select("slug", "c.column", F.explode("c.found").alias("trigram"))
-        .groupBy("trigram", "slug", "column")
-        .agg(F.count("*").alias("tf"))
+    # Counted inside the row: in sorted order a trigram's count is the distance between its first and last place.
+    each = table.select("slug", F.explode(columns).alias("c")).select("slug", "c.column", "c.found")
+    starts = F.filter(
+        F.sequence(F.lit(0), F.size("found") - 1),
+        lambda i: (i == 0) | (F.get("found", i) != F.get("found", i - 1)),
+    )
+    each = each.where(F.size("found") > 0).withColumn("at", starts)
+    following = F.concat(F.slice("at", F.lit(2), F.size("at")), F.array(F.size("found")))
+    counted = each.select(
+        "slug", "column", "found", F.explode(F.arrays_zip(F.col("at"), following.alias("next"))).alias("p")
+    )
+    return counted.select(
+        F.get("found", F.col("p.at")).alias("trigram"),
+        "slug",
+        "column",
+        (F.col("p.next") - F.col("p.at")).cast("long").alias("tf"),
     )
 
 
 def term_hits(table: DataFrame, terms: DataFrame, weights: tuple[float, ...] = SEARCH_WEIGHTS) -> DataFrame:
     """``(slug, n_tokens, term, freq)``: weighted occurrences of every term in every page that holds it.
 
-    Each text position is a window as long as the longest term; it meets the terms that begin with its first
-    three characters and keeps those it starts with. The work grows with the text, not with pages times
-    terms. The terms are broadcast when their measured size allows it; then all rows of a page stay in its
-    task, and with ``table`` partitioned by slug the counts need no shuffle. More terms than that are joined
-    by shuffle, with frequent beginnings spread over salts.
+    Each text position is a window of at most MAX_WINDOW characters; it meets the terms that begin with its first
+    three characters and keeps those it starts with. A longer term is then compared with the text itself, at the
+    positions where its beginning was found. The work grows with the text, not with pages times terms or with the
+    longest term. The terms are broadcast when their measured size allows it; then all rows of a page stay in
+    its task and are counted there before the shuffle. More terms than that are joined by shuffle, with frequent
+    beginnings spread over salts.
     """
-    probes = cut_lineage(terms.select(F.left("term", F.lit(MIN_TERM_CHARS)).alias("head"), "term").distinct())
+    probes = written(
+        terms.select(
+            F.left("term", F.lit(MIN_TERM_CHARS)).alias("head"),
+            F.left("term", F.lit(MAX_WINDOW)).alias("start"),
+            "term",
+        ).distinct(),
+        "probes",
+    )
     size = probes.agg(
         F.coalesce(F.max(F.char_length("term")), F.lit(MIN_TERM_CHARS)).alias("longest"),
-        F.coalesce(F.sum(F.octet_length("term") + 64), F.lit(0)).alias("n_bytes"),
+        F.coalesce(F.sum(2 * F.octet_length("term") + 64), F.lit(0)).alias("n_bytes"),
     ).first()
-    window = F.lit(rf"(?s)(?=(.{{{MIN_TERM_CHARS},{size['longest']}}})).")
+    longest = min(size["longest"], MAX_WINDOW)
+    window = F.lit(rf"(?s)(?=(.{{{MIN_TERM_CHARS},{longest}}})).")
     columns = F.array(
         *[
-            F.struct(F.lit(w).alias("weight"), F.regexp_extract_all(F.col(f"_low_{c}"), window, F.lit(1)).alias("found"))
+            F.struct(
+                F.lit(w).alias("weight"),
+                F.lit(c).alias("column"),
+                F.regexp_extract_all(F.col(f"_low_{c}"), window, F.lit(1)).alias("found"),
+            )
             for c, w in zip(SEARCH_COLUMNS, weights, strict=True)
         ]
     )
     positions = (
         table.select("slug", "n_tokens", F.explode(columns).alias("c"))
-        .select("slug", "n_tokens", "c.weight", F.explode("c.found").alias("window"))
+        .select("slug", "n_tokens", "c.weight", "c.column", F.posexplode("c.found").alias("at", "window"))
         .withColumn("head", F.left("window", F.lit(MIN_TERM_CHARS)))
     )
     if size["n_bytes"] <= TERM_BROADCAST_BYTES:
         met = positions.join(F.broadcast(probes), "head")
     else:
         met = salted_join(positions, probes, "head", "inner")
-    return (
-        met.where(F.col("window").startswith(F.col("term")))
-        .groupBy("slug", "n_tokens", "term")
-        .agg(F.sum("weight").alias("freq"))
+    met = met.where(F.col("window").startswith(F.col("start")))
+    keys = ["slug", "n_tokens", "term"]
+    if size["longest"] > MAX_WINDOW:
+        long = F.char_length("term") > MAX_WINDOW
+        texts = F.create_map(*[x for c in SEARCH_COLUMNS for x in (F.lit(c), F.col(f"_low_{c}"))])
+        checked = met.where(long).join(table.select("slug", texts.alias("texts")), "slug")
+        same = F.substr(F.col("texts")[F.col("column")], F.col("at") + 1, F.char_length("term")) == F.col("term")
+        met = met.where(~long).select(*keys, "weight").unionByName(checked.where(same).select(*keys, "weight"))
+    return met.groupBy(*keys).agg(F.sum("weight").alias("freq"))
+
+
+def query_status(queries: DataFrame) -> DataFrame:
+    """``(query_id, n_terms, n_dropped, status)``: terms below three characters cannot be searched for.
+
+    The status is ``searched``, ``partly`` (some terms dropped) or ``no_terms`` (nothing left, so no hits).
+    """
+    terms = F.array_distinct(F.transform("terms", F.lower))
+    kept = F.size(F.filter(terms, lambda t: F.char_length(t) >= MIN_TERM_CHARS))
+    n = F.greatest(F.size(terms), F.lit(0))
+    status = F.when(kept <= 0, F.lit("no_terms")).when(kept < n, F.lit("partly")).otherwise(F.lit("searched"))
+    return queries.select(
+        "query_id", n.cast("long").alias("n_terms"), (n - F.greatest(kept, F.lit(0))).cast("long").alias("n_dropped"), status.alias("status")
     )
 
 
@@ -81,33 +124,30 @@ def batch_search(
 ) -> DataFrame:
     """Best ``limit`` pages for every ``queries(query_id, terms)``, all terms of a query required.
 
-    First the page count of every term; then the pages of each query's rarest term; only those are looked at
-    for the other terms. The per-query top-k keeps at most ``limit`` rows per task before its shuffle.
-    ``pages`` may be a stored ``search_table``. Term and candidate tables (never text) are written to the
-    shared checkpoint folder.
+    The text is read in one pass, which gives the postings of all terms asked for; they are written. Page counts of
+    terms, the pages of each query's rarest term and the scores come from them alone, so no text is shuffled. The
+    per-query top-k keeps at most ``limit`` rows per task before its shuffle. ``pages`` may be a stored
+    ``search_table``; else one is written first. ``query_status`` tells which terms are too short.
     """
     table = pages if "n_tokens" in pages.columns else search_table(pages)
-    table = table.select("slug", "n_tokens", *[f"_low_{c}" for c in SEARCH_COLUMNS]).repartition("slug")
+    table = table.select("slug", "n_tokens", *[f"_low_{c}" for c in SEARCH_COLUMNS])
+    if "n_tokens" not in pages.columns:
+        table = written(table, "search-table")
     wanted = queries.select("query_id", F.explode(F.array_distinct(F.transform("terms", F.lower))).alias("term"))
-    wanted = cut_lineage(wanted.where(F.char_length("term") >= MIN_TERM_CHARS))
-    counts = term_hits(table, wanted, weights).groupBy("term").agg(F.count("*").alias("n_with"))
+    wanted = written(wanted.where(F.char_length("term") >= MIN_TERM_CHARS), "wanted")
+    hits = written(term_hits(table, wanted.select("term"), weights), "hits")
+    counts = hits.groupBy("term").agg(F.count("*").alias("n_with"))
 
     # A term without pages leaves its query without hits.
     n_terms = wanted.groupBy("query_id").agg(F.count("*").alias("n_terms"))
-    asked = cut_lineage(wanted.join(counts, "term").join(n_terms, "query_id"))
+    asked = written(wanted.join(counts, "term").join(n_terms, "query_id"), "asked")
     rarest = asked.groupBy("query_id", "n_terms").agg(
         F.count("*").alias("_found"), F.min_by("term", F.struct("n_with", "term")).alias("term")
     )
-    rarest = rarest.where("_found = n_terms").select("query_id", "term")
-    candidates = cut_lineage(
-        salted_join(term_hits(table, rarest, weights).select("slug", "term"), rarest, "term", "inner").select(
-            "query_id", "slug"
-        )
+    rarest = written(rarest.where("_found = n_terms").select("query_id", "term"), "rarest")
+    candidates = written(
+        salted_join(hits.select("slug", "term"), rarest, "term", "inner").select("query_id", "slug"), "candidates"
     )
-
-    looked_at = table.join(candidates.select("slug").distinct(), "slug", "left_semi")
-    open_terms = asked.join(candidates.select("query_id").distinct(), "query_id", "left_semi")
-    hits = cut_lineage(term_hits(looked_at, open_terms, weights))
     # A popular query meets many candidates, a popular page many queries; (slug, term) is unique in hits.
     needed = salted_join(candidates, asked, "query_id", "inner")
     scored = needed.join(hits, ["slug", "term"])

@@ -273,6 +273,17 @@ sc AS (SELECT query_id, slug, sum(-(CASE WHEN ln((n-nw+0.5)/(nw+0.5)) > 0 THEN l
   FROM hit JOIN nt USING (term), st GROUP BY ALL)
 SELECT query_id, position::BIGINT AS position, slug, round(rank, 6) AS rank FROM (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank, slug) AS position FROM sc) WHERE position <= 10""",
+        "search_batch_status": """WITH w AS (SELECT item_id AS query_id,
+  list_distinct(regexp_split_to_array(regexp_replace(lower(text), '[^\\p{L}\\s]', ' ', 'g'), '\\s+')) AS t FROM benchmark),
+c AS (SELECT query_id, len(t) AS n, len(list_filter(t, lambda x: length(x) < 3)) AS short FROM w)
+SELECT query_id, n AS n_terms, short AS n_dropped,
+  CASE WHEN short = n THEN 'no_terms' WHEN short > 0 THEN 'partly' ELSE 'searched' END AS status FROM c""",
+        "search_after_sync": f"""WITH {SNAPSHOTS},
+body AS (SELECT n.slug, n.title, n.truth, n.timeline_text FROM notes n JOIN todo USING (slug)
+  UNION ALL SELECT n.slug, n.title, CASE WHEN n.source IN ('src3', 'src4') THEN 'Draft. ' || n.truth ELSE n.truth END, n.timeline_text
+  FROM older o JOIN valid n USING (slug) JOIN status s ON o.slug = s.slug WHERE s.status IN ('unchanged', 'failed'))
+SELECT slug FROM body WHERE contains(lower(slug || chr(10) || title || chr(10) || truth || chr(10) || timeline_text), 'tion')
+  OR contains(lower(slug || chr(10) || title || chr(10) || truth || chr(10) || timeline_text), 'keit')""",
         "trigram_postings": f"""WITH {BASE},
 c AS (SELECT slug, unnest(['slug','title','compiled_truth','timeline_text']) AS "column",
         unnest([lower(slug), lower(title), lower(truth), lower(timeline_text)]) AS s FROM kb),

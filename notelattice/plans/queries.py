@@ -69,6 +69,21 @@ def search_batch(spark, sf_dir):
     return hits.withColumn("rank", F.round("rank", 6))
 
 
+@register
+def search_batch_status(spark, sf_dir):
+    """Which benchmark queries have words too short to search for."""
+    words = F.split(F.regexp_replace(F.lower("text"), r"[^\p{L}\s]", " "), r"\s+")
+    asked = fx.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), words.alias("terms"))
+    return batch.query_status(asked)
+
+
+@register
+def search_after_sync(spark, sf_dir):
+    """Search over the pages that a sync left, through a stored search table."""
+    pages = _synced(spark, sf_dir).pages
+    return S.search_slugs(written(S.search_table(pages), "search-table"), "tion OR keit")
+
+
 @register
 def trigram_postings(spark, sf_dir):
     found = batch.trigram_postings(fx.texts(spark, sf_dir))

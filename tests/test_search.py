@@ -127,3 +127,14 @@ def test_trigram_postings(spark):
     got = {(r.trigram, r.column): r.tf for r in batch_search.trigram_postings(pages).collect()}
     assert got[("abc", "slug")] == 2 and got[("aaa", "compiled_truth")] == 2 and got[("测试记", "compiled_truth")] == 1
     assert not any(column == "title" for _, column in got)
+
+
+def test_batch_terms_longer_than_a_window(spark):
+    long = "x" * 10 + "abc" * 20
+    pages = [{"slug": "a", "title": "t", "compiled_truth": f"one {long}q two {long}"}, {"slug": "b", "title": "t", "compiled_truth": long[:-1]}]
+    queries = spark.createDataFrame([(1, [long]), (2, [long[:40], "one"]), (3, ["ab"])], "query_id long, terms array<string>")
+    got = [(r.query_id, r.slug) for r in batch_search.batch_search(pages_df(spark, pages), queries).orderBy("query_id").collect()]
+    assert got == [(1, "a"), (2, "a")]
+    assert [(r.query_id, r.status) for r in batch_search.query_status(queries).collect()] == [(1, "searched"), (2, "searched"), (3, "no_terms")]
+    hits = batch_search.term_hits(search.search_table(pages_df(spark, pages)), spark.createDataFrame([(long,), (long[:40],)], "term string"), (1.0,) * 4)
+    assert sorted((r.slug, len(r.term), r.freq) for r in hits.collect()) == [("a", 40, 2.0), ("a", 70, 2.0), ("b", 40, 1.0)]
