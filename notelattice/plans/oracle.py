@@ -367,6 +367,32 @@ SELECT slug, position, e.date AS date, e.source_url AS source_url, e.content AS
         "timeline_stats": f"""WITH {BASE}, x AS (SELECT slug, unnest(timeline) AS e FROM kb)
 SELECT e.date AS date, e.agent AS agent, count(*) AS n_entries, count(DISTINCT slug) AS n_pages FROM x GROUP BY e.date, e.agent""",
         "extract_wikilinks": f"WITH {BASE} " + _LINKS_OF.format("valid"),
+        "repeated_links": """WITH d AS (SELECT 'wiki/' || doc_id AS slug, source || '/x' AS target, lang = 'en' AS twice FROM documents),
+l AS (SELECT slug AS source_slug, target AS target_slug, 'Custom("cites")' AS link_type, twice FROM d UNION ALL SELECT slug, unnest(['plain/x', 'decoy']), 'Plain', twice FROM d)
+SELECT source_slug, target_slug, link_type, 'first' AS mode FROM l
+UNION ALL SELECT source_slug, target_slug, link_type, 'reject' FROM l WHERE NOT twice
+UNION ALL SELECT slug || '.md', 'failed to update links for ' || slug || ': repeated link', 'links', 'reject' FROM d WHERE twice""",
+        "notes_store": """WITH c AS (SELECT 'raw/' || conv_id || '/' || turn || '.md' AS path, turn, text FROM conversations)
+SELECT path, sha256(CASE turn WHEN 0 THEN 'replaced' WHEN 2 THEN text || '+' ELSE text END) AS value FROM c WHERE turn <> 3
+UNION ALL SELECT path || '.md', sha256('new') FROM c WHERE turn = 1
+UNION ALL SELECT 'lost/' || path, 'note does not exist: lost/' || path FROM c WHERE turn = 2""",
+        "edits_validation": """WITH c AS (SELECT *, turn % 7 AS k, CASE WHEN turn % 7 IN (0, 2, 4) THEN 'raw/' ELSE 'wiki/n' END || conv_id || '-' || turn AS slug FROM conversations)
+SELECT slug, turn AS seq, CASE k WHEN 0 THEN 'applied' ELSE 'rejected' END AS status, CASE k
+  WHEN 1 THEN 'frontmatter is required when creating a new page' WHEN 2 THEN 'frontmatter must not be provided for raw pages'
+  WHEN 3 THEN 'title is required in frontmatter for new pages' WHEN 4 THEN 'timeline must not be provided for raw pages'
+  WHEN 5 THEN 'invalid page_type: ''Foo''. Valid types: Entity, Concept, Source, Query, Synthesis, Comparison'
+  WHEN 6 THEN 'title must not be empty for new pages' END AS message,
+  CASE k WHEN 0 THEN sha256(text) END AS content_hash, CASE k WHEN 0 THEN false END AS indexed FROM c""",
+        "graph_query": _neighbors(GRAPH, f"{FORWARD} UNION ALL {BACKWARD}", "customer/7", 2).replace(
+            "SELECT slug, min(distance)::BIGINT AS distance",
+            """SELECT source_slug, target_slug, link_type FROM lk WHERE source_slug = 'customer/7'
+UNION ALL SELECT source_slug, target_slug, link_type FROM lk WHERE target_slug = 'customer/7'
+UNION ALL SELECT 'customer/7', slug, min(distance)::VARCHAR""",
+        ),
+        "search_edge_cases": f"""WITH {BASE}, g AS (SELECT count(*) AS n FROM kb
+  WHERE contains(lower(slug || chr(10) || title || chr(10) || truth || chr(10) || timeline_text), 'tion'))
+SELECT unnest(['blank', 'quotes', 'short', 'malformed', 'no tags']) AS query, 0::BIGINT AS n_hits
+UNION ALL SELECT 'good', least(n, 100) FROM g""",
         "content_hash": f"WITH {BASE} SELECT slug || '.md' AS path, sha256(raw) AS content_hash FROM notes",
         "sync_classify": f"WITH {SNAPSHOTS} SELECT slug, status FROM status",
         "sync_pages": f"WITH {SNAPSHOTS} SELECT slug, title, content_hash, created::BIGINT AS created, updated::BIGINT AS updated FROM synced",

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -19,8 +20,10 @@ from notelattice.operators import sync as Y
 from notelattice.operators import timeline as TL
 from notelattice.operators.parse import page_links, parse_notes, unique_links
 from notelattice.plans import fixtures as fx
+from notelattice.schema import LINKS, PAGES
 from notelattice.session import scratch_path, written
 from notelattice.sources import envelopes as V
+from notelattice.sources import notes as N
 from notelattice.sources.notes import walk
 from notelattice.sources.tables import read_version, write_version
 from notelattice.streaming import edits as stream_edits
@@ -58,6 +61,17 @@ _search("search_not", "tion NOT ment", limit=100)
 _search("search_phrase", "src1-note 0", limit=100)
 
 
+@register
+def search_edge_cases(spark, sf_dir):
+    """Hits of blank, too short and malformed queries, next to a good one."""
+    texts = fx.texts(spark, sf_dir)
+    asked = {"blank": "  ", "quotes": '""', "short": "ti", "malformed": "title:tion", "good": "tion"}
+    counts = [S.search(texts, q, limit=100).agg(F.count("*").alias("n_hits")).withColumn("query", F.lit(k)) for k, q in asked.items()]
+    found = tags.search_tags(fx.pages(spark, sf_dir), [], "or")
+    counts.append(found.agg(F.count("*").alias("n_hits")).withColumn("query", F.lit("no tags")))
+    return reduce(DataFrame.unionByName, counts)
+
+
 @register
 def search_unweighted(spark, sf_dir):
     return S.search_slugs(fx.texts(spark, sf_dir), "tion OR keit")
@@ -219,6 +233,14 @@ def neighbors_both(spark, sf_dir):
     return G.neighbors(written(fx.links(spark, sf_dir), "links"), "wiki/1/1", depth=4, link_type="cites", direction="both")
 
 
+@register
+def graph_query(spark, sf_dir):
+    """Direct links and neighbours of one page."""
+    direct, near = G.graph_query(written(fx.graph_links(spark, sf_dir), "links"), "customer/7", depth=2, direction="both")
+    rows = direct.select("source_slug", "target_slug", "link_type")
+    return rows.unionByName(near.select(F.lit("customer/7").alias("source_slug"), F.col("slug").alias("target_slug"), F.col("distance").cast("string").alias("link_type")))
+
+
 @register
 def orphans(spark, sf_dir):
     return G.orphans(fx.graph_pages(spark, sf_dir), fx.graph_links(spark, sf_dir))
@@ -343,6 +365,48 @@ def extract_wikilinks(spark, sf_dir):
     return unique_links(page_links(good))
 
 
+def _doubled(spark, sf_dir):
+    """Notes of which every English one holds its link twice, the second time with a label.
+
+    Only backticks fence links off; a link between tildes counts.
+    """
+    target = F.concat(F.lit("[[cites::"), F.col("source"), F.lit("/x"))
+    again = F.when(F.col("lang") == "en", F.concat(F.lit(" "), target, F.lit("|again]]"))).otherwise(F.lit(""))
+    text = F.concat(F.lit("---\ntitle: T\n---\n~~~\n[[decoy]]\n~~~\n"), target, F.lit("]]"), again, F.lit(" [[plain/x]]\n"))
+    docs = fx.table(spark, sf_dir, "documents")
+    return docs.select(F.concat(F.lit("wiki/"), F.col("doc_id").cast("string"), F.lit(".md")).alias("path"), text.alias("raw_content"))
+
+
+@register
+def repeated_links(spark, sf_dir):
+    """The first of repeated links counts, or with ``reject`` the page keeps none; as result text shows them."""
+    as_of = F.timestamp_seconds(F.lit(fx.SYNC_TIME))
+    none = lambda schema: spark.createDataFrame([], schema)
+    notes = written(_doubled(spark, sf_dir), "notes")
+    out = None
+    for mode in ("first", "reject"):
+        done = Y.sync(none(PAGES), none(LINKS), notes, as_of, on_duplicate=mode)
+        shown = G.link_view(done.links).select("source_slug", "target_slug", "link_type", F.lit(mode).alias("mode"))
+        told = done.errors.select(F.col("path").alias("source_slug"), F.col("message").alias("target_slug"), F.col("stage").alias("link_type"), F.lit(mode).alias("mode"))
+        out = shown.unionByName(told) if out is None else out.unionByName(shown).unionByName(told)
+    return out
+
+
+@register
+def notes_store(spark, sf_dir):
+    """Raw notes after a put, an append to every second of them and to some that don't exist, and a delete."""
+    notes = written(fx.raw_notes(spark, sf_dir), "notes")
+    put = notes.where("path like '%/0.md'").select("path", F.lit("replaced").alias("raw_content"))
+    new = notes.where("path like '%/1.md'").select(F.concat("path", F.lit(".md")).alias("path"), F.lit("new").alias("raw_content"))
+    stored = N.put_notes(notes, put.unionByName(new))
+    appends = notes.where("path like '%/2.md'").select("path", F.lit("+").alias("content"))
+    lost = appends.withColumn("path", F.concat(F.lit("lost/"), "path"))
+    both = appends.unionByName(lost)
+    kept = N.delete_notes(N.append_notes(stored, both), notes.where("path like '%/3.md'"))
+    rows = kept.select("path", X.content_hash(F.col("raw_content")).alias("value"))
+    return rows.unionByName(N.missing_appends(stored, both).select("path", F.col("message").alias("value")))
+
+
 @register
 def content_hash(spark, sf_dir):
     return fx.notes(spark, sf_dir).select("path", X.content_hash(F.col("raw_content")).alias("content_hash"))
@@ -515,6 +579,29 @@ def edits_results(spark, sf_dir):
     return _edited(spark, sf_dir).results
 
 
+@register
+def edits_validation(spark, sf_dir):
+    """Edits of raw notes and of new pages, most of them refused, by their turn."""
+    kind = F.col("turn") % 7
+    raw = kind.isin(0, 2, 4)
+    name = F.concat_ws("-", "conv_id", "turn")
+    edits = fx.table(spark, sf_dir, "conversations").select(
+        F.concat(F.when(raw, F.lit("raw/")).otherwise(F.lit("wiki/n")), name).alias("slug"),
+        F.col("turn").alias("seq"),
+        F.col("text").alias("body"),
+        F.when(kind.isin(2, 3), F.lit("{}"))
+        .when(kind == 5, F.lit('{"title":"T","page_type":"Foo"}'))
+        .when(kind == 6, F.lit('{"title":""}'))
+        .alias("frontmatter"),
+        F.when(~kind.isin(0, 2), F.lit("done")).alias("timeline_content"),
+        F.lit(None).cast("string").alias("timeline_agent"),
+        F.lit(None).cast("string").alias("etag"),
+        F.lit("2025-01-01").alias("as_of_date"),
+    )
+    done = E.apply_edits(spark.createDataFrame([], PAGES), edits, F.timestamp_seconds(F.lit(fx.SYNC_TIME)))
+    return done.results.select("slug", "seq", "status", "message", "content_hash", "indexed")
+
+
 @register
 def envelope_decode(spark, sf_dir):
     notes, _ = V.decode_envelopes(fx.envelopes(spark, sf_dir))
