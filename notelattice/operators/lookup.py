@@ -98,3 +98,13 @@ def collection_stats(pages: DataFrame, links: DataFrame) -> DataFrame:
         # One entry per page type, of which there are six.
         F.map_from_entries(F.collect_list(F.struct("page_type", "n_pages"))).alias("pages_by_type"),
     ).select("total_pages", "pages_by_type", n_links.alias("total_links"), n_orphans.alias("orphan_count"))
+
+
+def listing_counts(notes: DataFrame, directory: str = ".") -> DataFrame:
+    """``(kind, n_children)`` of a folder's direct children."""
+    return list_dir(notes, directory).groupBy("kind").agg(F.count("*").alias("n_children"))
+
+
+def json_rows(result: DataFrame) -> DataFrame:
+    """Any result as one JSON text per row, ``value``; nulls are written."""
+    return result.select(F.to_json(F.struct(*result.columns), {"ignoreNullFields": "false"}).alias("value"))

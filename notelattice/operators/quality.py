@@ -74,3 +74,8 @@ def maintain(pages: DataFrame, links: DataFrame, scope: str = "full") -> DataFra
     for part in parts[1:]:
         report = report.unionByName(part)
     return report
+
+
+def issue_counts(report: DataFrame) -> DataFrame:
+    """``(scope, severity, issues_count)`` of a report of ``maintain``."""
+    return report.groupBy("scope", "severity").agg(F.count("*").alias("issues_count"))

@@ -11,7 +11,7 @@ import re
 from functools import reduce
 from operator import and_, or_
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from notelattice.functions.stage import staged
@@ -142,24 +142,54 @@ def search(
     sort: str | None = None,
     weights: tuple[float, ...] = SEARCH_WEIGHTS,
     on_invalid: str = "empty",
+    max_limit: int = MAX_SEARCH_LIMIT,
 ) -> DataFrame:
-    """``(slug, title, preview, rank)`` of the best ``limit`` pages.
+    """``(slug, title, preview, rank)`` of the best ``limit`` pages, of at most ``max_limit``.
 
     Two column-pruned scans: one aggregate for the corpus statistics (a scalar subquery), one for the hits,
-    ending in a per-partition top-k.
+    ending in a per-partition top-k. ``search_page`` also tells how many pages matched.
     """
-    hits = ranked(pages, clean_query(query), weights, on_invalid)
-    if type_filter and type_filter.strip():
-        hits = hits.where(F.col("page_type") == type_filter)
-    order = {"date": [F.desc("updated_at")], "title": [F.asc("title")]}.get(sort or "", [F.asc("rank")])
-    return (
-        hits.select("slug", "title", F.left("compiled_truth", F.lit(PREVIEW_CHARS)).alias("preview"), "rank", "updated_at")
-        .orderBy(*order, "slug")
-        .limit(min(max(limit, 0), MAX_SEARCH_LIMIT))
-        .select("slug", "title", "preview", "rank")
+    hits = _filtered(pages, query, type_filter, weights, on_invalid)
+    return _best(hits, limit, sort, max_limit).select("slug", "title", "preview", "rank")
+
+
+def search_page(
+    pages: DataFrame,
+    query: str,
+    limit: int = DEFAULT_SEARCH_LIMIT,
+    type_filter: str | None = None,
+    sort: str | None = None,
+    weights: tuple[float, ...] = SEARCH_WEIGHTS,
+    on_invalid: str = "empty",
+    max_limit: int = MAX_SEARCH_LIMIT,
+) -> DataFrame:
+    """``search`` with ``position`` (from 1, in the order asked for) and ``total``, the number of matching pages."""
+    hits = _filtered(pages, query, type_filter, weights, on_invalid)
+    # The window sees no more than the rows of the result.
+    place = F.row_number().over(Window.orderBy(*_order(sort), "slug")).cast("long")
+    best = _best(hits, limit, sort, max_limit).withColumn("position", place)
+    return best.withColumn("total", hits.agg(F.count("*")).scalar()).select(
+        "position", "slug", "title", "preview", "rank", "total"
     )
 
 
+def _filtered(
+    pages: DataFrame, query: str, type_filter: str | None, weights: tuple[float, ...], on_invalid: str
+) -> DataFrame:
+    hits = ranked(pages, clean_query(query), weights, on_invalid)
+    return hits.where(F.col("page_type") == type_filter) if type_filter and type_filter.strip() else hits
+
+
+def _order(sort: str | None) -> list[Column]:
+    return {"date": [F.desc("updated_at")], "title": [F.asc("title")]}.get(sort or "", [F.asc("rank")])
+
+
+def _best(hits: DataFrame, limit: int, sort: str | None, max_limit: int) -> DataFrame:
+    preview = F.left("compiled_truth", F.lit(PREVIEW_CHARS)).alias("preview")
+    shown = hits.select("slug", "title", preview, "rank", "updated_at")
+    return shown.orderBy(*_order(sort), "slug").limit(min(max(limit, 0), max_limit))
+
+
 def ranked(
     pages: DataFrame, text: str, weights: tuple[float, ...] = SEARCH_WEIGHTS, on_invalid: str = "empty"
 ) -> DataFrame:

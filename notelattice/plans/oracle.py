@@ -389,6 +389,15 @@ SELECT slug, turn AS seq, CASE k WHEN 0 THEN 'applied' ELSE 'rejected' END AS st
 UNION ALL SELECT source_slug, target_slug, link_type FROM lk WHERE target_slug = 'customer/7'
 UNION ALL SELECT 'customer/7', slug, min(distance)::VARCHAR""",
         ),
+        "search_page": f"""WITH {BASE}, m AS (SELECT slug, title FROM kb
+  WHERE contains(lower(slug || chr(10) || title || chr(10) || truth || chr(10) || timeline_text), 'tion'))
+SELECT row_number() OVER (ORDER BY title, slug) AS position, slug, (SELECT count(*) FROM m) AS total FROM m
+QUALIFY position <= 25""",
+        "issue_counts": f"""WITH {BASE}, r AS ({LINT}
+UNION ALL SELECT 'warning', 'orphans', slug FROM kb ANTI JOIN lk ON slug = target_slug
+UNION ALL SELECT 'error', 'backlinks', target_slug FROM lk ANTI JOIN kb ON target_slug = slug)
+SELECT scope, severity, count(*) AS issues_count FROM r GROUP BY ALL""",
+        "listing_json": """SELECT '{"kind":"folder","n_children":' || count(DISTINCT conv_id) || '}' AS value FROM conversations HAVING count(*) > 0""",
         "search_edge_cases": f"""WITH {BASE}, g AS (SELECT count(*) AS n FROM kb
   WHERE contains(lower(slug || chr(10) || title || chr(10) || truth || chr(10) || timeline_text), 'tion'))
 SELECT unnest(['blank', 'quotes', 'short', 'malformed', 'no tags']) AS query, 0::BIGINT AS n_hits

@@ -61,6 +61,13 @@ _search("search_not", "tion NOT ment", limit=100)
 _search("search_phrase", "src1-note 0", limit=100)
 
 
+@register
+def search_page(spark, sf_dir):
+    """Positions and the number of all matches, in the order of the title."""
+    found = S.search_page(fx.texts(spark, sf_dir), "tion", sort="title", limit=25)
+    return found.select("position", "slug", "total")
+
+
 @register
 def search_edge_cases(spark, sf_dir):
     """Hits of blank, too short and malformed queries, next to a good one."""
@@ -284,6 +291,17 @@ def maintain_full(spark, sf_dir):
     return Q.maintain(fx.pages(spark, sf_dir), fx.links(spark, sf_dir), "full")
 
 
+@register
+def issue_counts(spark, sf_dir):
+    return Q.issue_counts(Q.maintain(fx.pages(spark, sf_dir), fx.links(spark, sf_dir), "full"))
+
+
+@register
+def listing_json(spark, sf_dir):
+    """Counts of a folder's children as JSON texts."""
+    return L.json_rows(L.listing_counts(fx.raw_notes(spark, sf_dir), "raw"))
+
+
 @register
 def slug_checks(spark, sf_dir):
     """Rules and conversions on page addresses and document slugs."""
