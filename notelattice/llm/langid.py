@@ -8,8 +8,8 @@ language needn't share a mean. The label of the nearest centroid by cosine wins,
 Rejection is by distance: a text is rejected when its best cosine is below the lowest that training texts of about
 its length show, times a slack. Short texts are far from everything, so only those that share next to nothing go.
 
-Training takes at most ``max_sample`` labelled rows, spread evenly over the labels by a hash of the text, whole
-texts, and only their bucket counts reach the driver (``BUCKETS`` at most per row). Prediction reads every whole text
+Training takes at most ``max_sample`` distinct labelled texts, spread evenly over the labels by a hash of the text,
+as a whole, and only their bucket counts reach the driver (``BUCKETS`` at most per row). Prediction reads every whole text
 in Arrow functions; the model it carries has ``features`` numbers per centroid.
 
 Defined cases: a null text or one without a letter is ``und`` with score 0 and is rejected. Labels that are null
@@ -24,7 +24,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from notelattice.llm.common import check_columns, ship, text_batches, with_text
@@ -137,15 +137,27 @@ def clustered(vectors: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
 
 
 def sample(docs: DataFrame, text_col: str, label_col: str, max_sample: int) -> DataFrame:
-    """At most ``max_sample`` labelled rows, as many of each label as there are, up to an equal share."""
+    """At most ``max_sample`` distinct labelled texts, as many of each label as there are, up to an equal share.
+
+    A text is drawn by its own hash, so copies are drawn together and count once, and no label is sorted. The
+    distinct texts of a label are estimated with a combine before the shuffle; texts move only when they are drawn.
+    """
     labelled = docs.where(F.col(label_col).isNotNull() & F.col(text_col).isNotNull())
-    labelled = labelled.select(F.col(text_col).alias("text"), F.col(label_col).alias("label"))
-    n = labelled.agg(F.count_distinct("label")).first()[0]
-    if not n:
-        return labelled.limit(0)
-    order = Window.partitionBy("label").orderBy(F.xxhash64("text"), "text")
-    placed = labelled.withColumn("place", F.row_number().over(order))
-    return placed.where(F.col("place") <= max(1, max_sample // n)).orderBy("place").limit(max_sample).drop("place")
+    labelled = labelled.select(
+        F.col(text_col).alias("text"), F.col(label_col).alias("label"), F.xxhash64(text_col).alias("hash")
+    )
+    sizes = labelled.groupBy("label").agg(F.approx_count_distinct("hash").alias("n"))
+    sizes = sizes.orderBy(F.desc("n"), "label").limit(max_sample).collect()
+    if not sizes:
+        return labelled.limit(0).select("text", "label")
+    share = max_sample / len(sizes)
+    rates = labelled.sparkSession.createDataFrame(
+        [(x["label"], min(1.0, share / max(1, x["n"]))) for x in sizes], "label string, rate double"
+    )
+    place = F.pmod(F.col("hash"), F.lit(1 << 30)) / (1 << 30)
+    drawn = labelled.join(F.broadcast(rates), "label").where(place <= F.col("rate"))  # max_sample rows at most
+    drawn = drawn.groupBy("label", "hash").agg(F.min("text").alias("text"))
+    return drawn.orderBy(F.xxhash64("hash", F.lit(1)), "label").limit(max_sample).select("text", "label")
 
 
 def fit(
@@ -156,7 +168,7 @@ def fit(
     max_n: int = 3,
     features: int = 4096,
     centroids: int = 4,
-    slack: float = 0.5,
+    slack: float = 0.25,
 ) -> Model:
     """A model from a bounded sample of the labelled rows."""
     check_columns(docs, [text_col, label_col], [])
