@@ -77,7 +77,7 @@ def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def choose_pivots(nodes: DataFrame, per_group: int, max_pivots: int, eps: float) -> dict[tuple[int, int], Pivots]:
     """For every (label, dimension) a number of pivots that grows with the root of its nodes, ``max_pivots`` in all."""
     sizes = nodes.groupBy("label", F.size("v").alias("dim")).count().orderBy(F.desc("count")).limit(max_pivots).collect()
-    wanted = {(x["label"], x["dim"]): min(per_group, max(1, int((x["count"] / 4) ** 0.5))) for x in sizes}
+    wanted = {(x["label"], x["dim"]): min(per_group, max(1, int(x["count"] ** 0.5 / 8))) for x in sizes}
     shrink = max(1.0, sum(wanted.values()) / max_pivots)
     share = {k: max(1, int(n / shrink)) for k, n in wanted.items()}
     count = {(x["label"], x["dim"]): x["count"] for x in sizes}
@@ -103,7 +103,7 @@ def range_links(
     min_cosine: float = 0.98,
     per_group: int = 256,
     max_pivots: int = 4096,
-    block_rows: int = 2048,
+    block_rows: int = 4096,
 ) -> DataFrame:
     """``(node, links, root)`` for ``nodes(node, label, v, copies)``: rows linked in other nodes, and star edges.
 
