@@ -84,7 +84,7 @@ def mix(
     weights: list[float] | None = None,
     max_epochs: float = 3.0,
     seed: int = 17,
-    bucket_bits: int = 16,
+    bucket_bits: int = 12,
 ) -> DataFrame:
     """``docs`` with ``size``, ``source_size``, ``target`` (of the source) and ``taken`` words."""
     added = ["size", "source_size", "target", "taken"]
