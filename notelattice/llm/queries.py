@@ -31,7 +31,7 @@ def query(f: Query) -> Query:
 @query
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages written as WARC records and read back by byte ranges."""
-    records = read_warc(write_warc(table(spark, sf_dir, "pages")), split_bytes=1 << 22)
+    records = read_warc(write_warc(table(spark, sf_dir, "pages")))
     return records.select(
         F.col("record_id").cast("long").alias("page_id"),
         "payload_bytes",
