@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 
 from notelattice.llm.common import check_columns, ship, stored, text_batches, with_text
 from notelattice.llm.components import components, merge
+from notelattice.operators.skew import if_small
 
 BITS = 64
 
@@ -252,9 +253,10 @@ def near_duplicates(
     rooted = nodes.join(members.select(F.col("node").alias("fp"), "root"), "fp", "left")
     rooted = rooted.select("fp", "first", "copies", F.coalesce("root", "fp").alias("group"))
     names = rooted.groupBy("group").agg(F.min("first").alias("_name"), F.sum("copies").alias("_size"))
-    # Only groups of two and more rows; every other row names its own group.
+    # Only groups of two and more rows; every other row names its own group. Measured, and broadcast up to a bound,
+    # so that kept texts stay where they are; beyond it, joined by shuffle.
     groups = rooted.join(names.where("_size > 1").select("group", "_name"), "group").select("fp", "group", "_name")
-    found = marked.join(stored(groups, "groups"), "fp", "left")
+    found = marked.join(if_small(stored(groups, "groups")), "fp", "left")
     return found.select(
         *keep,
         F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"),
