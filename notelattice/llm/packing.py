@@ -22,7 +22,7 @@ import re
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -52,8 +52,7 @@ class WordEncoder:
     """
 
     def __init__(self, path: str, memory: int = 500_000):
-        self.whole = Tokenizer.from_file(path)
-        self.memory, self.known = memory, {}
+        self.path, self.memory, self.known = path, memory, {}
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         text = json.dumps(spec["pre_tokenizer"], ensure_ascii=False)
@@ -74,6 +73,11 @@ class WordEncoder:
             self.ends = np.zeros(max(vocab.values()) + 1, bool)
             self.ends[[i for token, i in vocab.items() if token.endswith(WORD_END)]] = True
 
+    @cached_property
+    def whole(self) -> Tokenizer:
+        """The library as it is; loaded when the first text needs it."""
+        return Tokenizer.from_file(self.path)
+
     def _learn(self, words: list[str]) -> None:
         known = self.known
         cut = [LATIN_WORD.findall(w) for w in words]
