@@ -12,8 +12,9 @@ from notelattice.llm import langid
 from notelattice.llm.common import stored, table
 from notelattice.llm.line_dedup import drop_boilerplate
 from notelattice.llm.mixing import mix, repeated
+from notelattice.llm.near_copies import near_copies
 from notelattice.llm.packing import pack_documents
-from notelattice.llm.simhash import near_duplicates, one_of_each
+from notelattice.llm.simhash import one_of_each
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -43,8 +44,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, that with the smallest id."""
-    return _like_documents(one_of_each(near_duplicates(docs, keep=COLUMNS)))
+    """One document of each group of near copies (five-word Jaccard of 0.8 and more), that with the smallest id."""
+    return _like_documents(one_of_each(near_copies(docs, shingle=5, min_jaccard=0.8, keep=COLUMNS)))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -39,22 +39,31 @@ from notelattice.operators.skew import if_small
 BITS = 64
 
 
-def fingerprint(text: str, shingle: int = 4, seed: int = 42) -> int:
+def shingle_hashes(text: str, shingle: int = 4, seed: int = 42) -> np.ndarray:
+    """64-bit hashes of all word shingles in their order; a text of fewer words is one shingle, one of no words none."""
     words = text.encode("utf-8").lower().split()  # of bytes: A-Z alone, and ASCII white space alone
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     joined = b" ".join(words)
     stops = np.cumsum([len(w) + 1 for w in words])
     starts = np.concatenate(([0], stops[:-1])).tolist()
     n = max(1, len(words) - shingle + 1)
     ends = (stops[min(shingle, len(words)) - 1 :] - 1).tolist()
     hashes = map(xxhash.xxh64_intdigest, [joined[a:b] for a, b in zip(starts[:n], ends, strict=True)], repeat(seed))
-    values = np.fromiter(hashes, np.uint64, n)
+    return np.fromiter(hashes, np.uint64, n)
+
+
+def majority(values: np.ndarray) -> int:
+    """Bit by bit what more than half of the hashes have."""
     ones = np.zeros(BITS, np.int64)
-    for at in range(0, n, 4096):
+    for at in range(0, len(values), 4096):
         block = values[at : at + 4096].astype("<u8").view(np.uint8).reshape(-1, 8)
         ones += np.unpackbits(block, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return sum(1 << int(k) for k in np.flatnonzero(2 * ones > n))
+    return sum(1 << int(k) for k in np.flatnonzero(2 * ones > len(values)))
+
+
+def fingerprint(text: str, shingle: int = 4, seed: int = 42) -> int:
+    return majority(shingle_hashes(text, shingle, seed))
 
 
 def fingerprints(
@@ -250,21 +259,27 @@ def near_duplicates(
         marked.groupBy("fp").agg(F.min(id_col).alias("first"), F.count("*").alias("copies")), "nodes"
     )
     members = components(linked(nodes.select("fp"), max_distance, **options))
-    rooted = nodes.join(members.select(F.col("node").alias("fp"), "root"), "fp", "left")
-    rooted = rooted.select("fp", "first", "copies", F.coalesce("root", "fp").alias("group"))
-    names = rooted.groupBy("group").agg(F.min("first").alias("_name"), F.sum("copies").alias("_size"))
-    # Only groups of two and more rows; every other row names its own group. Measured, and broadcast up to a bound,
-    # so that kept texts stay where they are; beyond it, joined by shuffle.
-    groups = rooted.join(names.where("_size > 1").select("group", "_name"), "group").select("fp", "group", "_name")
-    found = marked.join(if_small(stored(groups, "groups")), "fp", "left")
+    found = named(marked, nodes, members, "fp", id_col)
     return found.select(
         *keep,
         F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"),
-        F.coalesce("_name", id_col).alias("component_id"),
+        "component_id",
         "group",
     )
 
 
+def named(marked: DataFrame, nodes: DataFrame, members: DataFrame, key: str, id_col: str) -> DataFrame:
+    """``marked`` with ``component_id`` and ``group``, by ``nodes(key, first, copies)`` and their components."""
+    rooted = nodes.join(members.select(F.col("node").alias(key), "root"), key, "left")
+    rooted = rooted.select(key, "first", "copies", F.coalesce("root", key).alias("group"))
+    names = rooted.groupBy("group").agg(F.min("first").alias("_name"), F.sum("copies").alias("_size"))
+    # Only groups of two and more rows; every other row names its own group. Measured, and broadcast up to a bound,
+    # so that kept texts stay where they are; beyond it, joined by shuffle.
+    groups = rooted.join(names.where("_size > 1").select("group", "_name"), "group").select(key, "group", "_name")
+    found = marked.join(if_small(stored(groups, "groups")), key, "left")
+    return found.withColumn("component_id", F.coalesce("_name", id_col)).drop("_name")
+
+
 def one_of_each(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """One row of each group of ``near_duplicates``: that of the smallest id, the smallest row if ids repeat."""
     first = F.col(id_col).eqNullSafe(F.col("component_id"))
