@@ -63,7 +63,8 @@ class Pivots:
         """(row, cell, home) of all cells in which a vector has to be."""
         d, home = self.homes(vectors)
         own = d[np.arange(len(d)), home][:, None]
-        plane = (d * d - own * own) <= 2 * self.between[home] * (self.eps + LEEWAY)
+        # Between pivots of nearly one direction the distance is mostly rounding, so the leeway can't depend on it.
+        plane = (d * d - own * own) <= 2 * self.between[home] * (self.eps + LEEWAY) + LEEWAY
         near = (d - own <= 2 * self.eps + LEEWAY) & plane & (d <= radius[None, :] + self.eps + LEEWAY)
         near[np.arange(len(d)), home] = True
         row, cell = np.nonzero(near)

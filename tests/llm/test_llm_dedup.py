@@ -131,3 +131,19 @@ def test_range_join_against_all_pairs(spark, options):
 def test_no_vectors(spark):
     df = spark.createDataFrame([], "vec_id long, embedding array<float>, label int")
     assert embedding_dedup.near_duplicates(df).count() == 0
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_scaled_copies_visit_every_pivot_of_their_direction(seed):
+    draw = np.random.default_rng(seed)
+    base = draw.normal(size=64)
+    rows = (base[None, :] * draw.uniform(0.1, 10, 3000)[:, None]).astype(np.float32).astype(np.float64)
+    x = embedding_dedup.units(rows)
+    pivots = embedding_dedup.Pivots(x[:7], float(np.sqrt(2 - 2 * 0.98)))
+    d, home = pivots.homes(x)
+    radius = np.zeros(7)
+    np.maximum.at(radius, home, d[np.arange(len(x)), home])
+    row, cell, _ = pivots.visits(x, radius)
+    there = np.zeros((len(x), 7), bool)
+    there[row, cell] = True
+    assert there[:, np.unique(home)].all()  # all are within the range of each other
