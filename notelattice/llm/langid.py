@@ -5,8 +5,11 @@ hashed into buckets, damped by a logarithm, weighted by inverse document frequen
 several centroids, found by spherical k-means on its own training vectors, so that different kinds of text of one
 language needn't share a mean. The label of the nearest centroid by cosine wins, the smaller label on a tie.
 
-Rejection is by distance: a text is rejected when its best cosine is below the lowest that training texts of about
-its length show, times a slack. Short texts are far from everything, so only those that share next to nothing go.
+Rejection is by distance: a text is rejected when its best cosine is below what labelled texts of about its length
+show that didn't teach. Every fold of the training texts is compared with the centroids of the other folds, and the
+limit of a length class is ``quantile`` of these cosines times ``slack``, so that single odd texts don't set it. A class
+of fewer than ``FEW`` texts doesn't know its quantile and has half of the limit. Cosines of short texts spread so much
+that those of labelled texts and of noise overlap; they have ``SHORT_SLACK``. The final centroids learn from all.
 
 Training takes at most ``max_sample`` distinct labelled texts, spread evenly over the labels by a hash of the text,
 as a whole, and only their bucket counts reach the driver (``BUCKETS`` at most per row). Prediction reads every whole text
@@ -32,8 +35,10 @@ from notelattice.llm.common import check_columns, ship, text_batches, with_text
 UNDETERMINED = "und"
 BUCKETS = 1 << 16
 SPACE = 32
-#: Classes of text length for rejection, and what further slack the short ones have.
-LENGTHS, SHORT, SHORT_SLACK = [0, 40, 200, 1000], 40, 0.1
+#: Classes of text length for rejection, how many texts a class must have for its full limit, and folds for calibration.
+LENGTHS, FEW, FOLDS = [0, 40, 200, 1000], 15, 4
+#: Shorter texts are rejected below this share of the quantile.
+SHORT, SHORT_SLACK = 200, 0.5
 
 
 @lru_cache(maxsize=1)
@@ -136,6 +141,13 @@ def clustered(vectors: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     return centers
 
 
+def centers(vectors: np.ndarray, label: np.ndarray, k: int) -> tuple[np.ndarray, list[str]]:
+    """Up to ``k`` centroids of every label, and their labels."""
+    names = sorted(set(label))
+    made = [clustered(vectors[label == name], k) for name in names]
+    return np.concatenate(made).astype(np.float32), [n for n, c in zip(names, made, strict=True) for _ in c]
+
+
 def sample(docs: DataFrame, text_col: str, label_col: str, max_sample: int) -> DataFrame:
     """At most ``max_sample`` distinct labelled texts, as many of each label as there are, up to an equal share.
 
@@ -168,7 +180,8 @@ def fit(
     max_n: int = 3,
     features: int = 4096,
     centroids: int = 4,
-    slack: float = 0.25,
+    slack: float = 0.77,
+    quantile: float = 0.01,
 ) -> Model:
     """A model from a bounded sample of the labelled rows."""
     check_columns(docs, [text_col, label_col], [])
@@ -205,22 +218,25 @@ def fit(
         counts[i, at[at >= 0]] = np.array(ns)[at >= 0]
     vectors = weighted(counts, idf)
     useful = vectors.any(axis=1)
-    label = np.array(rows["label"], dtype=object)
-    centers, names = [], []
-    for name in sorted(set(rows["label"])):
-        own = vectors[useful & (label == name)]
-        if len(own):
-            made = clustered(own, centroids)
-            centers.append(made)
-            names += [name] * len(made)
-    if not names:
+    vectors, label = vectors[useful], np.array(rows["label"], dtype=object)[useful]
+    size = np.array(rows["size"])[useful]
+    if not len(label):
         return model
-    model.centroids, model.labels = np.concatenate(centers).astype(np.float32), names
-    best, size = (vectors @ model.centroids.T).max(axis=1), np.array(rows["size"])
+    model.centroids, model.labels = centers(vectors, label, centroids)
+    # Folds within each label, in the order of the sample, which is that of a hash.
+    fold = np.zeros(len(label), int)
+    for name in set(label):
+        fold[label == name] = np.arange((label == name).sum()) % FOLDS
+    best = np.full(len(label), np.nan)
+    for f in range(FOLDS):
+        out = fold == f
+        if out.any() and not out.all():
+            best[out] = (vectors[out] @ centers(vectors[~out], label[~out], centroids)[0].T).max(axis=1)
     for low, high in zip(LENGTHS, [*LENGTHS[1:], 1 << 62], strict=True):
-        near = best[useful & (size >= low) & (size < high)]
+        near = best[(size >= low) & (size < high) & ~np.isnan(best)]
         if len(near):
-            model.limits.append((low, slack * float(near.min()) * (SHORT_SLACK if low < SHORT else 1)))
+            share = (slack if low >= SHORT else SHORT_SLACK) * (1 if len(near) >= FEW else 0.5)
+            model.limits.append((low, share * float(np.quantile(near, quantile))))
     return model
 
 

@@ -1,3 +1,7 @@
+import base64
+import random
+
+import pytest
 from cases import TEXTS, no_documents, odd_documents
 from pyspark.sql import functions as F
 
@@ -48,3 +52,25 @@ def test_fold_is_the_crc_of_the_id(spark):
 
     got = spark.range(200).select("id", langid.held_out("id").alias("h")).collect()
     assert all(r.h == (zlib.crc32(str(r.id).encode()) % 4 == 2) for r in got)
+
+
+UNLEARNED = [
+    "A magyar nyelv szavai hosszúak, és az emberek minden reggel kávét isznak a városban, mielőtt dolgozni mennek. ",
+    "Suomen kieli on kaunis ja ihmiset kävelevät metsässä joka päivä, koska he rakastavat luontoa ja hiljaisuutta. ",
+    "Język polski jest trudny, ale ludzie w Warszawie mówią nim codziennie i czytają książki przed snem. ",
+    "Türkçe konuşan insanlar her sabah çay içer ve gazete okur, sonra işe gitmek için otobüse binerler. ",
+]
+
+
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_unlearned_languages_and_noise_are_rejected(spark, sf):
+    docs = spark.read.parquet(f"/root/testdata/{sf}/documents.parquet")
+    model = langid.fit(docs)
+    draw = random.Random(3)
+    texts = [t * 15 for t in UNLEARNED]
+    texts += ["".join(draw.choice("abcdefghijklmnopqrstuvwxyz     ") for _ in range(n)) for n in (300, 900, 1440)]
+    texts += [base64.b64encode(draw.randbytes(n)).decode() for n in (300, 600, 1000)]
+    texts += [t[:n] for t in texts[:4] for n in (250, 500, 900)]
+    _, scores, out = model.predict(texts)
+    assert all(out), (model.limits, scores, out)
+    assert langid.identify(docs.where("lang is not null"), model).where("rejected").count() == 0
