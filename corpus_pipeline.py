@@ -50,7 +50,7 @@ def simhash(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them."""
-    return _like_documents(repeated(mix(docs.select(*COLUMNS), weights=[5, 2, 1])))
+    return _like_documents(repeated(mix(docs.select(*COLUMNS), weights=[5, 2, 1]), whole=True))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -140,18 +140,23 @@ def mix(
     )
 
 
-def repeated(mixed: DataFrame, text_col: str = "text") -> DataFrame:
+def repeated(mixed: DataFrame, text_col: str = "text", whole: bool = False) -> DataFrame:
     """The rows of the mix (as ``mix`` returns it): a document once per whole repetition, and once more with its first words for a part.
 
-    The part's words are joined by single spaces. Rows that nothing is taken of go.
+    The part's words are joined by single spaces. With ``whole`` a part of half a document and more is the whole document
+    and a smaller one nothing, so every text stays as it is. Rows that nothing is taken of go.
     """
     size, taken = F.col("size"), F.col("taken")
-    whole = F.when(size > 0, F.floor(taken / size)).otherwise(F.lit(0)).cast("int")
+    times = F.when(size > 0, F.floor(taken / size)).otherwise(F.lit(0)).cast("int")
     rest = F.when(size > 0, taken % size).otherwise(F.lit(0)).cast("int")
     names = [c for c in mixed.columns if c not in ("size", "source_size", "target", "taken")]
-    copies = mixed.where(taken >= size).where(taken > 0).select(
-        *names, F.explode(F.array_repeat(F.lit(0), whole))
+    if whole:
+        times = times + F.when(2 * rest >= size, F.lit(1)).otherwise(F.lit(0))
+    copies = mixed.where((size > 0) & (taken > 0)).where(times > 0).select(
+        *names, F.explode(F.array_repeat(F.lit(0), times))
     ).select(*names)
+    if whole:
+        return copies
     words = F.split(F.btrim(F.col(text_col), F.lit(" \t\n\x0b\f\r")), r"[\x20\x09-\x0D]+")
     part = F.array_join(F.slice(words, F.lit(1), rest), " ")
     parts = mixed.where((size > 0) & (taken % size > 0))

@@ -1,5 +1,7 @@
 import re
+from collections import Counter
 
+import corpus_pipeline
 import pytest
 from cases import no_documents, odd_documents
 
@@ -79,3 +81,15 @@ def test_repeated_takes_the_words(spark):
     got = repeated(mixed).collect()
     assert sum(words(r.text) for r in got) == sum(int(r.taken) for r in mixed.collect())
     assert all(words(r.text) for r in got)
+
+
+def test_pipeline_mixing_keeps_every_text_whole(spark):
+    rows = [(i, f"line {i} one\nline  {i} two, and {'more ' * (i % 7)}", "en", "ab"[i % 2], 1) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    texts, got = {r[0]: r[1] for r in rows}, corpus_pipeline.mixing(spark, docs, "").collect()
+    assert all(r.text == texts[r.doc_id] for r in got)
+    words, most = Counter(), max(len(t.split()) for t in texts.values())
+    for r in got:
+        words[r.source] += len(r.text.split())
+    for r in mix(docs, weights=[5, 2, 1]).select("source", "target").distinct().collect():
+        assert abs(words[r.source] - r.target) <= most / 2 + 1
