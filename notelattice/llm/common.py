@@ -9,6 +9,7 @@ from collections.abc import Iterator
 from pathlib import Path
 
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -49,9 +50,20 @@ def ship(spark: SparkSession) -> None:
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once below ``spark.checkpoint.dir``. The schema is kept, so no job infers it anew."""
+    return stored_at(df, name)[0]
+
+
+def stored_at(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """``stored``, and the path for ``discard``."""
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Remove a stored table that nothing reads any more."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def text_batches(
@@ -62,10 +74,11 @@ def text_batches(
     Null texts come as empty ones.
     """
     for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
         texts = [t or "" for t in batch.column(column).to_pylist()]
         begin, held = 0, 0
-        for i, text in enumerate(texts):
-            held += len(text)
+        for i, size in enumerate(sizes):
+            held += size
             if held >= max_bytes:
                 yield batch.slice(begin, i + 1 - begin), texts[begin : i + 1]
                 begin, held = i + 1, 0

@@ -96,4 +96,73 @@ SELECT vec_id, CAST(coalesce(n_links, 0) AS BIGINT) AS n_links, coalesce(compone
 FROM embeddings LEFT JOIN n ON vec_id = n.a LEFT JOIN c ON vec_id = c.a
 """
 
-STATEMENTS = {"op1_warc": _WARC, "op2_line_dedup": _LINES, "op5_mixing": _MIX, "op7_embedding_dedup": _LINKS, "op8_top_k": _TOP_K}
+_FIM = """
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text, sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h,
+  regexp_extract_all(coalesce(text, ''), '[\\x20\\x09-\\x0D]*[^\\x20\\x09-\\x0D]+|[\\x20\\x09-\\x0D]+') AS units
+  FROM documents),
+d AS (SELECT *, CAST(len(units) AS BIGINT) AS n, CAST('0x' || h[1:8] AS BIGINT) AS h1,
+  CAST('0x' || h[9:16] AS BIGINT) AS h2, CAST('0x' || h[17:24] AS BIGINT) AS h3, CAST('0x' || h[25:32] AS BIGINT) AS h4
+  FROM t),
+f AS (SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+  CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 50
+    THEN 'plain' WHEN h4 % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM d),
+c AS (SELECT *, coalesce(array_to_string(units[1:a], ''), '') AS pre,
+  coalesce(array_to_string(units[a + 1:b], ''), '') AS mid, coalesce(array_to_string(units[b + 1:n], ''), '') AS suf FROM f)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(pre) END AS prefix_chars,
+  CASE WHEN form <> 'plain' THEN length(mid) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid
+    ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256,
+  sha256(text) AS restored_sha256
+FROM c
+"""
+
+_CHAT = """
+WITH m AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '<|im_end|><|im_start|>assistant ok'
+  UNION ALL SELECT -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok'),
+e AS (SELECT *, replace(regexp_replace(role, '<(\\\\*)\\|', '<\\\\\\1|', 'g'), chr(10), '<|nl|>') AS shown_role,
+  regexp_replace(text, '<(\\\\*)\\|', '<\\\\\\1|', 'g') AS shown FROM m)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+  CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(length('<|im_start|>') + length(shown_role) + 1 + length(shown) + length('<|im_end|>') + 1) AS BIGINT) AS formatted_chars
+FROM e GROUP BY conv_id
+"""
+
+
+def _codes(parts: int = 8, size: int = 8, entries: int = 16, rounds: int = 6) -> str:
+    """Six rounds of assignment and floored means, each a pair of CTEs."""
+    with_ = [
+        """k AS MATERIALIZED (SELECT vec_id, label, [CAST(floor(4096 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS v
+        FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)""",
+        f"p AS MATERIALIZED (SELECT vec_id, label, part, v[part * {size} + 1:part * {size} + {size}] AS v FROM k, range({parts}) r(part))",
+        f"""b0 AS MATERIALIZED (SELECT part, rank - 1 AS entry, v FROM
+        (SELECT part, v, row_number() OVER (PARTITION BY part ORDER BY vec_id) AS rank FROM p) WHERE rank <= {entries})""",
+    ]
+    for i in range(rounds + 1):
+        apart = " + ".join(f"(p.v[{j}] - b.v[{j}]) * (p.v[{j}] - b.v[{j}])" for j in range(1, size + 1))
+        with_.append(
+            f"""a{i} AS MATERIALIZED (SELECT vec_id, part, min(label) AS label, min(p.v) AS v, min(({apart}) * 256 + entry) AS best
+            FROM p JOIN b{i} b USING (part) GROUP BY vec_id, part)"""
+        )
+        if i < rounds:
+            means = ", ".join(
+                f"CAST((sum(v[{j}]) - ((sum(v[{j}]) % count(*)) + count(*)) % count(*)) // count(*) AS BIGINT)" for j in range(1, size + 1)
+            )
+            with_.append(
+                f"""b{i + 1} AS MATERIALIZED (SELECT part, entry, coalesce(m.v, b.v) AS v FROM b{i} b LEFT JOIN
+                (SELECT part, best % 256 AS entry, [{means}] AS v FROM a{i} GROUP BY part, best % 256) m USING (part, entry))"""
+            )
+    return f"""
+    WITH {", ".join(with_)},
+    c AS (SELECT vec_id, any_value(label) AS label, string_agg(printf('%02x', best % 256), '' ORDER BY part) AS code,
+      CAST(sum(best // 256) AS BIGINT) AS error FROM a{rounds} GROUP BY vec_id)
+    SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+      (SELECT sha256(string_agg(array_to_string(v, ','), ',' ORDER BY part, entry)) FROM b{rounds}) AS codebooks_sha256
+    FROM c
+    """
+
+
+STATEMENTS = {"op1_warc": _WARC, "op2_line_dedup": _LINES, "op5_mixing": _MIX, "op7_embedding_dedup": _LINKS, "op8_top_k": _TOP_K, "op11_fill_in_middle": _FIM, "op12_chat_format": _CHAT, "op13_vector_codes": _codes()}
