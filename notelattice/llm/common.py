@@ -75,15 +75,14 @@ def text_batches(
     """
     for batch in batches:
         sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
-        texts = [t or "" for t in batch.column(column).to_pylist()]
         begin, held = 0, 0
-        for i, size in enumerate(sizes):
+        for i, size in enumerate(sizes, 1):
             held += size
-            if held >= max_bytes:
-                yield batch.slice(begin, i + 1 - begin), texts[begin : i + 1]
-                begin, held = i + 1, 0
-        if begin < len(texts):
-            yield batch.slice(begin), texts[begin:]
+            if held >= max_bytes or i == len(sizes):
+                part = batch.slice(begin, i - begin)
+                # Only this slice's texts become Python strings.
+                yield part, [t or "" for t in part.column(column).to_pylist()]
+                begin, held = i, 0
 
 
 CARRIED = "_carried"

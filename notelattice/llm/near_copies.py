@@ -77,7 +77,7 @@ def near_sets(a: list[np.ndarray], b: list[np.ndarray], min_jaccard: float) -> I
 def confirmed(members: DataFrame, sets: DataFrame, min_jaccard: float, block_rows: int) -> DataFrame:
     """Star edges ``(a, b)`` that connect the nodes which near pairs connect.
 
-    ``members(bucket, node)``, each once; ``sets(node, words)`` with sorted distinct hashes.
+    ``members(bucket, node)``, each once; ``sets(node, words, size)`` with sorted distinct hashes and their number.
     """
     # Buckets of the same members count once.
     alike = F.struct(F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("x"), F.sum(F.xxhash64("node") % 1_000_003).alias("s"))
@@ -91,11 +91,16 @@ def confirmed(members: DataFrame, sets: DataFrame, min_jaccard: float, block_row
             hit = []
             for i in range(len(batch)):
                 u, v = x[i].values.to_numpy(), y[i].values.to_numpy()
-                common = len(u) + len(v) - len(np.union1d(u, v)) if min_jaccard * max(len(u), len(v)) <= min(len(u), len(v)) + 1e-9 else 0
+                common = len(u) + len(v) - len(np.union1d(u, v))
                 hit.append(common > 0 and bool(enough(common, len(u), len(v), min_jaccard)))
             yield batch.select(["a", "b"]).filter(pa.array(hit, pa.bool_()))
 
     stars = members.where("node != lead").select(F.col("node").alias("a"), F.col("lead").alias("b")).distinct()
+    # Sets too unlike in size can't be near; only the others' hashes move.
+    stars = stars.join(sets.select(F.col("node").alias("a"), F.col("size").alias("n")), "a")
+    stars = stars.join(sets.select(F.col("node").alias("b"), F.col("size").alias("m")), "b")
+    like = min_jaccard * F.greatest("n", "m") <= F.least("n", "m") + 1e-9
+    stars = stored(stars.where(like).select("a", "b"), "stars")
     first = sets.select(F.col("node").alias("b"), F.col("words").alias("y"))
     second = sets.select(F.col("node").alias("a"), F.col("words").alias("x"))
     sure = stored(stars.join(first, "b").join(second, "a").select("a", "b", "x", "y").mapInArrow(near, EDGES), "sure")
@@ -107,7 +112,7 @@ def confirmed(members: DataFrame, sets: DataFrame, min_jaccard: float, block_row
     cut = F.ceil(F.col("n") / block_rows).cast("int")
     placed = open_.join(mixed, "bucket").withColumn("k", cut)
     placed = placed.withColumn("own", F.pmod(F.xxhash64("node"), F.col("k").cast("long")).cast("int"))
-    paired = placed.join(sets, "node").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
+    paired = placed.join(sets.drop("size"), "node").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
     paired = paired.select(
         "bucket", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "node", "known", "words"
     )
@@ -165,8 +170,8 @@ def near_copies(
     def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in text_batches(batches, "text", batch_bytes):
             found = [np.unique(shingle_hashes(t, shingle, SEED).view(np.int64)) for t in texts]
-            kind = pa.list_(pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(found, kind)], names=["node", "words"])
+            kind, sizes = pa.list_(pa.int64()), pa.array([len(f) for f in found], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(found, kind), sizes], names=["node", "words", "size"])
 
     marked = stored(slim.mapInArrow(marks, f"{types}, node long, fp long, bands array<long>"), "marked")
     nodes = marked.groupBy("node", "fp", "bands").agg(F.min(id_col).alias("first"), F.count("*").alias("copies"))
@@ -181,6 +186,6 @@ def near_copies(
     wanted = if_small(stored(members.select("node").distinct(), "wanted"))
     texts = marked.select("node", F.col(text_col).alias("text")).join(wanted, "node", "left_semi")
     texts = texts.groupBy("node").agg(F.min("text").alias("text"))
-    sets = stored(texts.mapInArrow(shingles, "node long, words array<long>"), "shingles")
+    sets = stored(texts.mapInArrow(shingles, "node long, words array<long>, size long"), "shingles")
     found = components(confirmed(members, sets, min_jaccard, block_rows))
     return named(marked, nodes.select("node", "first", "copies"), found, "node", id_col).select(*keep, "component_id", "group")

@@ -43,58 +43,68 @@ LATIN_WORD = re.compile(
 UNSURE = bytes([*range(0x09), *range(0x0E, 0x20), *range(0x7F, 0xA0), 0xAD])
 
 
+#: Bytes of remembered words, what one takes besides its own and its ids' bytes, and the longest one in characters.
+WORD_BYTES, WORD_COST, LONGEST = 32 << 20, 190, 64
+
+
 class WordEncoder:
     """Ids of texts as little-endian unsigned 32-bit bytes, equal to those of the tokenizer file.
 
     Where the file lower-cases, drops white space and cuts words before it merges, a word's ids don't depend on its
-    neighbours. Latin-1 texts are then split at white space, and words are encoded once and remembered, up to
-    ``memory`` of them. All other texts and files go through the library as they are.
+    neighbours. Latin-1 texts are then split into words, which are encoded once and remembered: those met first, which
+    the frequent ones are among, until they take ``memory`` bytes; never words above LONGEST characters. Words beyond
+    that are encoded for each batch anew. All other texts and files go through the library as they are.
     """
 
-    def __init__(self, path: str, memory: int = 500_000):
-        self.path, self.memory, self.known = path, memory, {}
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
-        text = json.dumps(spec["pre_tokenizer"], ensure_ascii=False)
-        kinds = [x["type"] for x in (spec["normalizer"] or {}).get("normalizers", [])]
+    def __init__(self, path: str, memory: int = WORD_BYTES):
+        self.path, self.memory, self.held = path, memory, 0
+        self.known: dict[str, bytes] = {}
+        self.merger = Tokenizer.from_file(path)
+        kinds = [type(x).__name__ for x in self.merger.normalizer] if self.merger.normalizer else []
         self.by_word = (
             kinds == ["NFC", "Replace", "Lowercase"]
-            and json.dumps(WORD_PATTERN) in text
-            and spec["model"].get("end_of_word_suffix") == WORD_END
-            and all(x["content"].startswith("<|") for x in spec["added_tokens"])
+            and json.dumps(WORD_PATTERN) in json.dumps(_state(self.merger.pre_tokenizer), ensure_ascii=False)
+            and getattr(self.merger.model, "end_of_word_suffix", None) == WORD_END
+            and all(x.content.startswith("<|") for x in self.merger.get_added_tokens_decoder().values())
         )
         if self.by_word:
-            self.merger = Tokenizer.from_file(path)
             self.merger.normalizer = normalizers.Sequence([])
             self.merger.pre_tokenizer = pre_tokenizers.Sequence(
                 [pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)]
             )
-            vocab = self.merger.get_vocab()
-            self.ends = np.zeros(max(vocab.values()) + 1, bool)
-            self.ends[[i for token, i in vocab.items() if token.endswith(WORD_END)]] = True
+            self.ends = np.zeros(self.merger.get_vocab_size(), bool)
+            for i in range(len(self.ends)):
+                self.ends[i] = (self.merger.id_to_token(i) or "").endswith(WORD_END)
 
     @cached_property
     def whole(self) -> Tokenizer:
         """The library as it is; loaded when the first text needs it."""
         return Tokenizer.from_file(self.path)
 
-    def _learn(self, words: list[str]) -> None:
-        known = self.known
-        cut = [LATIN_WORD.findall(w) for w in words]
-        new = list({p for c in cut for p in c if p not in known})
-        for begin in range(0, len(new), 20_000):
-            block = new[begin : begin + 20_000]
+    def forget(self) -> None:
+        """Give the remembered words' memory back, at the end of a task."""
+        self.known.clear()
+        self.held = 0
+
+    def _learn(self, words: list[str]) -> list[str]:
+        """Ids of new words; returns those that are not to be remembered."""
+        known, passing = self.known, []
+        for begin in range(0, len(words), 5_000):
+            block = words[begin : begin + 5_000]
             ids = np.array(self.merger.encode_batch_fast([" ".join(block)], add_special_tokens=False)[0].ids, "<u4")
             stops = np.flatnonzero(self.ends[ids]) + 1
             if len(stops) != len(block):
                 raise ValueError("words and their ends don't agree")
             data, at = ids.tobytes(), 0
+            full = self.held >= self.memory
             for word, stop in zip(block, (stops * 4).tolist(), strict=True):
                 known[word] = data[at:stop]
+                if full or len(word) > LONGEST:
+                    passing.append(word)
+                else:
+                    self.held += WORD_COST + len(word) + stop - at
                 at = stop
-        for word, parts in zip(words, cut, strict=True):
-            if len(parts) != 1 or parts[0] != word:
-                known[word] = b"".join([known[p] for p in parts])
+        return passing
 
     def encode(self, texts: list[str]) -> list[bytes]:
         split: list[list[str] | None] = [None] * len(texts)
@@ -106,14 +116,9 @@ class WordEncoder:
                 except UnicodeEncodeError:
                     continue
                 if len(raw.translate(None, UNSURE)) == len(raw):
-                    split[i] = text.lower().split()
-        words = [w for w in split if w is not None]
-        new = set().union(*words).difference(self.known) if words else set()
-        if len(self.known) + len(new) > self.memory:
-            self.known.clear()
-            new = set().union(*words) if words else set()
-        if new:
-            self._learn(list(new))
+                    split[i] = LATIN_WORD.findall(text.lower())
+        new = set().union(*(w for w in split if w is not None)).difference(self.known)
+        passing = self._learn(list(new)) if new else []
         get = self.known.__getitem__
         for i, found in enumerate(split):
             if found is None:
@@ -121,12 +126,18 @@ class WordEncoder:
                 out[i] = np.array(ids, "<u4").tobytes()
             else:
                 out[i] = b"".join(map(get, found))
+        for word in passing:
+            del self.known[word]
         return out
 
 
+def _state(part: object) -> object:
+    return json.loads(part.__getstate__()) if hasattr(part, "__getstate__") and part is not None else None
+
+
 @lru_cache(maxsize=2)
 def word_encoder(path: str) -> WordEncoder:
-    """One per worker process, so that what it remembers serves many tasks."""
+    """One per worker process, for the tokenizer file takes long to read; its words are forgotten after each task."""
     return WordEncoder(path)
 
 
@@ -151,6 +162,7 @@ def pieces(
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = word_encoder(tokenizer_path)
+        encoder.forget()
         for batch, texts in text_batches(batches, text_col, batch_bytes):
             row, piece, start, length, crc, ids = [], [], [], [], [], []
             for i, data in enumerate(encoder.encode(texts)):
@@ -169,6 +181,7 @@ def pieces(
             columns += [pa.array(ids, pa.list_(pa.int32()))] * with_ids
             names = [*keep, *made[: len(columns)]]
             yield pa.RecordBatch.from_arrays([*kept.columns, *columns], names=names)
+        encoder.forget()
 
     return with_text(docs, keep, text_col).mapInArrow(cut, schema)
 

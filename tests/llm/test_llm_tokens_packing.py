@@ -128,3 +128,29 @@ def best_fit_decreasing(lengths, capacity):
             rooms[fit] -= 1
         rooms[(fit or capacity) - n] += 1
     return sum(rooms)
+
+
+@pytest.mark.parametrize("kind", ["日本語中文漢字、。！", "0123456789abcdef", "aé日.,;\n\t(){}", "абвгд日、ーІЇ", "é́ﬁ½aA"])
+def test_long_parts_without_spaces(kind):
+    counter, r = PieceCounter(PIECES), random.Random(5)
+    for n in (4095, 4097, 30_000):
+        text = "".join(r.choice(kind) for _ in range(n))
+        for t in (text, "a " + text + " b", " " + text):
+            assert counter.count([t]) == [len(counter.model.encode(t))]
+    assert all(len(p) <= 64 for p in counter.known)
+
+
+def test_caches_hold_few_bytes():
+    """Whole texts without spaces are not remembered, many words only up to the bound, and nothing after a task."""
+    r = random.Random(6)
+    words = ["".join(r.choice("abcdefgh") for _ in range(12)) for _ in range(60_000)]
+    blobs = ["".join(r.choice("0123456789abcdef") for _ in range(5000)) for _ in range(20)]
+    for coder, run in ((PieceCounter(PIECES, memory=1 << 20), "count"), (packing.WordEncoder(WORDS, memory=1 << 20), "encode")):
+        fresh = type(coder)(PIECES if run == "count" else WORDS, memory=1 << 30)
+        texts = [" ".join(words[i : i + 500]) for i in range(0, len(words), 500)] + blobs
+        assert getattr(coder, run)(texts) == getattr(fresh, run)(texts)
+        assert getattr(coder, run)(texts[::-1]) == getattr(coder, run)(texts)[::-1]
+        assert 1 << 20 <= coder.held < 3 << 20 and len(coder.known) < 20_000
+        assert max(map(len, coder.known)) <= 64
+        coder.forget()
+        assert not coder.known and not coder.held
