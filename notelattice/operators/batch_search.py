@@ -22,7 +22,11 @@ def trigrams(c: Column) -> Column:
 
 def trigram_postings(pages: DataFrame) -> DataFrame:
     """``(trigram, slug, column, tf)``: how often each trigram occurs in each text column of a page."""
-    table = search_table(pages)
+    return table_postings(search_table(pages)).select("trigram", "slug", "column", "tf")
+
+
+def table_postings(table: DataFrame) -> DataFrame:
+    """``(trigram, slug, n_tokens, column, tf)`` of a search table."""
     columns = F.array(
         *[
             F.struct(F.lit(c).alias("column"), F.sort_array(trigrams(F.col(f"_low_{c}"))).alias("found"))
@@ -30,7 +34,7 @@ def trigram_postings(pages: DataFrame) -> DataFrame:
         ]
     )
     # Counted inside the row: in sorted order a trigram's count is the distance between its first and last place.
-    each = table.select("slug", F.explode(columns).alias("c")).select("slug", "c.column", "c.found")
+    each = table.select("slug", "n_tokens", F.explode(columns).alias("c")).select("slug", "n_tokens", "c.column", "c.found")
     starts = F.filter(
         F.sequence(F.lit(0), F.size("found") - 1),
         lambda i: (i == 0) | (F.get("found", i) != F.get("found", i - 1)),
@@ -38,11 +42,12 @@ def trigram_postings(pages: DataFrame) -> DataFrame:
     each = each.where(F.size("found") > 0).withColumn("at", starts)
     following = F.concat(F.slice("at", F.lit(2), F.size("at")), F.array(F.size("found")))
     counted = each.select(
-        "slug", "column", "found", F.explode(F.arrays_zip(F.col("at"), following.alias("next"))).alias("p")
+        "slug", "n_tokens", "column", "found", F.explode(F.arrays_zip(F.col("at"), following.alias("next"))).alias("p")
     )
     return counted.select(
         F.get("found", F.col("p.at")).alias("trigram"),
         "slug",
+        "n_tokens",
         "column",
         (F.col("p.next") - F.col("p.at")).cast("long").alias("tf"),
     )
@@ -133,9 +138,25 @@ def batch_search(
     table = table.select("slug", "n_tokens", *[f"_low_{c}" for c in SEARCH_COLUMNS])
     if "n_tokens" not in pages.columns:
         table = written(table, "search-table")
-    wanted = queries.select("query_id", F.explode(F.array_distinct(F.transform("terms", F.lower))).alias("term"))
-    wanted = written(wanted.where(F.char_length("term") >= MIN_TERM_CHARS), "wanted")
+    wanted = wanted_terms(queries)
     hits = written(term_hits(table, wanted.select("term"), weights), "hits")
+    stats = table.agg(
+        F.struct(F.count("*").alias("n_pages"), F.avg("n_tokens").alias("mean_tokens"))
+    ).scalar()
+    return best_pages(hits, wanted, stats, limit)
+
+
+def wanted_terms(queries: DataFrame) -> DataFrame:
+    """``(query_id, term)`` of all terms that can be searched for, written."""
+    wanted = queries.select("query_id", F.explode(F.array_distinct(F.transform("terms", F.lower))).alias("term"))
+    return written(wanted.where(F.char_length("term") >= MIN_TERM_CHARS), "wanted")
+
+
+def best_pages(hits: DataFrame, wanted: DataFrame, stats: Column, limit: int) -> DataFrame:
+    """Best pages of every query from the stored ``hits(slug, n_tokens, term, freq)`` of all its terms.
+
+    ``stats``: struct of ``n_pages`` and ``mean_tokens`` of the whole collection.
+    """
     counts = hits.groupBy("term").agg(F.count("*").alias("n_with"))
 
     # A term without pages leaves its query without hits.
@@ -151,9 +172,6 @@ def batch_search(
     # A popular query meets many candidates, a popular page many queries; (slug, term) is unique in hits.
     needed = salted_join(candidates, asked, "query_id", "inner")
     scored = needed.join(hits, ["slug", "term"])
-    stats = table.agg(
-        F.struct(F.count("*").alias("n_pages"), F.avg("n_tokens").alias("mean_tokens"))
-    ).scalar()
     scored = scored.withColumn("_stats", stats)
     weight = idf(F.col("_stats.n_pages"), F.col("n_with"))
     score = term_score(F.col("freq"), weight, F.col("n_tokens"), F.col("_stats.mean_tokens"))

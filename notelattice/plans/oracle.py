@@ -448,6 +448,22 @@ s AS (SELECT vec_id, list_dot_product(embedding::DOUBLE[], v::DOUBLE[]) / sqrt(l
   sqrt(list_dot_product(v::DOUBLE[], v::DOUBLE[])) AS similarity FROM embeddings, g WHERE vec_id <> 0)
 SELECT vec_id, round(similarity, 6) AS similarity FROM (SELECT * FROM s ORDER BY similarity DESC, vec_id LIMIT 20)""",
     }
+    out["search_index_batch"] = out["search_batch"]
+    changed = f"""WITH {SNAPSHOTS},
+body AS (SELECT n.slug, n.title, n.truth, n.timeline_text FROM notes n JOIN todo USING (slug)
+  UNION ALL SELECT n.slug, n.title, CASE WHEN n.source IN ('src3', 'src4') THEN 'Draft. ' || n.truth ELSE n.truth END, n.timeline_text
+  FROM older o JOIN valid n USING (slug) JOIN status s ON o.slug = s.slug WHERE s.status IN ('unchanged', 'failed')),
+last AS MATERIALIZED (SELECT slug, CASE WHEN slug LIKE '%3' THEN 'Revised ' || title ELSE title END AS title, truth, timeline_text
+  FROM body WHERE slug NOT LIKE '%7')"""
+    out["search_index_sync"] = f"""{changed},
+c AS (SELECT slug, unnest([lower(slug), lower(title), lower(truth), lower(timeline_text)]) AS s FROM last),
+ch AS (SELECT slug, string_split(s, '') AS x FROM c WHERE length(s) >= 3),
+g AS (SELECT slug, unnest(list_transform(range(1, len(x) - 1), lambda i: x[i] || x[i + 1] || x[i + 2])) AS trigram FROM ch)
+SELECT trigram, count(DISTINCT slug) AS n_pages, count(DISTINCT slug) AS n_listed, count(*) AS n_occurrences FROM g GROUP BY trigram"""
+    out["search_index_merged"] = out["search_index_sync"]
+    out["search_index_stats"] = f"""{changed}
+SELECT count(*) AS n_pages, CAST(sum(greatest(length(slug)-2,0)+greatest(length(title)-2,0)+greatest(length(truth)-2,0)+
+  greatest(length(timeline_text)-2,0)) AS BIGINT) AS n_tokens FROM last"""
     out["stream_sync_pages"] = f"""WITH {SNAPSHOTS} SELECT slug, title, sha256(raw) AS content_hash FROM newer
 WHERE source <> 'src5' AND NOT contains(slug, '!')
 UNION ALL SELECT slug, title, sha256(raw) FROM older WHERE source IN ('src5', 'src7')"""

@@ -15,6 +15,7 @@ from notelattice.operators import graph as G
 from notelattice.operators import lookup as L
 from notelattice.operators import quality as Q
 from notelattice.operators import search as S
+from notelattice.operators import search_index as SI
 from notelattice.operators import similarity, tags
 from notelattice.operators import sync as Y
 from notelattice.operators import timeline as TL
@@ -113,6 +114,55 @@ def trigram_postings(spark, sf_dir):
     )
 
 
+def _index_after_changes(spark, sf_dir):
+    """An index of the stored pages, after a sync and after a batch that rewrites some pages and removes others."""
+    pages, links = _index(spark, sf_dir)
+    index = SI.create(pages, scratch_path(spark, "search-index"), slots=16, buckets=16)
+    outcome = _synced(spark, sf_dir)
+    index = SI.apply(index, outcome.upserts, outcome.removed)
+    later = written(outcome.pages, "later-pages")
+    revised = later.where("slug like '%3'").withColumn("title", F.concat(F.lit("Revised "), F.col("title")))
+    return SI.apply(index, revised, later.where("slug like '%7'").select("slug"))
+
+
+def _index_content(index):
+    """Pages of every trigram by the running counts and by the postings, and its occurrences."""
+    places = SI.live_postings(index).groupBy("trigram").agg(
+        F.count_distinct("slug").alias("n_listed"), F.sum("tf").alias("n_occurrences")
+    )
+    return index.trigram_counts().join(places, "trigram", "full_outer")
+
+
+@register
+def search_index_sync(spark, sf_dir):
+    """The trigram index kept in step through a sync and a batch of changes: equal to one built anew."""
+    return _index_content(_index_after_changes(spark, sf_dir))
+
+
+@register
+def search_index_merged(spark, sf_dir):
+    """The same after its segments were merged."""
+    return _index_content(SI.merge(_index_after_changes(spark, sf_dir)))
+
+
+@register
+def search_index_stats(spark, sf_dir):
+    """Running collection statistics of the index after the changes."""
+    return _index_after_changes(spark, sf_dir).stats()
+
+
+@register
+def search_index_batch(spark, sf_dir):
+    """Batch search through the stored index, a third of whose pages were rewritten and some removed since it was built."""
+    texts = fx.texts(spark, sf_dir)
+    third = F.crc32(F.col("slug").cast("binary")) % 3 == 0
+    stale = texts.withColumn("compiled_truth", F.when(third, F.lit("nothing of the later text")).otherwise(F.col("compiled_truth")))
+    gone = texts.where(third).withColumn("slug", F.concat(F.lit("gone/"), "slug"))
+    index = SI.create(stale.unionByName(gone), scratch_path(spark, "search-index"))
+    index = SI.apply(index, texts.where(third), gone.select("slug"))
+    return SI.search_index(index, fx.queries(spark, sf_dir), limit=10).withColumn("rank", F.round("rank", 6))
+
+
 @register
 def page_lookup(spark, sf_dir):
     cited = fx.links(spark, sf_dir).where("link_type = 'cites'").select(F.col("target_slug").alias("slug"))
