@@ -6,7 +6,10 @@ digest with a combine before the shuffle; only groups of two and more are kept a
 when their stored size allows and by a sort-merge join with split skew otherwise.
 
 Reading: a file is cut into byte ranges. The task of a range looks for the gzip magic, validates every candidate by
-decoding the record header behind it, and owns the records that start inside its range, to their end beyond it.
+decoding the record header behind it, and owns the records that start inside its range, to their end beyond it. Padding,
+junk and damaged members between records cost no other record. A range may begin inside the stored bytes of a record
+whose payload is an archive itself; a member there is told apart by what follows it, or by looking back for the record
+around it. Only an archive of several adjacent members, stored without compression, can pass for records there.
 
 Files go through ``pyarrow.fs`` below the shared folder. A task writes to a file of its own attempt; only the files
 of the attempts that Spark committed are in the returned manifest, so a lost executor leaves no double records.
@@ -150,6 +153,10 @@ def warc_files(spark: SparkSession, folder: str) -> DataFrame:
     return listed.select("path", F.col("length").alias("n_bytes"))
 
 
+#: What writers put between members.
+PADDING = b"\0 \r\n\t"
+
+
 class ByteRange:
     """Scans one byte range of a file for records that start inside it."""
 
@@ -191,21 +198,52 @@ class ByteRange:
                     checked = True
         except zlib.error:
             return None
-        end = at - len(unpack.unused_data)
-        # A member that only lies inside another one's stored bytes is not followed by a member or the end.
-        if end < self.size and self._at(end, len(MAGIC)) != MAGIC:
-            return None
-        return b"".join(parts), end
+        return b"".join(parts), at - len(unpack.unused_data)
+
+    def _followed(self, end: int) -> bool:
+        """Whether a member or the end of the file comes next, padding aside."""
+        while end < self.size:
+            block = self._at(end, CHUNK)
+            rest = block.lstrip(PADDING)
+            end += len(block) - len(rest)
+            if rest or not block:
+                return self._at(end, len(MAGIC)) == MAGIC
+        return True
+
+    def _alone(self, position: int) -> bool:
+        """Whether no record that begins earlier reaches over ``position``: looks back to the first sure one."""
+        at = position
+        while at > 0:
+            begin = max(0, at - CHUNK)
+            block = self._at(begin, at - begin + len(MAGIC) - 1)
+            found = block.rfind(MAGIC)
+            while found >= 0:
+                member = self._member(begin + found)
+                if member and parse_record(member[0]):
+                    if member[1] > position:
+                        return False
+                    if self._followed(member[1]):
+                        return True
+                found = block.rfind(MAGIC, 0, found + len(MAGIC) - 1)
+            at = begin
+        return True
 
     def records(self) -> Iterator[tuple[dict[str, str], bytes]]:
-        """(header fields by lower-case name, block) of every owned record."""
-        position = self._next_magic(self.start)
+        """(header fields by lower-case name, block) of every owned record.
+
+        The first one of a range may lie inside the stored bytes of another; behind one that doesn't, all others are
+        found from end to start, whatever stands between them.
+        """
+        position, sure = self._next_magic(self.start), self.start == 0
         while position >= 0:
             found = self._member(position)
             parsed = found and parse_record(found[0])
-            if parsed:
+            if parsed and (sure or self._followed(found[1]) or self._alone(position)):
+                sure = True
                 yield parsed
-            position = self._next_magic(found[1] if parsed else position + 1)
+                position = self._next_magic(found[1])
+            else:
+                position = self._next_magic(position + 1)
 
 
 def parse_record(data: bytes) -> tuple[dict[str, str], bytes] | None:

@@ -78,3 +78,34 @@ def test_an_archive_inside_a_payload_is_not_a_record(spark):
 def test_no_pages(spark):
     pages = spark.createDataFrame([], "page_id long, url string, html string")
     assert warc.read_warc(warc.write_warc(pages)).count() == 0
+
+
+def write_archive(spark, tmp_path, name, data):
+    (tmp_path / name).write_bytes(data)
+    return spark.createDataFrame([(f"file:{tmp_path / name}", len(data))], "path string, n_bytes long")
+
+
+def record(number, payload=b"x"):
+    head = f"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:x-record:{number}>\r\nContent-Length: {len(payload) + 4}\r\n\r\n"
+    return head.encode() + b"\r\n\r\n" + payload + b"\r\n\r\n"
+
+
+@pytest.mark.parametrize("split", [37, 1 << 20])
+def test_what_stands_between_members(spark, tmp_path, split):
+    """Padding, junk and damaged members cost no record; members inside stored bytes are none."""
+    members = [gzip.compress(record(i, b"payload %d" % i)) for i in range(5)]
+    inner = gzip.compress(record(98)) + b"junk" + gzip.compress(record(99)) + b"junk"
+    stored_member = gzip.compress(record(5, inner * 3), compresslevel=0)
+    damaged = bytearray(gzip.compress(record(97)))
+    damaged[len(damaged) // 2] ^= 0xFF
+    data = members[0] + b"\0" * 600 + members[1] + b"junk\x1f\x8b\x08 more junk" + members[2] + bytes(damaged) + members[3]
+    data += stored_member + b"\r\n" + members[4] + b"!"
+    got = warc.read_warc(write_archive(spark, tmp_path, "a.warc.gz", data), split_bytes=split).collect()
+    assert sorted(r.record_id for r in got) == [str(i) for i in range(6)]
+
+
+def test_a_stray_byte_at_the_end(spark, tmp_path):
+    data = b"".join(gzip.compress(record(i)) for i in range(3)) + b"\x1f"
+    for split in (1, 50, 1 << 20):
+        got = warc.read_warc(write_archive(spark, tmp_path, f"{split}.warc.gz", data), split_bytes=split).collect()
+        assert sorted(r.record_id for r in got) == ["0", "1", "2"]
