@@ -300,19 +300,48 @@ def unlisted(
     return errors
 
 
-def batch_errors(status: DataFrame, parsed: DataFrame, notes: DataFrame, directory: str = "wiki") -> DataFrame:
+def batch_errors(
+    status: DataFrame,
+    parsed: DataFrame,
+    notes: DataFrame,
+    directory: str = "wiki",
+    max_depth: int | None = MAX_WALK_DEPTH,
+) -> DataFrame:
     """All errors of one batch of arriving notes."""
-    return _errors(status, parsed).unionByName(unlisted(status, notes, directory, True, MAX_WALK_DEPTH, None))
+    return _errors(status, parsed).unionByName(unlisted(status, notes, directory, True, max_depth, None))
 
 
-def reindex(notes: DataFrame, as_of: Column, directory: str = "wiki") -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(pages, links, errors) built from scratch: no diff and no join, one parse of every note."""
-    listed = walk(notes, directory).withColumn("slug", normalize_slug(F.col("path")))
+def reindex(
+    notes: DataFrame,
+    as_of: Column,
+    directory: str = "wiki",
+    markdown_only: bool = True,
+    max_depth: int | None = MAX_WALK_DEPTH,
+    incomplete: DataFrame | None = None,
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(pages, links, errors) built from scratch: no diff, one parse of every note.
+
+    Slugs are unique and errors are complete as in ``sync``. Only the slugs that arrived more than once are joined to
+    the notes, broadcast up to a measured size; all other text is scanned where it is.
+    """
+    status = written(_listing(notes, directory, markdown_only, max_depth), "listing")
+    repeated = written(
+        status.where("copies > 1").select("slug", F.col("path").alias("_winner"), F.col("_new_hash").alias("_hash")), "repeated"
+    )
+    listed = walk(notes, directory, markdown_only, max_depth).withColumn("slug", normalize_slug(F.col("path")))
     fetched = listed.where(F.col("raw_content").isNotNull())
+    if not repeated.isEmpty():
+        few = if_small(repeated)
+        alone = fetched.join(few.select("slug") if few is repeated else F.broadcast(repeated.select("slug")), "slug", "left_anti")
+        won = (F.col("path") == F.col("_winner")) & (content_hash(F.col("raw_content")) == F.col("_hash"))
+        several = fetched.join(few, "slug").where(won).select(*fetched.columns)
+        fetched = alone.unionByName(first_per_key(several, ["slug"], F.col("path")))
     parsed = parse_notes(fetched).withColumns({"created_at": as_of, "updated_at": as_of})
     good = parsed.where(F.col("parse_error").isNull()).select(*PAGE_COLUMNS)
-    status = listed.select("path", F.col("raw_content").isNull().alias("fetch_failed"))
-    return good, unique_links(page_links(good)), _errors(status, parsed)
+    errors = _errors(status, parsed).unionByName(
+        unlisted(status, notes, directory, markdown_only, max_depth, incomplete)
+    )
+    return good, unique_links(page_links(good)), errors
 
 
 def clean_slugs(pages: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -376,6 +376,20 @@ UNION ALL SELECT slug || '.md', 'failed to update links for ' || slug || ': repe
 SELECT path, sha256(CASE turn WHEN 0 THEN 'replaced' WHEN 2 THEN text || '+' ELSE text END) AS value FROM c WHERE turn <> 3
 UNION ALL SELECT path || '.md', sha256('new') FROM c WHERE turn = 1
 UNION ALL SELECT 'lost/' || path, 'note does not exist: lost/' || path FROM c WHERE turn = 2""",
+        "notes_append": """WITH c AS (SELECT 'raw/' || conv_id || '/' || turn || '.md' AS path, turn, coalesce(text, '') AS text FROM conversations)
+SELECT path, sha256(CASE WHEN turn < 2 THEN 'afirstsecond' WHEN turn = 3 THEN text WHEN turn <> 5 THEN text || 'firstsecond' END) AS value FROM c
+UNION ALL SELECT path, 'no content to write: ' || path FROM c WHERE turn < 2
+UNION ALL SELECT CASE turn WHEN 3 THEN 'lost/' ELSE '' END || path, 'no content to append: ' || CASE turn WHEN 3 THEN 'lost/' ELSE '' END || path FROM c
+UNION ALL SELECT 'lost/' || path, 'note does not exist: lost/' || path FROM c WHERE turn = 3
+UNION ALL SELECT path, 'note could not be read: ' || path FROM c WHERE turn = 5""",
+        "reindex_errors": """WITH n AS (SELECT doc_id, CASE source WHEN 'src1' THEN 'wiki/a/b/c/d/e/f/g/h/i/j/k/' ELSE 'wiki/' END || doc_id || '.md' AS path,
+  coalesce(source = 'src1', false) AS deep, coalesce(source = 'src3', false) AS unread, coalesce(lang = 'de', false) AS broken FROM documents),
+a AS (SELECT *, path LIKE '%7.md' AS twice, path LIKE '%8.md' AS same FROM n)
+SELECT path AS slug, 'walk' AS stage, 'more than 10 folders deep: ' || path AS message FROM a WHERE deep
+UNION ALL SELECT path, 'walk', 'more than 10 folders deep: ' || path FROM a WHERE deep AND (twice OR same)
+UNION ALL SELECT path, 'fetch', 'failed to fetch ' || path FROM a WHERE NOT deep AND (unread OR twice)
+UNION ALL SELECT path, 'parse', 'failed to parse ' || path || ': failed to parse frontmatter for page ''wiki/' || doc_id || ''': missing opening frontmatter delimiter' FROM a WHERE NOT deep AND NOT unread AND broken
+UNION ALL SELECT left(path, length(path) - 3), 'page', 'T' || doc_id FROM a WHERE NOT deep AND NOT unread AND NOT broken""",
         "edits_validation": """WITH c AS (SELECT *, turn % 7 AS k, CASE WHEN turn % 7 IN (0, 2, 4) THEN 'raw/' ELSE 'wiki/n' END || conv_id || '-' || turn AS slug FROM conversations)
 SELECT slug, turn AS seq, CASE k WHEN 0 THEN 'applied' ELSE 'rejected' END AS status, CASE k
   WHEN 1 THEN 'frontmatter is required when creating a new page' WHEN 2 THEN 'frontmatter must not be provided for raw pages'
@@ -467,7 +481,7 @@ SELECT count(*) AS n_pages, CAST(sum(greatest(length(slug)-2,0)+greatest(length(
     out["stream_sync_pages"] = f"""WITH {SNAPSHOTS} SELECT slug, title, sha256(raw) AS content_hash FROM newer
 WHERE source <> 'src5' AND NOT contains(slug, '!')
 UNION ALL SELECT slug, title, sha256(raw) FROM older WHERE source IN ('src5', 'src7')"""
-    out["stream_sync_one_batch"] = out["stream_sync_pages"]
+    out["stream_sync_one_batch"] = out["stream_sync_compacted"] = out["stream_sync_pages"]
     out["stream_sync_errors"] = f"""WITH {SNAPSHOTS},
 bad AS (SELECT slug FROM notes WHERE lang <> 'de' AND contains(slug, '!')
   UNION ALL SELECT slug FROM newer WHERE source <> 'src5' AND contains(slug, '!'))

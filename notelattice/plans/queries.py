@@ -460,6 +460,23 @@ def repeated_links(spark, sf_dir):
     return out
 
 
+@register
+def notes_append(spark, sf_dir):
+    """Several writes to one note count in their order; what changes nothing is reported."""
+    turn = F.element_at(F.split("path", "[/.]"), -2)
+    notes = fx.raw_notes(spark, sf_dir).withColumn("turn", turn.cast("int"))
+    notes = written(notes.withColumn("raw_content", F.when(F.col("turn") != 5, F.col("raw_content"))), "notes")
+    puts = notes.where("turn < 2").select(
+        "path", F.explode(F.array(*[F.struct(F.lit(k).alias("seq"), F.lit(v).alias("raw_content")) for k, v in ((3, "a"), (2, "b"), (1, None))])).alias("p")
+    ).select("path", "p.*")
+    appends = notes.select(
+        "path", "turn", F.explode(F.array(*[F.struct(F.lit(k).alias("seq"), F.lit(v).alias("content")) for k, v in ((2, "second"), (1, "first"), (3, None))])).alias("a")
+    ).select(F.when(F.col("turn") == 3, F.concat(F.lit("lost/"), "path")).otherwise(F.col("path")).alias("path"), "a.*")
+    stored = written(N.put_notes(notes.select("path", "raw_content"), puts), "stored")
+    rows = N.append_notes(stored, appends).select("path", X.content_hash(F.col("raw_content")).alias("value"))
+    return rows.unionByName(N.write_errors(stored, puts, appends).select("path", F.col("message").alias("value")))
+
+
 @register
 def notes_store(spark, sf_dir):
     """Raw notes after a put, an append to every second of them and to some that don't exist, and a delete."""
@@ -584,6 +601,22 @@ def reindex(spark, sf_dir):
     return pages.select("slug", "title", "page_type", "content_hash", F.unix_seconds("created_at").alias("created"))
 
 
+@register
+def reindex_errors(spark, sf_dir):
+    """Every note of a listing with deep, repeated, unread and broken notes, as a page or an error of a rebuild."""
+    docs = fx.table(spark, sf_dir, "documents")
+    deep = F.when(F.col("source") == "src1", F.lit("wiki/a/b/c/d/e/f/g/h/i/j/k/")).otherwise(F.lit("wiki/"))
+    raw = F.concat(F.lit("---\npage_type: Concept\ntitle: T"), F.col("doc_id").cast("string"), F.lit("\n---\nbody\n"))
+    raw = F.when(F.col("source") == "src3", F.lit(None)).when(F.col("lang") == "de", F.lit("no frontmatter")).otherwise(raw)
+    once = docs.select(F.concat(deep, F.col("doc_id").cast("string"), F.lit(".md")).alias("path"), raw.alias("raw_content"), F.lit(1).alias("seq"))
+    unread = once.where(F.col("path").endswith("7.md")).withColumns({"raw_content": F.lit(None).cast("string"), "seq": F.lit(2)})
+    again = once.where(F.col("path").endswith("8.md"))
+    notes = written(once.unionByName(unread).unionByName(again), "notes")
+    pages, _, errors = Y.reindex(notes, F.timestamp_seconds(F.lit(fx.SYNC_TIME)))
+    shown = pages.select("slug", F.lit("page").alias("stage"), F.col("title").alias("message"))
+    return errors.select(F.col("path").alias("slug"), "stage", "message").unionByName(shown)
+
+
 @register
 def upsert_pages(spark, sf_dir):
     pages = fx.rendered_pages(spark, sf_dir)
@@ -699,6 +732,14 @@ def stream_sync_pages(spark, sf_dir):
     return _streamed(spark, sf_dir)[0].select("slug", "title", "content_hash")
 
 
+@register
+def stream_sync_compacted(spark, sf_dir):
+    """The same, with a further arrival of what is known, and the log compacted after each restart of the stream."""
+    snapshots = [fx.old_snapshot(spark, sf_dir), fx.new_snapshot(spark, sf_dir), fx.new_snapshot(spark, sf_dir)]
+    pages, _, _ = stream_sync.replay(spark, snapshots, F.timestamp_seconds(F.lit(fx.SYNC_TIME)), compacted=True)
+    return pages.select("slug", "title", "content_hash")
+
+
 @register
 def stream_sync_errors(spark, sf_dir):
     """What the same stream could not fetch or parse, once per arrival."""

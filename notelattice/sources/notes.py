@@ -71,24 +71,61 @@ def list_folders(notes: DataFrame, directory: str = ".") -> DataFrame:
     return list_dir(notes, directory).where("kind = 'folder'").select("path")
 
 
+def _in_order(rows: DataFrame, content: str) -> Column:
+    """Order of the writes to one note: by ``seq`` if there is one, then by content, so that it never changes."""
+    seq = F.col("seq").cast("long") if "seq" in rows.columns else F.lit(0).cast("long")
+    return F.struct(seq.alias("seq"), F.col(content).alias("content"))
+
+
 def put_notes(notes: DataFrame, updates: DataFrame) -> DataFrame:
-    """Write or overwrite notes by path."""
-    new = updates.select("path", F.col("raw_content").alias("_new"))
+    """Write or overwrite notes by path. Of several ``updates(path, raw_content[, seq])`` the last one stays.
+
+    An update without content changes nothing. ``write_errors`` tells of those.
+    """
+    some = updates.where(F.col("raw_content").isNotNull())
+    new = some.groupBy("path").agg(F.max(_in_order(some, "raw_content"))["content"].alias("_new"))
     return notes.join(new, "path", "full_outer").select("path", F.coalesce("_new", "raw_content").alias("raw_content"))
 
 
 def append_notes(notes: DataFrame, appends: DataFrame) -> DataFrame:
-    """Append ``appends(path, content)`` (one row per path) to existing notes. See ``missing_appends``."""
-    return notes.join(appends.select("path", "content"), "path", "left").select(
-        "path", F.concat("raw_content", F.coalesce("content", F.lit(""))).alias("raw_content")
+    """Append ``appends(path, content[, seq])`` to existing notes, those of one note in the order of ``seq``.
+
+    The contents of a note become one row before they meet it, so it stays one row. ``write_errors`` tells which
+    appends change nothing: without content, to a note that doesn't exist, or to one whose own content is missing.
+    """
+    some = appends.where(F.col("content").isNotNull())
+    joined = some.groupBy("path").agg(F.sort_array(F.collect_list(_in_order(some, "content"))).alias("_all"))
+    joined = joined.select("path", F.array_join("_all.content", "").alias("_all"))
+    return notes.join(joined, "path", "left").select(
+        "path", F.concat("raw_content", F.coalesce("_all", F.lit(""))).alias("raw_content")
     )
 
 
+def _error(rows: DataFrame, stage: str, message: str) -> DataFrame:
+    return rows.select("path", F.lit(stage).alias("stage"), F.concat(F.lit(f"{message}: "), F.col("path")).alias("message"))
+
+
 def missing_appends(notes: DataFrame, appends: DataFrame) -> DataFrame:
     """Errors ``(path, stage, message)`` of appends to notes that don't exist."""
-    return appends.select("path").distinct().join(notes.select("path"), "path", "left_anti").select(
-        "path", F.lit("append").alias("stage"), F.concat(F.lit("note does not exist: "), F.col("path")).alias("message")
-    )
+    lost = appends.select("path").distinct().join(notes.select("path"), "path", "left_anti")
+    return _error(lost, "append", "note does not exist")
+
+
+def write_errors(
+    notes: DataFrame, puts: DataFrame | None = None, appends: DataFrame | None = None
+) -> DataFrame:
+    """Errors ``(path, stage, message)`` of puts and appends that change nothing; ``notes`` as the appends meet them."""
+    errors = notes.sparkSession.createDataFrame([], "path string, stage string, message string")
+    if puts is not None:
+        errors = errors.unionByName(_error(puts.where(F.col("raw_content").isNull()), "put", "no content to write"))
+    if appends is not None:
+        unread = appends.select("path").distinct().join(notes.where(F.col("raw_content").isNull()).select("path"), "path", "left_semi")
+        errors = (
+            errors.unionByName(missing_appends(notes, appends))
+            .unionByName(_error(appends.where(F.col("content").isNull()), "append", "no content to append"))
+            .unionByName(_error(unread, "append", "note could not be read"))
+        )
+    return errors
 
 
 def delete_notes(notes: DataFrame, paths: DataFrame) -> DataFrame:

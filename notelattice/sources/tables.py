@@ -25,8 +25,10 @@ def read_version(spark: SparkSession, root: str, version: int | None = None) ->
     return spark.read.parquet(f"{root}/version={version}")
 
 
-def read_log(spark: SparkSession, root: str, below: int | None = None) -> DataFrame:
-    """All finished versions (below a bound) as one table with a ``version`` column: an append-only log."""
-    versions = [v for v in finished_versions(spark, root) if below is None or v < below]
+def read_log(spark: SparkSession, root: str, below: int | None = None, after: int | None = None) -> DataFrame:
+    """All finished versions (within bounds) as one table with a ``version`` column: an append-only log."""
+    versions = [
+        v for v in finished_versions(spark, root) if (below is None or v < below) and (after is None or v > after)
+    ]
     log = spark.read.option("basePath", root).parquet(*[f"{root}/version={v}" for v in versions])
     return log.withColumn("version", F.col("version").cast("long"))

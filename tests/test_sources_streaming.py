@@ -1,11 +1,14 @@
 import json
 
+from pyspark.sql import functions as F
+
 from helpers import at, indexed, note, notes_df
 from notelattice.schema import EDITS
 from notelattice.session import scratch_path, shared_folder
 from notelattice.sources import envelopes, notes, tables
 from notelattice.streaming import edits as stream_edits
 from notelattice.streaming import sync as stream_sync
+from notelattice.streaming import log
 from notelattice.streaming.log import current_links, current_pages
 
 
@@ -91,3 +94,57 @@ def test_stream_edits(spark):
     state = {r.slug: r for r in stream_edits.replay(spark, pages, parts, at(9)).collect()}
     assert sorted(state) == ["wiki/a", "wiki/n"]
     assert state["wiki/a"].compiled_truth == "Body 2" and state["wiki/n"].timeline_text == "t1 t2"
+
+
+def state(spark, root):
+    pages = sorted((r.slug, r.content_hash, r.title) for r in current_pages(spark, root).collect())
+    return pages, sorted(tuple(r) for r in current_links(spark, root).collect())
+
+
+def test_compaction(spark):
+    """A snapshot changes no answer, readers opened before still work, and the stream goes on behind it."""
+    root = scratch_path(spark, "log")
+    batches = [
+        {"wiki/a.md": note("A", "see [[wiki/b]]"), "wiki/b.md": note("B", "see [[wiki/a]] and [[wiki/c]]")},
+        {"wiki/a.md": note("A2", "see [[wiki/c]]"), "wiki/c.md": note("C")},
+        {"wiki/b.md": note("B3", "nothing")},
+    ]
+    for k, batch in enumerate(batches):
+        notes_df(spark, batch).withColumn("seq", F.lit(k).cast("long")).write.mode("append").parquet(f"{root}/arrivals")
+        stream = spark.readStream.schema(stream_sync.ARRIVALS).parquet(f"{root}/arrivals")
+        stream_sync.start_sync(stream, root, f"{root}/progress", at(k)).awaitTermination()
+        if k == 0:
+            assert log.compact(spark, root) is None  # the newest version may be written again
+    before = state(spark, root)
+    assert [p[2] for p in before[0]] == ["A2", "B3", "C"] and [x[:2] for x in before[1]] == [("wiki/a", "wiki/c")]
+    opened = current_pages(spark, root)
+    assert log.compact(spark, root) == 1 and log.compact(spark, root) == 1
+    assert state(spark, root) == before
+    assert sorted(r.title for r in opened.collect()) == ["A2", "B3", "C"]
+    files = {f.rsplit("/", 2)[-2] for f in current_pages(spark, root).inputFiles()}
+    assert files == {"version=1", "version=2"} and any("snapshots" in f for f in current_pages(spark, root).inputFiles())
+    # The batch of the newest version runs once more: it must not see itself.
+    assert sorted(r.slug for r in log.current_hashes(spark, root, below=2).collect()) == ["wiki/a", "wiki/b", "wiki/c"]
+    assert log.snapshot_version(spark, root, below=1) is None
+    assert log.vacuum(spark, root) == [0, 1] and log.vacuum(spark, root) == []
+    assert state(spark, root) == before
+    notes_df(spark, {"wiki/c.md": note("C4", "[[wiki/a]]")}).withColumn("seq", F.lit(9).cast("long")).write.mode("append").parquet(f"{root}/arrivals")
+    stream = spark.readStream.schema(stream_sync.ARRIVALS).parquet(f"{root}/arrivals")
+    stream_sync.start_sync(stream, root, f"{root}/progress", at(9)).awaitTermination()
+    assert log.compact(spark, root) == 2
+    assert [p[2] for p in state(spark, root)[0]] == ["A2", "B3", "C4"]
+    assert [x[:2] for x in state(spark, root)[1]] == [("wiki/a", "wiki/c"), ("wiki/c", "wiki/a")]
+
+
+def test_writes_of_one_note(spark):
+    df = notes_df(spark, {"a.md": "x", "b.md": None})
+    both = spark.createDataFrame([("a.md", 2, "2"), ("a.md", 1, "1"), ("a.md", 3, None), ("b.md", 1, "1"), ("c.md", 1, "1")], "path string, seq int, content string")
+    added = notes.append_notes(df, both)
+    assert sorted(map(tuple, added.collect())) == [("a.md", "x12"), ("b.md", None)]
+    said = sorted((r.path, r.message) for r in notes.write_errors(df, appends=both).collect())
+    assert [m[0] for m in said] == ["a.md", "b.md", "c.md"] and "not exist" in said[2][1]
+    puts = both.withColumnRenamed("content", "raw_content")
+    assert sorted(map(tuple, notes.put_notes(df, puts).collect())) == [("a.md", "2"), ("b.md", "1"), ("c.md", "1")]
+    assert [r.message for r in notes.write_errors(df, puts=puts).collect()] == ["no content to write: a.md"]
+    plain = both.drop("seq").where("content is not null")
+    assert sorted(map(tuple, notes.append_notes(df, plain).collect()))[0] == ("a.md", "x12")
