@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from notelattice.operators.lookup import orphans  # noqa: F401  (part of this module's surface)
@@ -106,6 +106,97 @@ def neighbors_of(
     return found.where("distance > 0")
 
 
+WORD_BITS = 64  # starts that share one row of a frontier
+
+
+def _numbered(starts: DataFrame) -> DataFrame:
+    """``(start, word, bit)``: WORD_BITS starts to a word. Words are filled within hashed groups, so no task numbers all."""
+    named = starts.select(F.col("slug").alias("start")).distinct()
+    groups = F.greatest(F.ceil(named.agg(F.count("*")).scalar() / 4096), F.lit(1))
+    grouped = named.withColumn("_group", F.pmod(F.xxhash64("start"), groups))
+    place = F.row_number().over(Window.partitionBy("_group").orderBy("start")) - 1
+    return grouped.withColumn("_place", place).select(
+        "start",
+        F.concat_ws(":", F.col("_group").cast("string"), F.floor(F.col("_place") / WORD_BITS).cast("string")).alias("word"),
+        (F.col("_place") % WORD_BITS).cast("int").alias("bit"),
+    )
+
+
+def packed_neighbors(
+    links: DataFrame,
+    starts: DataFrame,
+    depth: int = 1,
+    link_type: str | None = None,
+    direction: str = "out",
+    broadcast_rows: int = FRONTIER_BROADCAST_ROWS,
+) -> tuple[DataFrame, DataFrame]:
+    """Breadth-first search from many starts at once: ``(word, slug, mask, distance)`` and ``(start, word, bit)``.
+
+    A row of the frontier is a page with the starts of one word that reached it, a bit each. A step joins the edges
+    once for all of them, joins the masks with ``bit_or`` before and after the shuffle, and takes away the bits that
+    were seen. Where starts reach the same pages, rows don't grow with their number but with that of the words.
+    """
+    if direction not in DIRECTIONS:
+        raise ValueError(f"direction must be one of {', '.join(DIRECTIONS)}")
+    edges = _edges(links, direction, link_type)
+    numbers = cut_lineage(_numbered(starts))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("bit"))
+    frontier = cut_lineage(
+        numbers.groupBy("word", F.col("start").alias("slug")).agg(F.bit_or(bit).alias("mask"))
+    )
+    rounds = [frontier.withColumn("distance", F.lit(0).cast("long"))]
+    hot = None
+    for distance in range(1, depth + 1):
+        n_rows = frontier.count()
+        if n_rows == 0:
+            break
+        here = frontier.withColumnRenamed("slug", "at")
+        if n_rows <= broadcast_rows:
+            step = edges.join(F.broadcast(here), "at")
+        else:
+            hot = cut_lineage(hot_keys(edges, "at")) if hot is None else hot
+            step = salted_join(edges, here, "at", "inner", hot)
+        reached = step.groupBy("word", F.col("next").alias("slug")).agg(F.bit_or("mask").alias("mask"))
+        before = rounds[0]
+        for done in rounds[1:]:
+            before = before.unionByName(done)
+        seen = before.groupBy("word", "slug").agg(F.bit_or("mask").alias("seen"))
+        fresh = F.col("mask").bitwiseAND(F.bitwise_not(F.coalesce("seen", F.lit(0).cast("long"))))
+        frontier = reached.join(seen, ["word", "slug"], "left").select("word", "slug", fresh.alias("mask"))
+        frontier = cut_lineage(frontier.where("mask != 0"))
+        rounds.append(frontier.withColumn("distance", F.lit(distance).cast("long")))
+    found = rounds[0]
+    for done in rounds[1:]:
+        found = found.unionByName(done)
+    return found.where("distance > 0"), numbers
+
+
+def unpacked(packed: DataFrame, numbers: DataFrame) -> DataFrame:
+    """``(start, slug, distance)`` of packed neighbours. Only here is there a row for each start and page."""
+    bits = F.filter(
+        F.sequence(F.lit(0), F.lit(WORD_BITS - 1)), lambda b: F.call_function("getbit", F.col("mask"), b) == 1
+    )
+    rows = packed.select("word", "slug", "distance", F.explode(bits).alias("bit"))
+    return rows.join(numbers, ["word", "bit"]).select("start", "slug", "distance")
+
+
+def neighbors_many(
+    links: DataFrame, starts: DataFrame, depth: int = 1, link_type: str | None = None, direction: str = "out"
+) -> DataFrame:
+    """``(start, slug, distance)``, as ``neighbors_of``, for so many starts that they are searched from together."""
+    return unpacked(*packed_neighbors(links, starts, depth, link_type, direction))
+
+
+def reach_counts(packed: DataFrame, numbers: DataFrame) -> DataFrame:
+    """``(start, distance, n_pages)``: how many pages every start reaches at each distance."""
+    bits = F.filter(
+        F.sequence(F.lit(0), F.lit(WORD_BITS - 1)), lambda b: F.call_function("getbit", F.col("mask"), b) == 1
+    )
+    rows = packed.select("word", "distance", F.explode(bits).alias("bit"))
+    counts = rows.groupBy("word", "bit", "distance").agg(F.count("*").alias("n_pages"))
+    return counts.join(numbers, ["word", "bit"]).select("start", "distance", "n_pages")
+
+
 def neighbors(
     links: DataFrame, slug: str, depth: int = 1, link_type: str | None = None, direction: str = "out"
 ) -> DataFrame:

@@ -462,6 +462,15 @@ s AS (SELECT vec_id, list_dot_product(embedding::DOUBLE[], v::DOUBLE[]) / sqrt(l
   sqrt(list_dot_product(v::DOUBLE[], v::DOUBLE[])) AS similarity FROM embeddings, g WHERE vec_id <> 0)
 SELECT vec_id, round(similarity, 6) AS similarity FROM (SELECT * FROM s ORDER BY similarity DESC, vec_id LIMIT 20)""",
     }
+    many = """WITH RECURSIVE {base}, e AS ({edges}),
+b AS (SELECT 'customer/' || c_custkey AS start, 'customer/' || c_custkey AS slug, 0 AS distance FROM customer UNION
+      SELECT b.start, e.dst, b.distance + 1 FROM b JOIN e ON e.src = b.slug WHERE b.distance < {depth}),
+r AS (SELECT start, slug, min(distance)::BIGINT AS distance FROM b GROUP BY start, slug HAVING min(distance) > 0)"""
+    out["neighbors_many"] = many.format(base=GRAPH, edges=FORWARD, depth=3) + " SELECT start, slug, distance FROM r"
+    out["neighbors_reach"] = (
+        many.format(base=GRAPH, edges=f"{FORWARD} UNION ALL {BACKWARD}", depth=2)
+        + " SELECT start, distance, count(*) AS n_pages FROM r GROUP BY start, distance"
+    )
     out["search_index_batch"] = out["search_batch"]
     changed = f"""WITH {SNAPSHOTS},
 body AS (SELECT n.slug, n.title, n.truth, n.timeline_text FROM notes n JOIN todo USING (slug)

@@ -285,6 +285,23 @@ def neighbors_in(spark, sf_dir):
     return G.neighbors(written(fx.graph_links(spark, sf_dir), "links"), "region/1", depth=3, direction="in")
 
 
+def _customers(spark, sf_dir):
+    return fx.table(spark, sf_dir, "customer").select(F.concat(F.lit("customer/"), F.col("c_custkey").cast("string")).alias("slug"))
+
+
+@register
+def neighbors_many(spark, sf_dir):
+    """Everything within three out-links of each customer, all searched from together."""
+    return G.neighbors_many(written(fx.graph_links(spark, sf_dir), "links"), _customers(spark, sf_dir), depth=3)
+
+
+@register
+def neighbors_reach(spark, sf_dir):
+    """How many pages each customer reaches in one and two links of any direction."""
+    packed = G.packed_neighbors(written(fx.graph_links(spark, sf_dir), "links"), _customers(spark, sf_dir), depth=2, direction="both")
+    return G.reach_counts(*packed)
+
+
 @register
 def neighbors_both(spark, sf_dir):
     return G.neighbors(written(fx.links(spark, sf_dir), "links"), "wiki/1/1", depth=4, link_type="cites", direction="both")

@@ -78,3 +78,23 @@ def test_salted_join_equals_join(spark, how):
     assert [r._hot for r in skew.hot_keys(big, "k").collect()] == ["hot"]
     got = sorted(map(tuple, skew.salted_join(big, small, "k", how).collect()), key=str)
     assert got == sorted(map(tuple, big.join(small, "k", how).collect()), key=str)
+
+
+@pytest.mark.parametrize("broadcast_rows", [0, 1 << 30])
+@pytest.mark.parametrize("direction", ["out", "in", "both"])
+def test_many_starts_at_once(spark, direction, broadcast_rows):
+    """As one by one, on a graph with a hub, cycles, self links, unknown and repeated starts; 200 starts are 4 words."""
+    r = random.Random(7)
+    rows = {(f"p{r.randrange(220)}", f"p{r.randrange(220)}", r.choice(["plain", "cites"])) for _ in range(300)}
+    rows |= {(f"p{i}", "hub", "plain") for i in range(150)} | {("p1", "p1", "plain")}
+    links = links_df(spark, sorted(rows))
+    starts = spark.createDataFrame([(f"p{i}",) for i in range(200)] + [("p3",), ("nowhere",)], "slug string")
+    packed, numbers = G.packed_neighbors(links, starts, 3, "plain", direction, broadcast_rows)
+    got = sorted(map(tuple, G.unpacked(packed, numbers).collect()))
+    assert got == sorted(map(tuple, G.neighbors_of(links, starts, 3, "plain", direction).collect()))
+    assert packed.count() * 4 < len(got) or direction != "both"
+    counts = {(a, d): n for a, d, n in map(tuple, G.reach_counts(packed, numbers).collect())}
+    for a, _, d in got:
+        counts[a, d] -= 1
+    assert not any(counts.values())
+    assert numbers.select("word", "bit").distinct().count() == numbers.count() == 201
