@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import io
 import re
 import zipfile
@@ -85,6 +86,14 @@ def text_batches(
                 begin, held = i, 0
 
 
+def release_memory() -> None:
+    """Give what a task has freed back to the system, so that idle workers don't hold it. No result depends on it."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU C library
+    if trim is not None:
+        trim(0)
+
+
 CARRIED = "_carried"
 
 

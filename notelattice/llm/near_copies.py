@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from notelattice.llm.common import check_columns, ship, stored, text_batches, with_text
+from notelattice.llm.common import check_columns, release_memory, ship, stored, text_batches, with_text
 from notelattice.llm.components import components, merge
 from notelattice.llm.simhash import EDGES, linked, majority, named, shingle_hashes
 from notelattice.operators.skew import if_small
@@ -94,6 +94,7 @@ def confirmed(members: DataFrame, sets: DataFrame, min_jaccard: float, block_row
                 common = len(u) + len(v) - len(np.union1d(u, v))
                 hit.append(common > 0 and bool(enough(common, len(u), len(v), min_jaccard)))
             yield batch.select(["a", "b"]).filter(pa.array(hit, pa.bool_()))
+        release_memory()
 
     stars = members.where("node != lead").select(F.col("node").alias("a"), F.col("lead").alias("b")).distinct()
     # Sets too unlike in size can't be near; only the others' hashes move.
@@ -166,12 +167,14 @@ def near_copies(
                  pa.array(found, pa.list_(pa.int64()))],
                 names=[*batch.schema.names, "node", "fp", "bands"],
             )
+        release_memory()
 
     def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in text_batches(batches, "text", batch_bytes):
             found = [np.unique(shingle_hashes(t, shingle, SEED).view(np.int64)) for t in texts]
             kind, sizes = pa.list_(pa.int64()), pa.array([len(f) for f in found], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(found, kind), sizes], names=["node", "words", "size"])
+        release_memory()
 
     marked = stored(slim.mapInArrow(marks, f"{types}, node long, fp long, bands array<long>"), "marked")
     nodes = marked.groupBy("node", "fp", "bands").agg(F.min(id_col).alias("first"), F.count("*").alias("copies"))

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
-from notelattice.llm.common import check_columns, ship, stored, text_batches, with_text
+from notelattice.llm.common import check_columns, release_memory, ship, stored, text_batches, with_text
 
 #: Fixed values of the tokenizer file for which whole words may be looked up.
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -182,6 +182,7 @@ def pieces(
             names = [*keep, *made[: len(columns)]]
             yield pa.RecordBatch.from_arrays([*kept.columns, *columns], names=names)
         encoder.forget()
+        release_memory()
 
     return with_text(docs, keep, text_col).mapInArrow(cut, schema)
 
