@@ -104,3 +104,70 @@ def test_odd_documents(spark):
 def test_no_python_in_the_plan(spark):
     plan = pii.replace_pii(odd_documents(spark), "key")._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+def pii_of(spark, *texts):
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return [(r.text, r.n_entities) for r in pii.replace_pii(docs, "key").orderBy("doc_id").collect()]
+
+
+def test_people_stay_the_same_people(spark):
+    text = "Mr. John Smith met Mr. Smith. Smith said hi to Dr. Smith, SMITH and John's dog; Mr. Smith's hat. Smithy stays."
+    (one, n), (two, _), (both, _) = pii_of(
+        spark, text, "Smith and John are free words here, Mr. Brown.", "Dr. Smith saw Ms. Smith, Mr. Smith, then Smith. Dr. Lee left."
+    )
+    full, given, family = re.match(r"Mr\. ((\w+) (\w+)) met ", one).groups()
+    assert one == (
+        f"Mr. {full} met Mr. {family}. {family} said hi to Dr. {family}, {family.upper()} and {given}'s dog; Mr. {family}'s hat. Smithy stays."
+    )
+    assert n == 7 and family not in ("Smith", given) and family[-1] in "nrls"
+    assert two.startswith("Smith and John are free words here, Mr. ") and "Brown" not in two
+    doctor, woman, man, last, other = re.match(r"Dr\. (\w+) saw Ms\. (\w+), Mr\. (\w+), then (\w+)\. Dr\. (\w+) left\.", both).groups()
+    assert doctor == woman and woman[-1] == "a" and man == last == family and man[:-1] == woman[:-1]
+    assert other[:-1] != man[:-1]
+
+
+def test_what_only_looks_like_personal_data_stays(spark):
+    texts = [
+        "card 4041894974608796 or 0041894974608790",
+        "numbers 000-12-3456 666-12-3456 900-12-3456 123-00-4567 123-45-0000",
+        "DE88 3704 0044 0532 0130 00 has wrong check digits",
+        "version 1.2.3.4 and Release 10.20.30.40",
+    ]
+    assert pii_of(spark, *texts) == [(t, 0) for t in texts]
+    mixed = "card 4041894974608796, mail x.yz@abc.de"
+    (text, n) = pii_of(spark, mixed)[0]
+    assert text.startswith("card 4041894974608796, mail ") and "x.yz@abc" not in text and n == 1
+
+
+def test_check_digits_stay_right(spark):
+    text, n = pii_of(spark, "BE68 5390 0754 7034 EUR from GB82WEST12345698765432; 123-45-6789")[0]
+    belgian, british, ssn = re.match(r"(BE\d\d \d{4} \d{4} \d{4}) EUR from (GB\d\d[A-Z]{4}\d{14}); (\d{3}-\d{2}-\d{4})$", text).groups()
+    for iban in (belgian.replace(" ", ""), british):
+        assert int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97 == 1
+    assert n == 3 and not re.search(r"^(000|666|9)|-00-|-0000$", ssn)
+
+
+def test_full_address_block_ends(spark):
+    keys = spark.range(60_000).select(
+        F.lit("ip").alias("kind"),
+        F.concat_ws(".", F.lit("192.168"), F.expr("id div 250"), F.expr("id % 250 + 1")).alias("key"),
+    )
+    got = pii.surrogates(keys, "key").cache()
+    assert got.count() == 60_000 and got.select("drawn").distinct().count() == 60_000
+    assert got.join(keys.select(F.col("key").alias("drawn")), "drawn").count() == 0
+    blocks = {r.b for r in got.select(F.substring_index("drawn", ".", 1).alias("b")).distinct().collect()}
+    assert blocks == {"192", "10"}
+
+
+@pytest.mark.parametrize(("attempt", "pattern"), [(13, r"2[45]\d\.\d+\.\d+\.\d+"), (25, r"2001:db8(:[0-9a-f]{4}){6}")])
+def test_addresses_widen(spark, attempt, pattern):
+    row = spark.range(1).select(pii.drawn_key(F.lit("ip"), F.lit("8.8.8.8"), pii.hmac512("k", F.lit("x")), attempt).alias("d")).first()
+    assert re.fullmatch(pattern, row.d)
+
+
+def test_longer_numbers_are_appended(spark):
+    cases = [("phone", "(988) 555-2485", "31234567891"), ("ssn", "123-45-6789", "2345678901")]
+    rows = spark.createDataFrame(cases, "kind string, surface string, drawn string")
+    got = rows.select(pii.rendered(F.col("kind"), F.col("surface"), F.col("drawn")).alias("d")).collect()
+    assert [r.d for r in got] == ["(312) 345-67891", "234-56-78901"]
