@@ -24,6 +24,12 @@ def local_session(app: str = "notelattice", cpus: int = 8, memory: str = "8g") -
     )
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """``path`` with its scheme: one without stands in Hadoop's default file system, which need not be a local one."""
+    named = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return named.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(named).toString()
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``, made the checkpoint folder of this application.
 
@@ -35,7 +41,7 @@ def shared_folder(spark: SparkSession) -> str:
     if configured:
         if not context.getCheckpointDir():
             context.setCheckpointDir(configured)
-        return configured.rstrip("/")
+        return qualified(spark, configured).rstrip("/")
     if context.getCheckpointDir():
         return context.getCheckpointDir()
     if not context.master.startswith("local"):

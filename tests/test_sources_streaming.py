@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from helpers import at, indexed, note, notes_df
 from notelattice.schema import EDITS
-from notelattice.session import scratch_path, shared_folder
+from notelattice.session import qualified, scratch_path, shared_folder
 from notelattice.sources import envelopes, notes, tables
 from notelattice.streaming import edits as stream_edits
 from notelattice.streaming import sync as stream_sync
@@ -148,3 +148,16 @@ def test_writes_of_one_note(spark):
     assert [r.message for r in notes.write_errors(df, puts=puts).collect()] == ["no content to write: a.md"]
     plain = both.drop("seq").where("content is not null")
     assert sorted(map(tuple, notes.append_notes(df, plain).collect()))[0] == ("a.md", "x12")
+
+
+def test_folders_without_scheme_stand_in_the_default_file_system(spark):
+    conf = spark._jsc.hadoopConfiguration()
+    before = conf.get("fs.defaultFS")
+    assert qualified(spark, "/shared/x") == "file:/shared/x"
+    try:
+        conf.set("fs.defaultFS", "viewfs://cluster/")
+        conf.set("fs.viewfs.mounttable.cluster.link./shared", "file:///tmp")
+        assert qualified(spark, "/shared/x") == "viewfs://cluster/shared/x"
+        assert qualified(spark, "file:///shared/x") == "file:/shared/x"
+    finally:
+        conf.set("fs.defaultFS", before)
