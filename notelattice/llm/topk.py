@@ -1,12 +1,13 @@
 """Exact top-k by inner product: a ball tree per shard, branch and bound.
 
-Candidates are dealt to shards by a hash; every shard builds a ball tree. A block of queries walks it together: a node's
-bound for a query is q.c + |q| r, no inner product below it is larger. Nodes are visited in the order of their best
-bound, and only with the queries whose bound reaches the current kth score, which is shared by all nodes of the shard. It
-starts from what the first round found: every block of queries is scored against one bounded seed shard, whose kth
-scores are lower bounds for all other shards.
-
-Queries are a stated set and come in blocks; shard and block meet in one task, which returns at most k rows a query.
+Candidates are dealt to shards by a hash and sent once. A shard builds its ball tree when its points are there, and
+the queries then stream through it in blocks. A node's bound for a query is q.c + |q| r, no inner product below it is
+larger. Nodes are visited in the order of their best bound, and only with the queries whose bound reaches the current
+kth score, which is shared by all nodes of the shard. Shards come in waves (the first, then those up to 16, 256 and so
+on), and each wave starts from the kth scores of all waves before, which are lower bounds.
+
+Queries are a stated set and meet every shard, so queries times shards of ``shard_rows`` points are sent; a task holds one
+shard and one batch of queries, and returns at most k rows a query and shard.
 Components are whole numbers, so scores are exact: in double precision while sums stay below 2**53, in Python's
 integers beyond, held to 64 bits in the result. The order is by score, then by smaller id.
 
@@ -18,6 +19,7 @@ candidates of their own; a query doesn't meet rows of its own id, and a repeated
 from __future__ import annotations
 
 import heapq
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -29,14 +31,15 @@ from notelattice.llm.common import check_columns, ship, stored
 LEAF = 64
 EXACT = 1 << 53
 LONG = (1 << 63) - 1
+WAVE = 16  # each wave takes the shards up to WAVE times those before
 
 
-def padded(column: pd.Series) -> np.ndarray:
-    """Rows of one width. Whole numbers as doubles, or as Python integers if a sum could leave 2**53."""
-    width = max((len(v) for v in column), default=0)
+def padded(column: pd.Series, width: int | None = None) -> np.ndarray:
+    """Rows of one width, that of the longest or the given one; longer ones are cut, shorter ones filled with zeros."""
+    width = max((len(v) for v in column), default=0) if width is None else width
     out = np.zeros((len(column), width))
     for i, v in enumerate(column):
-        out[i, : len(v)] = v
+        out[i, : len(v)] = v[:width]
     return out
 
 
@@ -44,6 +47,7 @@ class BallTree:
     """Nodes in arrays: rows ``start`` to ``stop`` of the order, centre, radius and children."""
 
     def __init__(self, points: np.ndarray):
+        self.points = points
         self.order = np.arange(len(points))
         self.start, self.stop, self.centre, self.radius, self.children = [], [], [], [], []
         self._build(points, 0, len(points))
@@ -92,14 +96,10 @@ class Best:
         self.ids[rows] = np.take_along_axis(all_ids, best, 1)
 
 
-def search(
-    queries: np.ndarray, query_ids: np.ndarray, points: np.ndarray, ids: np.ndarray, k: int, floor: np.ndarray
-) -> Best:
+def search(tree: BallTree, queries: np.ndarray, query_ids: np.ndarray, ids: np.ndarray, k: int, floor: np.ndarray) -> Best:
     """Best first over the nodes of one shard, all queries of a block together."""
     best = Best(len(queries), k, floor)
-    if not len(points):
-        return best
-    tree = BallTree(points)
+    points = tree.points
     centres, radii = np.stack(tree.centre), np.array(tree.radius)
     length = np.sqrt((queries * queries).sum(axis=1))
     # Rounding of the bound is far below one unit while sums are exact.
@@ -134,6 +134,39 @@ def exact_search(queries: list, query_ids: np.ndarray, points: list, ids: np.nda
     return found
 
 
+class Shard:
+    """Points of one shard as they come in; the tree is built once, when the first queries follow."""
+
+    def __init__(self, number: int):
+        self.number = number
+        self.parts: list[pd.DataFrame] = []
+        self.tree: BallTree | None = None
+
+    def add(self, rows: pd.DataFrame) -> None:
+        if len(rows):
+            self.parts.append(rows[["id", "v"]])
+
+    def answer(self, asks: pd.DataFrame, k: int) -> pd.DataFrame:
+        """``(query_id, id, score)`` of the k best points of each query."""
+        names = ["query_id", "id", "score"]
+        if not self.parts:
+            return pd.DataFrame({c: [] for c in names}, dtype=np.int64)
+        if self.tree is None:
+            rows = pd.concat(self.parts)
+            self.parts, self.ids, self.vectors = [rows], rows["id"].to_numpy(), rows["v"]
+            self.tree = BallTree(padded(self.vectors))
+            self.largest = float(np.abs(self.tree.points).max()) if self.tree.points.size else 0.0
+        qid, width = asks["id"].to_numpy(), self.tree.points.shape[1]
+        # Components of a query beyond the longest point meet only zeros.
+        q = padded(asks["v"], width)
+        largest = max(self.largest, float(np.abs(q).max()) if q.size else 0.0)
+        if largest * largest * width >= EXACT:
+            return pd.DataFrame(exact_search(list(asks["v"]), qid, list(self.vectors), self.ids, k), columns=names)
+        best = search(self.tree, q, qid, self.ids, k, asks["floor"].to_numpy())
+        row, col = np.nonzero(best.scores > -np.inf)
+        return pd.DataFrame({"query_id": qid[row], "id": best.ids[row, col], "score": best.scores[row, col].astype(np.int64)})
+
+
 def top_k(
     vectors: DataFrame,
     queries: DataFrame,
@@ -162,45 +195,46 @@ def top_k(
         return ready.select(F.col(id_col).cast("long").alias("id"), floors.alias("v"))
 
     points, asked = stored(whole(vectors), "points"), stored(whole(queries).distinct(), "queries")
-    n_points, n_asked = points.count(), asked.count()
-    shards, blocks = max(1, -(-n_points // shard_rows)), max(1, -(-n_asked // query_rows))
-    shard = F.pmod(F.xxhash64("id", "v"), F.lit(shards)).cast("int")
-    block = F.pmod(F.xxhash64("id", "v", F.lit(1)), F.lit(blocks)).cast("int")
-    points, asked = points.withColumn("shard", shard), asked.withColumn("block", block)
-
-    def meet(rows: pd.DataFrame) -> pd.DataFrame:
-        q, p = rows[rows["asks"]], rows[~rows["asks"]]
-        names = ["query_id", "id", "score"]
-        if not len(q) or not len(p):
-            return pd.DataFrame({c: [] for c in names}, dtype=np.int64)
-        qid, pid = q["id"].to_numpy(), p["id"].to_numpy()
-        both = padded(pd.concat([q["v"], p["v"]]))
-        largest = np.abs(both).max() if both.size else 0.0
-        if largest * largest * both.shape[1] >= EXACT:
-            return pd.DataFrame(exact_search(list(q["v"]), qid, list(p["v"]), pid, k), columns=names)
-        best = search(both[: len(q)], qid, both[len(q) :], pid, k, q["floor"].to_numpy())
-        row, col = np.nonzero(best.scores > -np.inf)
-        return pd.DataFrame({"query_id": qid[row], "id": best.ids[row, col], "score": best.scores[row, col].astype(np.int64)})
+    shards = max(1, -(-points.count() // shard_rows))
+    points = points.withColumn("shard", F.pmod(F.xxhash64("id", "v"), F.lit(shards)).cast("int"))
+
+    def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        shard = None
+        for rows in batches:
+            for number, part in rows.groupby("shard", sort=True):
+                if shard is None or shard.number != number:
+                    shard = Shard(number)
+                shard.add(part[~part["asks"]])
+                asks = part[part["asks"]]
+                for begin in range(0, len(asks), query_rows):
+                    yield shard.answer(asks.iloc[begin : begin + query_rows], k)
 
     schema = "query_id long, id long, score long"
 
-    def met(some_points: DataFrame, questions: DataFrame, first: int) -> DataFrame:
-        """Shards from ``first`` on, each with every block."""
-        every_block = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-        every_shard = F.explode(F.sequence(F.lit(first), F.lit(max(first, shards - 1 if first else 0))))
-        left = some_points.select("shard", every_block.alias("block"), F.lit(False).alias("asks"), "id", "v", F.lit(float("-inf")).alias("floor"))
-        right = questions.select(every_shard.alias("shard"), "block", F.lit(True).alias("asks"), "id", "v", "floor")
-        return left.unionByName(right).groupBy("shard", "block").applyInPandas(meet, schema)
+    def met(questions: DataFrame, first: int, last: int) -> DataFrame:
+        """Shards ``first`` to ``last`` with all queries: a shard's points come first, then the queries in blocks."""
+        some = points.where(F.col("shard").between(first, last))
+        left = some.select("shard", F.lit(False).alias("asks"), "id", "v", F.lit(float("-inf")).alias("floor"))
+        every_shard = F.explode(F.sequence(F.lit(first), F.lit(last))).alias("shard")
+        right = questions.select(every_shard, F.lit(True).alias("asks"), "id", "v", "floor")
+        together = left.unionByName(right).withColumn("shard", F.col("shard").cast("int")).repartition("shard")
+        return together.sortWithinPartitions("shard", "asks").mapInPandas(meet, schema)
 
     def ranked(found: DataFrame) -> DataFrame:
         order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
         return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
-    unknown = asked.withColumn("floor", F.lit(float("-inf")))
-    seed = stored(met(points.where("shard = 0"), unknown, 0), "seed")
-    kth = ranked(seed).where(F.col("rank") == k).select(F.col("query_id").alias("id"), F.col("score").cast("double").alias("floor"))
-    found = seed
-    if shards > 1:
-        floored = asked.join(kth, "id", "left").withColumn("floor", F.coalesce("floor", F.lit(float("-inf"))))
-        found = seed.unionByName(met(points.where("shard > 0"), floored, 1))
-    return ranked(found).select("query_id", "rank", F.col("id").alias(id_col), "score")
+    unknown = F.lit(float("-inf"))
+    found, first = None, 0
+    while first < shards:
+        last = min(shards, max(1, first * WAVE)) - 1
+        if found is None:
+            questions = asked.withColumn("floor", unknown)
+        else:
+            kth = found.where(F.col("rank") == k).select(F.col("query_id").alias("id"), F.col("score").cast("double").alias("floor"))
+            questions = asked.join(kth, "id", "left").withColumn("floor", F.coalesce("floor", unknown))
+        wave = met(questions, first, last)
+        if found is not None:
+            wave = found.drop("rank").unionByName(wave)
+        found, first = stored(ranked(wave), "best"), last + 1
+    return found.select("query_id", "rank", F.col("id").alias(id_col), "score")

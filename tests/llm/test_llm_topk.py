@@ -3,6 +3,7 @@ import math
 import numpy as np
 import pytest
 
+from notelattice.llm import topk
 from notelattice.llm.topk import top_k
 
 
@@ -36,6 +37,13 @@ def test_against_brute_force(spark, rows, sizes):
     assert sorted(map(tuple, got.collect())) == brute(rows, queries, 10)
 
 
+def test_kth_scores_go_from_wave_to_wave(spark, rows, monkeypatch):
+    monkeypatch.setattr(topk, "WAVE", 2)
+    df = make(spark, rows)
+    got = top_k(df, df.where("vec_id % 100 = 0"), k=3, shard_rows=100, query_rows=4)
+    assert sorted(map(tuple, got.collect())) == brute(rows, {i for i, _ in rows if i % 100 == 0}, 3)
+
+
 def test_few_rows_and_huge_components(spark):
     rows = [(0, [1e9, -1e9]), (1, [3e8 + 0.1, 2e8]), (2, [1e-9, 5.0])]
     df = make(spark, rows)
