@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from notelattice.operators.lookup import orphans  # noqa: F401  (part of this module's surface)
 from notelattice.operators.skew import hot_keys, salted_join
-from notelattice.session import cut_lineage
+from notelattice.session import cut_lineage, written
 
 DIRECTIONS = ("out", "in", "both")
 FRONTIER_BROADCAST_ROWS = 100_000
@@ -242,6 +242,94 @@ def shared_links_batch(links: DataFrame, pairs: DataFrame) -> DataFrame:
     return first.join(second, ["slug_b", "target_slug"], "left_semi").select("slug_a", "slug_b", "target_slug")
 
 
+def target_classes(links: DataFrame, link_type: str | None = None) -> DataFrame:
+    """``(slug, representative, targets)``: pages with the same set of targets are one class, named by its first slug."""
+    edges = _of_type(links, link_type).select("source_slug", "target_slug")
+    sets = edges.groupBy(F.col("source_slug").alias("slug")).agg(F.sort_array(F.collect_set("target_slug")).alias("targets"))
+    sets = written(sets, "target-sets")
+    # Counted per set first: a class that most pages belong to is one row after the map side.
+    named = sets.groupBy("targets").agg(F.min("slug").alias("representative"), F.count("*").alias("_members"))
+    alone = named.where("_members = 1").select(F.col("representative").alias("slug"), "representative", "targets")
+    several = named.where("_members > 1").select("targets", "representative").withColumn("_set", F.sha2(F.to_json("targets"), 256))
+    members = salted_join(
+        sets.withColumn("_set", F.sha2(F.to_json("targets"), 256)).select("slug", "_set"),
+        several,
+        "_set",
+        "inner",
+    )
+    return alone.unionByName(members.select("slug", "representative", "targets"))
+
+
+def shared_link_pairs(
+    links: DataFrame,
+    min_shared: int = 2,
+    min_jaccard: float = 0.0,
+    link_type: str | None = None,
+    block_rows: int = 1024,
+) -> DataFrame:
+    """``(slug_a, slug_b, n_shared)``: all pages that share at least ``min_shared`` targets, and that part of both.
+
+    Pages with the same targets are one class: its members come as pairs with their representative (its first slug), and
+    pairs of different classes as pairs of representatives.
+
+    An exact set-similarity join. Targets are ordered by how many classes link to them, rare ones first. Two sets that
+    share enough have a target in common among the first of both (all but the last ``min_shared - 1``, fewer if
+    ``min_jaccard`` asks for more), so hubs, which come last, hardly ever make a candidate. A candidate needs enough
+    targets behind the common one in both, and a size near the other's; what is left is counted on the whole sets.
+    The pages of a target that still has more than ``block_rows`` meet block by block, each pair of blocks in its own
+    group.
+    """
+    if min_shared < 1:
+        raise ValueError("min_shared must be at least 1")
+    classes = written(target_classes(links, link_type).where(F.size("targets") >= min_shared), "classes")
+    single = classes.where("slug = representative").select("slug", "targets")
+    edges = written(
+        single.select("slug", F.size("targets").alias("size"), F.explode("targets").alias("target")), "class-edges"
+    )
+    counts = edges.groupBy("target").agg(F.count("*").alias("n")).where("n > 1")
+    ranked = salted_join(edges, counts, "target", "inner")
+    sets = written(
+        ranked.groupBy("slug", "size")
+        .agg(F.sort_array(F.collect_list(F.struct("n", "target"))).alias("_in_order"))
+        .select("slug", "size", F.col("_in_order.target").alias("targets")),
+        "sets",
+    )
+    needed = F.greatest(F.lit(min_shared), F.ceil(F.lit(min_jaccard) * F.col("size") - 1e-9)).cast("int")
+    prefixes = sets.select("slug", "size", needed.alias("needed"), F.size("targets").alias("m"), F.posexplode("targets").alias("pos", "target"))
+    prefixes = prefixes.select("slug", "size", "needed", (F.col("m") - F.col("pos")).alias("left"), "target").where("left >= needed")
+    prefixes = written(prefixes, "prefixes")
+    crowds = prefixes.groupBy("target").agg(F.count("*").alias("n")).where("n > 1")
+    blocks = crowds.select("target", F.ceil(F.col("n") / block_rows).cast("int").alias("blocks"))
+    rows = salted_join(prefixes, blocks, "target", "inner")
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("slug"), F.col("blocks")).cast("int"))
+
+    def side(name: str, cells: Column, own: str, other: str) -> DataFrame:
+        picked = rows.select("target", *[F.col(c).alias(f"{c}_{name}") for c in ("slug", "size", "needed", "left", "block")], cells.alias(other))
+        return picked.withColumn(own, F.col(f"block_{name}"))
+
+    first = side("a", F.explode(F.sequence(F.col("block"), F.col("blocks") - 1)), "low", "high")
+    second = side("b", F.explode(F.sequence(F.lit(0), F.col("block"))), "high", "low")
+    enough = F.least("left_a", "left_b") >= F.greatest("needed_a", "needed_b")
+    near = F.least("size_a", "size_b") >= F.lit(min_jaccard) * F.greatest("size_a", "size_b") - 1e-9
+    once = (F.col("block_a") < F.col("block_b")) | (F.col("slug_a") < F.col("slug_b"))
+    met = first.join(second, ["target", "low", "high"]).where(once & enough & near)
+    pairs = met.select(F.least("slug_a", "slug_b").alias("slug_a"), F.greatest("slug_a", "slug_b").alias("slug_b")).distinct()
+    pairs = written(pairs, "candidates")
+
+    def with_set(found: DataFrame, name: str) -> DataFrame:
+        own = sets.select(*[F.col(c).alias(f"{c}_{name}") for c in ("slug", "size", "targets")])
+        return salted_join(found, own, f"slug_{name}", "inner")
+
+    n_shared = F.size(F.array_intersect("targets_a", "targets_b"))
+    checked = with_set(with_set(pairs, "a"), "b").withColumn("n_shared", n_shared.cast("long"))
+    whole = F.col("size_a") + F.col("size_b") - F.col("n_shared")
+    checked = checked.where((F.col("n_shared") >= min_shared) & (F.col("n_shared") / whole >= min_jaccard))
+    same = classes.where("slug != representative").select(
+        F.col("representative").alias("slug_a"), F.col("slug").alias("slug_b"), F.size("targets").cast("long").alias("n_shared")
+    )
+    return checked.select("slug_a", "slug_b", "n_shared").unionByName(same)
+
+
 def link_view(links: DataFrame) -> DataFrame:
     """Links as result text shows them: ``Plain`` or ``Custom("type")``."""
     shown = F.when(F.col("link_type") == "plain", F.lit("Plain")).otherwise(

@@ -94,6 +94,16 @@ notes AS (SELECT *, {rendered('truth')} AS raw FROM notes1),
 valid AS (SELECT * FROM notes WHERE doc_id % 29 <> 0)
 """
 
+def shared_pairs(condition: str) -> str:
+    return f"""WITH {GRAPH}, e AS (SELECT DISTINCT source_slug AS s, target_slug AS t FROM lk),
+sets AS (SELECT s, list_sort(list(t)) AS ts FROM e GROUP BY s),
+cls AS (SELECT s, ts, len(ts) AS size, min(s) OVER (PARTITION BY ts) AS rep FROM sets),
+r AS (SELECT e.s, e.t, size FROM e JOIN cls USING (s) WHERE e.s = rep)
+SELECT a.s AS slug_a, b.s AS slug_b, count(*)::BIGINT AS n_shared FROM r a JOIN r b ON a.t = b.t AND a.s < b.s
+GROUP BY 1, 2, a.size, b.size HAVING {condition}
+UNION ALL SELECT rep, s, size::BIGINT FROM cls WHERE s <> rep AND size >= 2"""
+
+
 GRAPH = """
 lk AS MATERIALIZED (
   SELECT 'order/' || o_orderkey AS source_slug, 'customer/' || o_custkey AS target_slug, 'placed_by' AS link_type FROM orders
@@ -340,6 +350,8 @@ INTERSECT SELECT target_slug FROM lk WHERE source_slug = 'order/2'""",
   'order/' || o_orderkey AS slug_b FROM orders)
 SELECT DISTINCT slug_a, slug_b, x.target_slug FROM pr JOIN lk x ON x.source_slug = slug_a
   JOIN lk y ON y.source_slug = slug_b AND y.target_slug = x.target_slug""",
+        "shared_links_top": shared_pairs("count(*) >= 2"),
+        "shared_links_near": shared_pairs("count(*) >= 2 AND count(*) / (a.size + b.size - count(*)) >= 1 / 3"),
         "lint": f"WITH {BASE} {LINT}",
         "broken_links": f"""WITH {BASE} SELECT source_slug, target_slug, link_type FROM lk
 ANTI JOIN kb ON target_slug = slug""",

@@ -343,6 +343,18 @@ def shared_links_batch(spark, sf_dir):
     return G.shared_links_batch(fx.graph_links(spark, sf_dir), pairs)
 
 
+@register
+def shared_links_top(spark, sf_dir):
+    """All pages that share two targets and more."""
+    return G.shared_link_pairs(fx.graph_links(spark, sf_dir), min_shared=2)
+
+
+@register
+def shared_links_near(spark, sf_dir):
+    """Pages that share two targets and a third of both; small blocks, so that popular targets are cut."""
+    return G.shared_link_pairs(fx.graph_links(spark, sf_dir), min_shared=2, min_jaccard=1 / 3, block_rows=16)
+
+
 @register
 def lint(spark, sf_dir):
     return Q.lint(fx.pages(spark, sf_dir))

@@ -98,3 +98,34 @@ def test_many_starts_at_once(spark, direction, broadcast_rows):
         counts[a, d] -= 1
     assert not any(counts.values())
     assert numbers.select("word", "bit").distinct().count() == numbers.count() == 201
+
+
+@pytest.mark.parametrize("options", [{}, {"min_shared": 3}, {"min_shared": 1, "min_jaccard": 0.5}, {"block_rows": 3}, {"min_jaccard": 0.4, "block_rows": 5}])
+def test_shared_link_pairs_against_all_pairs(spark, options):
+    rng = random.Random(8)
+    edges = {(f"p{rng.randrange(70)}", f"t{int(rng.random() ** 2 * 25)}") for _ in range(330)}
+    edges |= {(f"p{i}", "hub") for i in range(70)} | {(f"copy{i}", t) for i in range(40) for t in ("hub", "t0", "t1")} | {("one", "hub")}
+    got = G.shared_link_pairs(links_df(spark, [(a, b, kind) for a, b in edges for kind in ("plain", "cites")]), **options).collect()
+    sets = {}
+    for a, b in edges:
+        sets.setdefault(a, set()).add(b)
+    need, jaccard = options.get("min_shared", 2), options.get("min_jaccard", 0.0)
+    first = {}
+    for a in sorted(sets):
+        first.setdefault(frozenset(sets[a]), a)
+    want = {(first[frozenset(v)], a, len(v)) for a, v in sets.items() if first[frozenset(v)] != a and len(v) >= need}
+    heads = sorted(first.values())
+    for i, a in enumerate(heads):
+        for b in heads[i + 1 :]:
+            n = len(sets[a] & sets[b])
+            if n >= need and n / len(sets[a] | sets[b]) >= jaccard:
+                want.add((a, b, n))
+    assert len(got) == len(want) and set(map(tuple, got)) == want
+    assert len(want) > 40
+
+
+def test_shared_link_pairs_of_nothing(spark):
+    assert G.shared_link_pairs(links_df(spark, [])).count() == 0
+    assert G.shared_link_pairs(links_df(spark, [("a", "x", "plain"), ("b", "x", "plain")])).count() == 0
+    with pytest.raises(ValueError):
+        G.shared_link_pairs(links_df(spark, []), min_shared=0)
