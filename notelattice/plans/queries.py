@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from notelattice.functions import text as X
 from notelattice.operators import batch_search as batch
 from notelattice.operators import edits as E
+from notelattice.operators import file_sync as FS
 from notelattice.operators import graph as G
 from notelattice.operators import lookup as L
 from notelattice.operators import quality as Q
@@ -24,6 +25,7 @@ from notelattice.plans import fixtures as fx
 from notelattice.schema import LINKS, PAGES
 from notelattice.session import scratch_path, written
 from notelattice.sources import envelopes as V
+from notelattice.sources import files as FI
 from notelattice.sources import notes as N
 from notelattice.sources.notes import walk
 from notelattice.sources.tables import read_version, write_version
@@ -581,6 +583,29 @@ def _small_index(spark, sf_dir, slug):
     )
 
 
+@register
+def files_sync(spark, sf_dir):
+    """Notes as files, some with names that begin with ``_``; then some are changed, renamed and removed."""
+    docs = fx.table(spark, sf_dir, "documents").select("doc_id", "lang", "source")
+    number = F.col("doc_id").cast("string")
+    name = F.concat(F.when(F.col("lang") == "en", F.lit("_")).otherwise(F.lit("n")), number, F.lit(".md"))
+    raw = F.concat(F.lit("---\npage_type: Concept\ntitle: T"), number, F.lit("\n---\nbody\n"))
+    path = F.concat(F.lit("wiki/"), F.coalesce("source", F.lit("none")), F.lit("/"), name)
+    first = docs.select("lang", number.alias("id"), path.alias("path"), raw.alias("raw_content"))
+    root = scratch_path(spark, "vault")
+    empty = spark.createDataFrame([], FI.LISTING)
+    no_pages, no_links = spark.createDataFrame([], PAGES), spark.createDataFrame([], LINKS)
+    FI.write_files(first, root)
+    _, pages, links, listing = FS.sync_files(no_pages, no_links, root, empty, F.timestamp_seconds(F.lit(fx.SYNC_TIME)))
+    pages, links = written(pages, "pages"), written(links, "links")
+    renamed = first.where("lang = 'fr'").select(F.concat(F.lit("wiki/_moved/"), F.col("id"), F.lit(".md")).alias("path"), "raw_content")
+    changed = first.where("id like '%7' and lang <> 'de'").select("path", F.concat("raw_content", F.lit("more\n")).alias("raw_content"))
+    FI.write_files(renamed.unionByName(changed), root)
+    FI.delete_files(first.where("lang in ('de', 'fr')").select("path"), root)
+    _, pages, _, _ = FS.sync_files(pages, links, root, listing, F.timestamp_seconds(F.lit(fx.SYNC_TIME + 60)))
+    return pages.select("slug", "title", F.unix_seconds("created_at").alias("created"), F.unix_seconds("updated_at").alias("updated"))
+
+
 @register
 def sync_deep_paths(spark, sf_dir):
     """One source lies deeper than a walk goes: it is reported and kept; another is gone."""

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from notelattice.functions.text import has_hidden_segment
 from notelattice.operators.lookup import list_dir
 from notelattice.schema import MAX_WALK_DEPTH
+from notelattice.sources.files import list_files, read_files
 
 
 def _relative_path(root: str) -> Column:
@@ -20,16 +21,28 @@ def _relative_path(root: str) -> Column:
     return F.substr(path, F.instr(path, base) + len(base))
 
 
-def read_notes(spark: SparkSession, root: str, markdown_only: bool = True) -> DataFrame:
-    """All notes below a folder, one row per file. Spark's lister skips names that start with ``.`` or ``_``."""
+#: What Spark's lister skips: empty files, files ``_x``, and folders ``_x`` but for ``_metadata...``; ``_x=y`` it takes.
+PASSED_OVER = r"size = 0 or path rlike r'(^|/)_[^/=]*$' or path rlike r'(^|/)_(?!metadata|common_metadata)[^/=]*/'"
+
+
+def read_notes(spark: SparkSession, root: str, markdown_only: bool = True, underscored: bool = True) -> DataFrame:
+    """All notes below a folder, one row per file; names that start with a dot are hidden.
+
+    Spark's lister also skips empty files and most names that start with ``_``; those are found and read through
+    Arrow's file systems. ``underscored=False`` leaves them out, for stores that only Spark can open.
+    """
     reader = spark.read.option("recursiveFileLookup", "true")
     if markdown_only:
         reader = reader.option("pathGlobFilter", "*.md")
-    return reader.text(root, wholetext=True).select(_relative_path(root).alias("path"), F.col("value").alias("raw_content"))
+    seen = reader.text(root, wholetext=True).select(_relative_path(root).alias("path"), F.col("value").alias("raw_content"))
+    if not underscored:
+        return seen
+    others = list_files(spark, root, markdown_only).where(PASSED_OVER)
+    return seen.unionByName(read_files(spark, root, others))
 
 
 def stream_notes(spark: SparkSession, root: str, markdown_only: bool = True) -> DataFrame:
-    """The same as a stream of files as they arrive."""
+    """A stream of files as they arrive, without names that start with ``_`` (``files.sync_files`` sees them)."""
     reader = spark.readStream.option("recursiveFileLookup", "true")
     if markdown_only:
         reader = reader.option("pathGlobFilter", "*.md")

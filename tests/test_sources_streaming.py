@@ -4,8 +4,9 @@ from pyspark.sql import functions as F
 
 from helpers import at, indexed, note, notes_df
 from notelattice.schema import EDITS
-from notelattice.session import qualified, scratch_path, shared_folder
-from notelattice.sources import envelopes, notes, tables
+from notelattice.operators import file_sync, sync
+from notelattice.session import qualified, scratch_path, shared_folder, written
+from notelattice.sources import envelopes, files, notes, tables
 from notelattice.streaming import edits as stream_edits
 from notelattice.streaming import sync as stream_sync
 from notelattice.streaming import log
@@ -25,6 +26,42 @@ def test_read_note_files(spark, tmp_path):
     assert [r.path for r in notes.list_folders(everything, "wiki").collect()] == ["wiki/sub dir"]
 
 
+def test_names_that_the_lister_skips(spark, tmp_path):
+    names = ["_x.md", "_a=b.md", "_metadata.md", "_metadata/x.md", "_f/y.md", "_k=v/z.md", "d/_f/__g/w.md", "d/a_b.md", "_f/.h/x.md", "_f/t.txt", "+ _%/_ü #.md"]
+    for name in names:
+        file = tmp_path / name
+        file.parent.mkdir(parents=True, exist_ok=True)
+        file.write_text(name)
+    (tmp_path / "empty.md").write_text("")
+    (tmp_path / "_f/bad.md").write_bytes(b"\xff!")
+    got = notes.read_notes(spark, str(tmp_path)).collect()
+    want = {n: n for n in names if n.endswith(".md") and "/." not in n} | {"empty.md": "", "_f/bad.md": "\ufffd!"}
+    assert len(got) == len(want) and {r.path: r.raw_content for r in got} == want
+    assert {r.path for r in files.list_files(spark, str(tmp_path)).collect()} == want.keys()
+
+
+def test_files_are_written_changed_and_removed(spark, tmp_path):
+    root = str(tmp_path)
+    listed = lambda: written(files.list_files(spark, root), "listing")
+    none = listed()
+    files.write_files(notes_df(spark, {"wiki/a.md": note("A"), "wiki/_b.md": note("B"), "wiki/c.md": note("C"), "wiki/d.md": None}), root)
+    pages, links, _ = sync.reindex(notes_df(spark, {}), at(1))
+    _, pages, links, before = file_sync.sync_files(pages, links, root, none, at(1))
+    assert {r.slug for r in pages.collect()} == {"wiki/a", "wiki/_b", "wiki/c"}
+    files.write_files(notes_df(spark, {"wiki/a.md": note("A new title"), "wiki/e/_c.md": note("C"), "wiki/bad.md": "x"}), root)
+    files.delete_files(notes_df(spark, {"wiki/c.md": None, "wiki/unknown.md": None}), root)
+    now = listed()
+    assert {tuple(r) for r in files.changes(before, now).collect()} == {
+        ("wiki/a.md", "changed"), ("wiki/e/_c.md", "new"), ("wiki/bad.md", "new"), ("wiki/c.md", "removed"),
+    }
+    outcome, pages, links, after = file_sync.sync_files(written(pages, "p"), written(links, "l"), root, before, at(2))
+    assert {r.slug: r.title for r in pages.collect()} == {"wiki/a": "A new title", "wiki/_b": "B", "wiki/e/_c": "C"}
+    assert [(r.path, r.stage) for r in outcome.errors.collect()] == [("wiki/bad.md", "parse")]
+    assert files.changes(after, listed()).count() == 0
+    gone = files.read_files(spark, root, spark.createDataFrame([("wiki/c.md", 0, 1)], files.LISTING))
+    assert [tuple(r) for r in gone.collect()] == [("wiki/c.md", None)]
+
+
 def test_put_append_delete(spark):
     df = notes_df(spark, {"a.md": "1", "b.md": "2"})
     put = notes.put_notes(df, notes_df(spark, {"b.md": "3", "c.md": "4"}))
