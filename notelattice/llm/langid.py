@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from notelattice.llm.common import check_columns, ship, text_batches, with_text
+from notelattice.llm.common import check_columns, release_memory, ship, text_batches, with_text
 
 UNDETERMINED = "und"
 BUCKETS = 1 << 16
@@ -241,7 +241,7 @@ def fit(
 
 
 def identify(
-    docs: DataFrame, model: Model, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), batch_bytes: int = 1 << 20
+    docs: DataFrame, model: Model, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), batch_bytes: int = 1 << 18
 ) -> DataFrame:
     """``keep`` with ``lang_pred``, ``score`` (cosine of the nearest centroid) and ``rejected``."""
     check_columns(docs, [text_col], ["lang_pred", "score", "rejected"])
@@ -256,6 +256,7 @@ def identify(
                 [*(batch.column(c) for c in keep), pa.array(labels), pa.array(scores), pa.array(out)],
                 names=[*keep, "lang_pred", "score", "rejected"],
             )
+        release_memory()
 
     schema = f"{types}, lang_pred string, score double, rejected boolean"
     return with_text(docs, keep, text_col).mapInArrow(predict, schema)
