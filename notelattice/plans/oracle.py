@@ -440,8 +440,8 @@ FROM newer WHERE source = 'src5'
 UNION ALL SELECT slug || '.md', 'parse', 'failed to parse ' || slug || '.md: ' || {INVALID} FROM newer WHERE source <> 'src5' AND contains(slug, '!')""",
         "files_sync": """WITH d AS (SELECT doc_id, lang, 'wiki/' || coalesce(source, 'none') || CASE lang WHEN 'en' THEN '/_' ELSE '/n' END || doc_id AS slug FROM documents)
 SELECT CASE lang WHEN 'fr' THEN 'wiki/_moved/' || doc_id ELSE slug END AS slug, 'T' || doc_id AS title,
-  1735689600 + CASE lang WHEN 'fr' THEN 60 ELSE 0 END AS created,
-  1735689600 + CASE WHEN lang = 'fr' OR (doc_id % 10 = 7 AND lang <> 'de') THEN 60 ELSE 0 END AS updated
+  1735689600::BIGINT + CASE lang WHEN 'fr' THEN 60 ELSE 0 END AS created,
+  1735689600::BIGINT + CASE WHEN lang = 'fr' OR (doc_id % 10 = 7 AND lang <> 'de') THEN 60 ELSE 0 END AS updated
 FROM d WHERE lang IS NULL OR lang <> 'de'""",
         "sync_deep_paths": """WITH d AS (SELECT source, CASE source WHEN 'src3' THEN 'wiki/a/b/c/d/e/f/g/h/i/j/k/' ELSE 'wiki/' END || doc_id AS slug FROM documents)
 SELECT slug, CASE source WHEN 'src3' THEN 'kept' WHEN 'src7' THEN 'removed' ELSE 'unchanged' END AS status FROM d
