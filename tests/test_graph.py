@@ -100,6 +100,24 @@ def test_many_starts_at_once(spark, direction, broadcast_rows):
     assert numbers.select("word", "bit").distinct().count() == numbers.count() == 201
 
 
+@pytest.mark.parametrize("direction", ["in", "both"])
+def test_reach_counts_hubs_once(spark, monkeypatch, direction):
+    """As page by page, with hubs among the starts, behind one another and on several ways; no frontier has starts times a hub's pages."""
+    r = random.Random(9)
+    rows = {(f"p{r.randrange(220)}", f"p{r.randrange(220)}", r.choice(["plain", "cites"])) for _ in range(260)}
+    rows |= {(f"p{i}", f"hub{i % 2}", "plain") for i in range(150)} | {("hub0", "hub1", "plain"), ("p1", "p1", "plain")}
+    links = links_df(spark, sorted(rows))
+    starts = spark.createDataFrame([(f"p{i}",) for i in range(0, 220, 2)] + [("hub0",), ("p2",), ("nowhere",)], "slug string")
+    want = {}
+    for row in G.neighbors_of(links, starts, 3, "plain", direction).collect():
+        want[row.start, row.distance] = want.get((row.start, row.distance), 0) + 1
+    sizes, whole = [], G.neighbors_of
+    monkeypatch.setattr(G, "neighbors_of", lambda *a: sizes.append((df := whole(*a)).count()) or df)
+    got = {(a, d): n for a, d, n in G.reach(links, starts, 3, "plain", direction, hub_links=20).collect()}
+    assert got == want
+    assert sum(sizes) * 2 < sum(want.values()) or direction != "both"
+
+
 @pytest.mark.parametrize("options", [{}, {"min_shared": 3}, {"min_shared": 1, "min_jaccard": 0.5}, {"block_rows": 3}, {"min_jaccard": 0.4, "block_rows": 5}])
 def test_shared_link_pairs_against_all_pairs(spark, options):
     rng = random.Random(8)
