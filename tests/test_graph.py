@@ -142,6 +142,25 @@ def test_shared_link_pairs_against_all_pairs(spark, options):
     assert len(want) > 40
 
 
+@pytest.mark.parametrize("bound", [64, 3, 0])
+def test_pairs_that_share_too_little_end_where_they_meet(spark, monkeypatch, bound):
+    """Forty pages of one target share a second one in two cases only; sets without hashes give the same result."""
+    monkeypatch.setattr(G, "REST_TARGETS", bound)
+    edges = [(f"p{i}", t) for i in range(40) for t in ("a", f"b{i}", f"c{i}")] + [("p3", "d"), ("p5", "d"), ("p5", "e"), ("p9", "e")]
+    edges += [(f"q{i}", t) for i in range(40) for t in (f"b{i}", f"c{(i + 1) % 40}")]
+    sizes, whole = {}, G.written
+
+    def counted(df, name):
+        out = whole(df, name)
+        sizes[name] = out.count()
+        return out
+
+    monkeypatch.setattr(G, "written", counted)
+    got = {tuple(r) for r in G.shared_link_pairs(links_df(spark, [(a, b, "plain") for a, b in edges])).collect()}
+    assert got == {("p3", "p5", 2), ("p5", "p9", 2)}
+    assert sizes["candidates"] == 2 or bound < 64
+
+
 def test_shared_link_pairs_of_nothing(spark):
     assert G.shared_link_pairs(links_df(spark, [])).count() == 0
     assert G.shared_link_pairs(links_df(spark, [("a", "x", "plain"), ("b", "x", "plain")])).count() == 0
