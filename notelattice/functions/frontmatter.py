@@ -17,6 +17,7 @@ CLOSING = "\n---\n"
 LIST_KEYS = ["tags", "sources"]
 NULLABLE_KEYS = ["date", "created_by"]
 SCALAR_COLUMNS = [f"_scalar_{k}" for k in FRONTMATTER_KEYS if k not in LIST_KEYS]
+RAW_COLUMNS = [*[f"_raw_{k}" for k in FRONTMATTER_KEYS], *[f"_items_{k}" for k in LIST_KEYS]]
 
 SINGLE_QUOTED = r"'((?:[^']|'')*+)'"
 DOUBLE_QUOTED = r'"((?:[^"\\]|\\.)*+)"'
@@ -127,32 +128,45 @@ def _is_null_text(text: Column) -> Column:
     return F.regexp_replace(text, r"(?:\A|[ \t]+)#.*\z", "").isin("", "~", "null", "Null", "NULL")
 
 
-def _decode_list(yaml: Column, key: str) -> Column:
-    """Items of a flow or block list; null when the value is no list of scalars."""
+def _raw_list(yaml: Column, key: str) -> Column:
+    """Texts of the items of a flow or block list; null when the value is no list."""
     flow = rf"(?md)^{key}:[ \t]*\[((?:\s*+(?:{FLOW_ITEM})?\s*+,?)*+)\][ \t]*(?:#.*)?$"
     block = rf"(?md)^{key}:[ \t]*(?:#.*)?\n((?:[ \t]*(?:-(?:[ \t].*)?|#.*)?(?:\n|\z))+)"
-    flow_items = F.transform(
-        F.regexp_extract_all(F.regexp_extract(yaml, flow, 1), F.lit(FLOW_ITEM), F.lit(0)),
-        lambda x: _decode_scalar(trim_ws(x)),
-    )
-    block_items = F.transform(
-        F.regexp_extract_all(
-            F.regexp_extract(yaml, block, 1), F.lit(r"(?md)^[ \t]*-(?:[ \t]+(.*))?$"), F.lit(1)
-        ),
-        lambda x: _decode_scalar(trim_ws(x)),
+    flow_items = F.regexp_extract_all(F.regexp_extract(yaml, flow, 1), F.lit(FLOW_ITEM), F.lit(0))
+    block_items = F.regexp_extract_all(
+        F.regexp_extract(yaml, block, 1), F.lit(r"(?md)^[ \t]*-(?:[ \t]+(.*))?$"), F.lit(1)
     )
     nothing = F.array().cast("array<string>")
-    items = (
-        F.when(yaml.rlike(flow), flow_items)
+    return (
+        F.when(~F.coalesce(_key_present(yaml, key), F.lit(False)), nothing)
+        .when(yaml.rlike(flow), flow_items)
         .when(yaml.rlike(block), block_items)
         .when(_key_text(yaml, key).rlike(r"\A(?:#.*)?\z"), nothing)
     )
-    items = F.when(~F.exists(items, lambda x: x.isNull()), items)
-    return F.when(_key_present(yaml, key), items).otherwise(nothing)
 
 
-def decode_values(yaml: Column) -> dict[str, Column]:
-    """Typed value of every key, and under ``_scalar_<key>`` what a scalar key holds (null: unreadable).
+def raw_values(yaml: Column) -> dict[str, Column]:
+    """``_raw_<key>``: what stands behind every key, null where it is missing (a list: no items). Each is searched for once."""
+    return {
+        f"_raw_{key}": _raw_list(yaml, key) if key in LIST_KEYS else F.when(_key_present(yaml, key), _key_text(yaml, key))
+        for key in FRONTMATTER_KEYS
+    }
+
+
+def read_values() -> dict[str, Column]:
+    """``_scalar_<key>`` and ``_items_<key>`` of the columns of ``raw_values``: decoded, null where unreadable."""
+    values: dict[str, Column] = {}
+    for key in FRONTMATTER_KEYS:
+        raw = F.col(f"_raw_{key}")
+        if key in LIST_KEYS:
+            values[f"_items_{key}"] = F.transform(raw, lambda x: _decode_scalar(trim_ws(x)))
+        else:
+            values[f"_scalar_{key}"] = F.when(raw.isNotNull(), _decode_scalar(raw)).otherwise(F.lit(""))
+    return values
+
+
+def decode_values() -> dict[str, Column]:
+    """Typed value of every key, from the columns of ``raw_values`` and ``read_values``.
 
     Missing keys take their defaults, unknown keys are ignored.
     """
@@ -160,14 +174,12 @@ def decode_values(yaml: Column) -> dict[str, Column]:
     values: dict[str, Column] = {}
     for key in FRONTMATTER_KEYS:
         if key in LIST_KEYS:
-            values[key] = _decode_list(yaml, key)
+            items = F.col(f"_items_{key}")
+            values[key] = F.when(~F.exists(items, lambda x: x.isNull()), items)
             continue
-        present = _key_present(yaml, key)
-        text = _key_text(yaml, key)
-        scalar = _decode_scalar(text)
-        values[f"_scalar_{key}"] = F.when(present, scalar).otherwise(F.lit(""))
+        present, scalar = F.col(f"_raw_{key}").isNotNull(), F.col(f"_scalar_{key}")
         if key in NULLABLE_KEYS:
-            values[key] = F.when(present & ~_is_null_text(text), scalar)
+            values[key] = F.when(present & ~_is_null_text(F.col(f"_raw_{key}")), scalar)
         else:
             values[key] = F.when(present, scalar).otherwise(F.lit(defaults[key]))
     return values

@@ -7,12 +7,13 @@ from pyspark.sql import functions as F
 
 from notelattice.functions.text import normalize_slug, text_from, trim_ws
 
-# A fenced block, an inline code span, or a link whose inner text is group 1. Possessive, so that long
-# texts need no deep regex stack.
+# Text up to the next backtick or bracket, then a fenced block, an inline code span, a link whose inner text is
+# group 1, or that one character. Possessive, so that long texts need no deep regex stack.
 WIKILINK = (
-    r"(?s)(?<![^\n])`{3,}[^\n]*(?:.*?\n`{3,}[^\n]*|.*\z)"
+    r"(?s)[^`\[]*+(?:(?<![^\n])`{3,}[^\n]*(?:.*?\n`{3,}[^\n]*|.*\z)"
     r"|`[^`]*(?:`|\z)"
     r"|\[\[((?:[^\[\]]++|\[(?!\[)|\](?!\]))*+)\]\]"
+    r"|.|\z)"
 )
 
 

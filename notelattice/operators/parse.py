@@ -20,9 +20,19 @@ def _split_columns() -> dict[str, Column]:
     return {"_yaml": yaml, "_body": text, "_split_error": error}
 
 
+@built_once
+def _raw_columns() -> dict[str, Column]:
+    return FM.raw_values(F.col("_yaml"))
+
+
+@built_once
+def _read_columns() -> dict[str, Column]:
+    return FM.read_values()
+
+
 @built_once
 def _value_columns() -> dict[str, Column]:
-    return FM.decode_values(F.col("_yaml"))
+    return FM.decode_values()
 
 
 @built_once
@@ -77,9 +87,9 @@ def parse_notes(notes: DataFrame) -> DataFrame:
     Purely row-wise: no shuffle.
     """
     parsed = notes
-    for columns in (_split_columns, _value_columns, _line_columns, _separator_columns, _body_columns):
+    for columns in (_split_columns, _raw_columns, _read_columns, _value_columns, _line_columns, _separator_columns, _body_columns):
         parsed = staged(parsed, columns())
-    scratch = ["_yaml", "_body", "_split_error", "_decode_error", "_lines", "_last", *FM.SCALAR_COLUMNS]
+    scratch = ["_yaml", "_body", "_split_error", "_decode_error", "_lines", "_last", *FM.SCALAR_COLUMNS, *FM.RAW_COLUMNS]
     return parsed.withColumns(_page_columns()).drop(*scratch)
 
 

@@ -245,3 +245,31 @@ def test_scalars_survive_rendering(spark):
     df = spark.createDataFrame([(v,) for v in values], "v string").withColumn("r", FM.render_scalar(F.col("v")))
     rows = df.select("v", "r", FM._decode_scalar(F.col("r")).alias("back")).collect()
     assert [(r.v, r.r) for r in rows if r.back != r.v] == []
+
+
+def test_each_key_is_searched_for_once(spark):
+    """Values are decoded from texts that an earlier step found, so no expression of a later one searches again."""
+    from notelattice.functions import frontmatter as FM
+
+    later = [*FM.read_values().values(), *FM.decode_values().values()]
+    assert not any("(?md)^" in str(c) for c in later)
+    raw = {k: str(c) for k, c in FM.raw_values(F.col("y")).items()}
+    assert all(text.count("(.*))?$") <= 2 for text in raw.values())
+
+
+def test_links_are_found_as_by_the_plain_pattern(spark):
+    """Runs of other characters are passed over whole; what is found is what a search at every character finds."""
+    import random
+
+    from notelattice.functions.wikilinks import WIKILINK, link_bodies
+
+    plain = WIKILINK.replace("[^`\\[]*+(?:", "", 1).removesuffix("|.|\\z)")
+    assert plain != WIKILINK and len(plain) < len(WIKILINK) - 10
+    r = random.Random(5)
+    parts = ["[", "[[", "]]", "]", "`", "```", "\n", "\n```", "a", "b::c", "|", "~~~", " "]
+    texts = ["".join(r.choice(parts) for _ in range(r.randrange(30))) for _ in range(3000)]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    old = F.filter(F.regexp_extract_all("t", F.lit(plain), F.lit(1)), lambda x: x != "")
+    assert df.where(F.coalesce(link_bodies(F.col("t")) != F.when(F.col("t").contains("[["), old).otherwise(F.array().cast("array<string>")), F.lit(True))).collect() == []
+    long = spark.range(1).select(F.concat(F.lit("[[a]] "), F.repeat(F.lit("x"), 3_000_000)).alias("t"))
+    assert long.select(link_bodies(F.col("t")).alias("l")).first().l == ["a"]
