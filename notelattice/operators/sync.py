@@ -129,9 +129,10 @@ def parse_changes(notes: DataFrame, status: DataFrame, broadcast_bytes: int = BR
     single = hits.where("copies = 1").drop("copies", "hash")
     if todo.where("copies > 1").isEmpty():
         return parse_notes(single)
-    # A path that arrived several times: only the arrival that won, once.
+    # A path that arrived several times: only the arrival that won, once. A slug has one path here, and by path the rows
+    # of a larger set lie together since the join, so their text isn't moved or sorted again.
     several = hits.where("copies > 1").where(content_hash(F.col("raw_content")) == F.col("hash"))
-    once = first_per_key(several.drop("copies", "hash"), ["slug"], F.col("path"))
+    once = first_per_key(several.drop("copies", "hash"), ["path"], F.col("slug"))
     return parse_notes(single.unionByName(once))
 
 

@@ -13,7 +13,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from notelattice.operators.skew import if_small
 from notelattice.schema import LINKS, PAGES
+from notelattice.session import written
 from notelattice.sources.tables import finished_versions, read_log, write_version
 
 SCHEMAS = {"pages": PAGES, "links": LINKS}
@@ -63,6 +65,19 @@ def _current(spark: SparkSession, root: str, below: int | None) -> tuple[DataFra
     )
 
 
+def _kept_pages(spark: SparkSession, root: str, below: int) -> DataFrame:
+    """The pages of ``_current``, for whole rows: superseded ones are taken out, so while these are few the text of the
+    others stays where it is. A version alone has one row per slug, so nothing of it was superseded."""
+    since = snapshot_version(spark, root, below)
+    pages = _log(spark, root, "pages", below, since)
+    behind = [v for v in finished_versions(spark, f"{root}/pages") if v < below and (since is None or v > since)]
+    if len(behind) + (since is not None) == 1:
+        return pages
+    versions = pages.groupBy("slug").agg(F.sort_array(F.collect_set("version")).alias("_all")).where(F.size("_all") > 1)
+    old = versions.select("slug", F.explode(F.slice("_all", F.lit(1), F.size("_all") - 1)).alias("version"))
+    return pages.join(if_small(written(old, "superseded")), ["slug", "version"], "left_anti")
+
+
 def current_pages(spark: SparkSession, root: str, below: int | None = None) -> DataFrame:
     """Newest row of every slug. Slugs and versions are aggregated; the text meets them in a semi join, which
     moves it if the table of slugs is too large to broadcast. Batches read ``current_hashes`` instead."""
@@ -79,9 +94,9 @@ def compact(spark: SparkSession, root: str) -> int | None:
     finished = finished_versions(spark, f"{root}/pages")[:-1]
     if not finished or snapshot_version(spark, root) == finished[-1]:
         return snapshot_version(spark, root)
-    pages, links = _current(spark, root, finished[-1] + 1)
+    _, links = _current(spark, root, finished[-1] + 1)
     write_version(links, f"{root}/snapshots/links", finished[-1])
-    write_version(pages, f"{root}/snapshots/pages", finished[-1])
+    write_version(_kept_pages(spark, root, finished[-1] + 1), f"{root}/snapshots/pages", finished[-1])
     return finished[-1]
 
 

@@ -10,6 +10,8 @@ from notelattice.sources import envelopes, files, notes, tables
 from notelattice.streaming import edits as stream_edits
 from notelattice.streaming import sync as stream_sync
 from notelattice.streaming import log
+from notelattice.sources.tables import write_version
+from notelattice.operators import sync
 from notelattice.streaming.log import current_links, current_pages
 
 
@@ -198,3 +200,20 @@ def test_folders_without_scheme_stand_in_the_default_file_system(spark):
         assert qualified(spark, "file:///shared/x") == "file:/shared/x"
     finally:
         conf.set("fs.defaultFS", before)
+
+
+def test_text_of_what_stays_is_not_moved(spark, monkeypatch):
+    """A compaction takes superseded rows out by a broadcast; arrivals of one path are combined where they were joined."""
+    root = scratch_path(spark, "log")
+    for v, slugs in enumerate((["a", "b"], ["b", "c"], ["d"])):
+        write_version(indexed(spark, {f"wiki/{s}.md": note(f"{s}{v}") for s in slugs}), f"{root}/pages", v)
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan(log._kept_pages(spark, root, 1))
+    kept = log._kept_pages(spark, root, 2)
+    assert "BroadcastHashJoin" in plan(kept) and "Exchange hashpartitioning" not in plan(kept)
+    assert sorted(r.title for r in kept.collect()) == ["a0", "b1", "c1"]
+
+    notes = notes_df(spark, {"wiki/a.md": note("A")}).withColumn("seq", F.lit(0))
+    status = sync.classify(indexed(spark, {}), notes.unionByName(notes))
+    parsed = sync.parse_changes(notes.unionByName(notes), status, broadcast_bytes=0)
+    assert plan(parsed).count("Exchange hashpartitioning(slug") == 0 and [r.title for r in parsed.collect()] == ["A"]
