@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def write_version(df: DataFrame, root: str, version: int) -> None:
+def write_version(df: DataFrame, root: str, version: int, **options: str) -> None:
     """Write one version. Repeating it (a retried batch) replaces the same folder."""
-    df.write.mode("overwrite").parquet(f"{root}/version={version}")
+    df.write.mode("overwrite").options(**options).parquet(f"{root}/version={version}")
 
 
 def finished_versions(spark: SparkSession, root: str) -> list[int]:

@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 
 from notelattice.operators.skew import if_small
 from notelattice.schema import LINKS, PAGES
-from notelattice.session import written
+from notelattice.session import TEXT_CODEC, written
 from notelattice.sources.tables import finished_versions, read_log, write_version
 
 SCHEMAS = {"pages": PAGES, "links": LINKS}
@@ -96,7 +96,7 @@ def compact(spark: SparkSession, root: str) -> int | None:
         return snapshot_version(spark, root)
     _, links = _current(spark, root, finished[-1] + 1)
     write_version(links, f"{root}/snapshots/links", finished[-1])
-    write_version(_kept_pages(spark, root, finished[-1] + 1), f"{root}/snapshots/pages", finished[-1])
+    write_version(_kept_pages(spark, root, finished[-1] + 1), f"{root}/snapshots/pages", finished[-1], **TEXT_CODEC)
     return finished[-1]
 
 

@@ -10,7 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 from notelattice.operators.parse import page_links, unique_links
 from notelattice.operators.sync import PAGE_COLUMNS, batch_errors, classify, parse_changes
 from notelattice.schema import MAX_WALK_DEPTH, NOTES
-from notelattice.session import scratch_path, written
+from notelattice.session import TEXT_CODEC, scratch_path, written
 from notelattice.sources.tables import read_log, write_version
 from notelattice.streaming.log import compact, current_hashes, current_links, current_pages, vacuum
 
@@ -37,20 +37,21 @@ def start_sync(
         spark = batch.sparkSession
         stored = current_hashes(spark, root, below=batch_id)
         # Written once: the status, the parse and the errors each read it.
-        batch = written(batch, "arrived")
+        batch = written(batch, "arrived", **TEXT_CODEC)
         status = written(classify(stored, batch, directory, removals="none", max_depth=max_depth), "status")
         parsed = written(
             parse_changes(batch, status).withColumns(
                 {"created_at": F.coalesce("created_at", as_of), "updated_at": as_of}
             ),
             "parsed",
+            **TEXT_CODEC,
         )
         upserts = parsed.where(F.col("parse_error").isNull()).select(*PAGE_COLUMNS)
         errors = batch_errors(status, parsed, batch, directory, max_depth)
         # Errors and links first: a page version that can be seen has its links.
         write_version(errors, f"{root}/errors", batch_id)
         write_version(unique_links(page_links(upserts)), f"{root}/links", batch_id)
-        write_version(upserts, f"{root}/pages", batch_id)
+        write_version(upserts, f"{root}/pages", batch_id, **TEXT_CODEC)
 
     return (
         notes.writeStream.foreachBatch(step)
@@ -69,7 +70,7 @@ def replay(
     """
     root = scratch_path(spark, "sync")
     for k, snapshot in enumerate(snapshots):
-        snapshot.withColumn("seq", F.lit(k).cast("long")).write.mode("append").parquet(f"{root}/arrivals")
+        snapshot.withColumn("seq", F.lit(k).cast("long")).write.mode("append").options(**TEXT_CODEC).parquet(f"{root}/arrivals")
         if together and k + 1 < len(snapshots):
             continue
         arrivals = spark.readStream.schema(ARRIVALS).parquet(f"{root}/arrivals")

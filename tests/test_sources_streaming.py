@@ -217,3 +217,11 @@ def test_text_of_what_stays_is_not_moved(spark, monkeypatch):
     status = sync.classify(indexed(spark, {}), notes.unionByName(notes))
     parsed = sync.parse_changes(notes.unionByName(notes), status, broadcast_bytes=0)
     assert plan(parsed).count("Exchange hashpartitioning(slug") == 0 and [r.title for r in parsed.collect()] == ["A"]
+
+
+def test_whole_texts_are_stored_small(spark):
+    root = scratch_path(spark, "log")
+    notes_df(spark, {"wiki/a.md": note("A")}).withColumn("seq", F.lit(0).cast("long")).write.parquet(f"{root}/arrivals")
+    stream = spark.readStream.schema(stream_sync.ARRIVALS).parquet(f"{root}/arrivals")
+    stream_sync.start_sync(stream, root, f"{root}/progress", at(0)).awaitTermination()
+    assert all(".zstd." in f for f in current_pages(spark, root).inputFiles())
