@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from notelattice.session import qualified, written
 
 LISTING = "path string, modified long, size long"
+BATCH_CHARS = 1 << 20  # of texts that a task hands over at once; a longer one goes alone
+MOST_FILES = 1024
 
 
 def _store(spark: SparkSession, root: str) -> Callable:
@@ -76,10 +78,11 @@ def list_files(spark: SparkSession, root: str, markdown_only: bool = True) -> Da
 
 def read_files(spark: SparkSession, root: str, listing: DataFrame) -> DataFrame:
     """``(path, raw_content)`` of listed files; null content where a file is gone by now or can't be read."""
-    opened = _store(spark, root)
+    opened, limit, most = _store(spark, root), BATCH_CHARS, MOST_FILES
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, top = opened()
+        paths, texts, total = [], [], 0
         for batch in batches:
             for path in batch.column("path").to_pylist():
                 try:
@@ -87,9 +90,16 @@ def read_files(spark: SparkSession, root: str, listing: DataFrame) -> DataFrame:
                         text = file.read().decode("utf-8", "replace")
                 except OSError:
                     text = None
-                yield pa.RecordBatch.from_pydict({"path": [path], "raw_content": pa.array([text], pa.string())})
-
-    paths = listing.select("path").repartition("path")
+                paths.append(path)
+                texts.append(text)
+                total += len(text or "")
+                if total >= limit or len(paths) >= most:
+                    yield pa.RecordBatch.from_pydict({"path": paths, "raw_content": pa.array(texts, pa.string())})
+                    paths, texts, total = [], [], 0
+        yield pa.RecordBatch.from_pydict({"path": pa.array(paths, pa.string()), "raw_content": pa.array(texts, pa.string())})
+
+    # Paths are few bytes and their files are not: without a number, Spark would put them together into few tasks.
+    paths = listing.select("path").repartition(4 * spark.sparkContext.defaultParallelism, "path")
     return paths.mapInArrow(read, "path string, raw_content string")
 
 
@@ -111,8 +121,15 @@ def _each_file(spark: SparkSession, rows: DataFrame, root: str, act: Callable) -
 def write_files(notes: DataFrame, root: str) -> DataFrame:
     """Write ``notes(path, raw_content)``, one file each, paths unique; returns the paths. Rows without content are left out."""
 
+    made: set[str] = set()  # a task's own, the latest folders it made
+
     def put(store, path: str, content: str) -> None:
-        store.create_dir(path.rpartition("/")[0], recursive=True)
+        folder = path.rpartition("/")[0]
+        if folder not in made:
+            store.create_dir(folder, recursive=True)
+            if len(made) >= 1024:
+                made.clear()
+            made.add(folder)
         with store.open_output_stream(path, compression=None) as out:
             out.write(content.encode())
 

@@ -225,3 +225,15 @@ def test_whole_texts_are_stored_small(spark):
     stream = spark.readStream.schema(stream_sync.ARRIVALS).parquet(f"{root}/arrivals")
     stream_sync.start_sync(stream, root, f"{root}/progress", at(0)).awaitTermination()
     assert all(".zstd." in f for f in current_pages(spark, root).inputFiles())
+
+
+def test_files_are_read_by_many_tasks(spark, tmp_path):
+    """Few bytes of paths are still many files: they are not put together into one task; batches hold all of them."""
+    from notelattice.sources import files as FI
+
+    rows = [(f"wiki/{i % 3}/n{i}.md", f"text {i}") for i in range(200)] + [("wiki/empty.md", "")]
+    FI.write_files(spark.createDataFrame(rows, "path string, raw_content string").repartition(2), str(tmp_path))
+    listing = FI.list_files(spark, str(tmp_path))
+    found = FI.read_files(spark, str(tmp_path), listing.unionByName(spark.createDataFrame([("gone.md", 0, 0)], FI.LISTING)))
+    assert sorted(tuple(r) for r in found.collect()) == sorted([*rows, ("gone.md", None)], key=lambda r: r[0])
+    assert found.select(F.spark_partition_id().alias("task")).distinct().count() > 1
