@@ -14,14 +14,15 @@ FENCE = r"\A(?:`{3,}[^`]*|~{3,}[^~]*)\z"
 TIMELINE_LINE = rf"(?s)\A- ([0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}){WS}(?:\[([^\]]*)\]{WS})?:(.*)\z"
 
 
-def last_separator(lines: Column) -> Column:
-    """0-based index of the last ``---`` line outside code fences, -1 when there is none.
+def last_separator(chunks: Column) -> Column:
+    """0-based index of the chunk that begins with the last ``---`` line outside code fences, -1 when there is none.
 
-    Only lines that can matter (a fence or a separator) enter the fold, so a long text without any costs
+    Only lines that can matter (a fence or a separator) begin chunks and enter the fold, so a long text without any costs
     one cheap pass.
     """
+    first_line = lambda chunk: F.ltrim(F.substring_index(chunk, "\n", 1), F.lit(WHITESPACE))
     marks = F.filter(
-        F.transform(lines, lambda line, i: F.struct(i.alias("i"), F.ltrim(line, F.lit(WHITESPACE)).alias("t"))),
+        F.transform(chunks, lambda chunk, i: F.struct(i.alias("i"), first_line(chunk).alias("t"))),
         lambda m: m["t"].startswith("---") | m["t"].startswith("```") | m["t"].startswith("~~~"),
     )
 
@@ -41,17 +42,18 @@ def last_separator(lines: Column) -> Column:
     return F.aggregate(marks, start, step)["last"]
 
 
-def split_body(body: Column, lines: Column, last: Column) -> tuple[Column, Column]:
-    """(truth, timeline lines); ``lines`` and ``last`` come from ``body_lines`` and ``last_separator``."""
-    truth = F.when(last < 0, body).otherwise(F.array_join(F.slice(lines, F.lit(1), last), "\n"))
-    section = F.when(last < 0, F.array().cast("array<string>")).otherwise(
-        F.slice(lines, last + 2, F.greatest(F.size(lines) - last - 1, F.lit(0)))
-    )
-    return trim_ws(truth), section
+def split_body(body: Column, chunks: Column, last: Column) -> tuple[Column, Column]:
+    """(truth, not yet trimmed; timeline lines); ``chunks`` and ``last`` come from ``body_chunks`` and ``last_separator``."""
+    truth = F.when(last < 0, body).otherwise(F.array_join(F.slice(chunks, F.lit(1), last), "\n"))
+    behind = F.split(F.array_join(F.slice(chunks, last + 1, F.greatest(F.size(chunks) - last, F.lit(0))), "\n"), "\n")
+    section = F.when(last < 0, F.array().cast("array<string>")).otherwise(F.slice(behind, F.lit(2), F.size(behind)))
+    return truth, section
 
 
-def body_lines(body: Column) -> Column:
-    return F.split(F.replace(body, F.lit("\r\n"), F.lit("\n")), "\n")
+def body_chunks(body: Column) -> Column:
+    """The body cut before every line that begins like a fence or a separator, so that its other lines stay together."""
+    blank = WHITESPACE.replace("\n", "")
+    return F.split(F.replace(body, F.lit("\r\n"), F.lit("\n")), rf"\n(?=[{blank}]*+(?:-{{3}}|`{{3}}|~{{3}}))")
 
 
 def parse_timeline(lines: Column) -> Column:

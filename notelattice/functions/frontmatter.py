@@ -37,13 +37,22 @@ def split_frontmatter(raw: Column) -> tuple[Column, Column, Column]:
     return F.when(error.isNull(), yaml), F.when(error.isNull(), body), error
 
 
-def _key_present(yaml: Column, key: str) -> Column:
-    return yaml.rlike(rf"(?md)^{key}:(?:[ \t]|$)")
+def found_lines(yaml: Column) -> dict[str, Column]:
+    """``_found``: the first lines of all keys in order, by one scan; ``_continued``: scalar keys that go on in a next line."""
+    keys, scalars = "|".join(FRONTMATTER_KEYS), "|".join(k for k in FRONTMATTER_KEYS if k not in LIST_KEYS)
+    return {
+        "_found": F.regexp_extract_all(yaml, F.lit(rf"(?md)^((?:{keys}):(?:[ \t].*)?)$"), F.lit(1)),
+        "_continued": F.regexp_extract_all(yaml, F.lit(rf"(?md)^({scalars}):(?=.*\n[ \t]+\S)"), F.lit(1)),
+    }
+
+
+def _lines_of(key: str) -> Column:
+    return F.filter("_found", lambda line: line.startswith(f"{key}:"))
 
 
-def _key_text(yaml: Column, key: str) -> Column:
-    """Text after ``key:`` on its line."""
-    return trim_ws(F.regexp_extract(yaml, rf"(?md)^{key}:(?:[ \t]+(.*))?$", 1))
+def _key_text(key: str) -> Column:
+    """Text after ``key:`` on its first line; null where the key is missing."""
+    return trim_ws(text_from(F.get(_lines_of(key), F.lit(0)), len(key) + 2))
 
 
 # The single-letter escapes of double-quoted YAML scalars.
@@ -109,17 +118,19 @@ def _escape(c: Column) -> Column:
 def _decode_scalar(text: Column) -> Column:
     """Value of a scalar written plain, 'single' or "double" quoted; null when it is none of these."""
     tail = r"[ \t]*(?:#.*)?\z"
-    plain = F.rtrim(F.regexp_replace(text, r"(?:\A|[ \t]+)#.*\z", ""))
+    # Long plain texts are common: what a pattern needs is looked for first.
+    comment = F.regexp_replace(text, r"(?:\A|[ \t]+)#.*\z", "")
+    plain = F.rtrim(F.when(text.contains("#"), comment).otherwise(text))
     return (
         F.when(
-            text.rlike(rf"(?s)\A{SINGLE_QUOTED}{tail}"),
+            text.startswith("'") & text.rlike(rf"(?s)\A{SINGLE_QUOTED}{tail}"),
             F.replace(F.regexp_extract(text, rf"(?s)\A{SINGLE_QUOTED}", 1), F.lit("''"), F.lit("'")),
         )
         .when(
-            text.rlike(rf"(?s)\A{DOUBLE_QUOTED}{tail}"),
+            text.startswith('"') & text.rlike(rf"(?s)\A{DOUBLE_QUOTED}{tail}"),
             _unescape(F.regexp_extract(text, rf"(?s)\A{DOUBLE_QUOTED}", 1)),
         )
-        .when(text.rlike(r"""\A[\[\]{}&*!|>'"%@`,]|\A[-?:](?:\s|\z)|:(?:\s|\z)"""), F.lit(None).cast("string"))
+        .when(text.rlike(r"""\A[\[\]{}&*!|>'"%@`,]|\A[-?](?:\s|\z)""") | (text.contains(":") & text.rlike(r":(?:\s|\z)")), F.lit(None).cast("string"))
         .otherwise(plain)
     )
 
@@ -138,17 +149,17 @@ def _raw_list(yaml: Column, key: str) -> Column:
     )
     nothing = F.array().cast("array<string>")
     return (
-        F.when(~F.coalesce(_key_present(yaml, key), F.lit(False)), nothing)
+        F.when(F.coalesce(F.size(_lines_of(key)), F.lit(0)) <= 0, nothing)
         .when(yaml.rlike(flow), flow_items)
         .when(yaml.rlike(block), block_items)
-        .when(_key_text(yaml, key).rlike(r"\A(?:#.*)?\z"), nothing)
+        .when(_key_text(key).rlike(r"\A(?:#.*)?\z"), nothing)
     )
 
 
 def raw_values(yaml: Column) -> dict[str, Column]:
-    """``_raw_<key>``: what stands behind every key, null where it is missing (a list: no items). Each is searched for once."""
+    """``_raw_<key>``: what stands behind every key, null where it is missing (a list: no items), from ``found_lines``."""
     return {
-        f"_raw_{key}": _raw_list(yaml, key) if key in LIST_KEYS else F.when(_key_present(yaml, key), _key_text(yaml, key))
+        f"_raw_{key}": _raw_list(yaml, key) if key in LIST_KEYS else _key_text(key)
         for key in FRONTMATTER_KEYS
     }
 
@@ -185,15 +196,15 @@ def decode_values() -> dict[str, Column]:
     return values
 
 
-def decode_error(yaml: Column) -> Column:
+def decode_error() -> Column:
     """Why the columns of ``decode_values`` cannot be trusted; null when they can."""
     error = F.lit(None).cast("string")
     for key in FRONTMATTER_KEYS:
-        twice = F.regexp_count(yaml, F.lit(rf"(?md)^{key}:(?:[ \t]|$)")) > 1
+        twice = F.size(_lines_of(key)) > 1
         if key in LIST_KEYS:
             bad = F.when(F.col(key).isNull(), F.lit(f"{key}: expected a list of strings"))
         else:
-            continued = yaml.rlike(rf"(?md)^{key}:.*\n[ \t]+\S")
+            continued = F.array_contains("_continued", key)
             bad = F.when(F.col(f"_scalar_{key}").isNull() | continued, F.lit(f"{key}: unsupported scalar"))
         error = F.coalesce(error, F.when(twice, F.lit(f"duplicate field `{key}`")), bad)
         if key == "page_type":
@@ -211,13 +222,14 @@ def bad_page_type(value: Column) -> Column:
 
 def render_scalar(c: Column) -> Column:
     """A YAML scalar: plain where that is unambiguous, else quoted."""
+    # Two branches at every position; all that can only stand at the beginning is one of them.
     not_plain = (
-        r"\A(?:---|\.\.\.|[#,\[\]{}&*!|>'\"%@`]|[-?:](?:\s|\z))"
-        r"|:(?:\s|\z)|\s#|\A\s|\s\z|\A\z"
-        r"|\A(?:~|null|Null|NULL|true|True|TRUE|false|False|FALSE)\z"
-        r"|\A[-+]?(?:\.[0-9]+|[0-9]+(?:\.[0-9]*)?)(?:[eE][-+]?[0-9]+)?\z"
-        r"|\A[-+]?0(?:x[0-9a-fA-F]+|o[0-7]+|b[01]+)\z"
-        r"|\A[-+]?\.(?:inf|Inf|INF)\z|\A\.(?:nan|NaN|NAN)\z"
+        r"\A(?:---|\.\.\.|[#,\[\]{}&*!|>'\"%@`]|[-?:](?:\s|\z)|\s|\z"
+        r"|(?:~|null|Null|NULL|true|True|TRUE|false|False|FALSE)\z"
+        r"|[-+]?(?:\.[0-9]+|[0-9]+(?:\.[0-9]*)?)(?:[eE][-+]?[0-9]+)?\z"
+        r"|[-+]?0(?:x[0-9a-fA-F]+|o[0-7]+|b[01]+)\z"
+        r"|[-+]?\.(?:inf|Inf|INF)\z|\.(?:nan|NaN|NAN)\z)"
+        r"|[:\s](?:(?<=:)(?:\s|\z)|(?<=\s)(?:#|\z))"
     )
     return (
         F.when(c.rlike(CONTROL), F.concat(F.lit('"'), _escape(c), F.lit('"')))

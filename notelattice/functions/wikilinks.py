@@ -25,22 +25,44 @@ def link_bodies(text: Column) -> Column:
     )
 
 
-def parse_link(inner: Column) -> Column:
-    """Struct (target_slug, link_type, context_snippet); a null target marks a malformed link."""
-    inner = trim_ws(inner)
-    bar = F.instr(inner, "|")
-    body = trim_ws(F.when(bar > 0, F.substring(inner, F.lit(1), bar - 1)).otherwise(inner))
-    display = F.when(bar > 0, trim_ws(text_from(inner, bar + 1)))
-    colons = F.instr(body, "::")
-    kind = F.when(colons > 0, trim_ws(F.substring(body, F.lit(1), colons - 1))).otherwise(F.lit("plain"))
-    target = F.when(colons > 0, trim_ws(text_from(body, colons + 2))).otherwise(body)
-    return F.struct(
-        F.when((target != "") & (kind != ""), normalize_slug(target)).alias("target_slug"),
-        kind.alias("link_type"),
-        F.when(display != "", display).alias("context_snippet"),
-    )
+def parse_links(inner: Column) -> Column:
+    """Structs (target_slug, link_type, context_snippet) of inner texts; a null target marks a malformed link.
+
+    Step by step, because what a function of an array refers to twice is computed twice.
+    """
+
+    def halves(text: Column) -> Column:
+        bar = F.instr(text, "|")
+        return F.struct(
+            F.when(bar > 0, F.substring(text, F.lit(1), bar - 1)).otherwise(text).alias("body"),
+            F.when(bar > 0, text_from(text, bar + 1)).alias("display"),
+        )
+
+    def trimmed(link: Column) -> Column:
+        return F.struct(trim_ws(link["body"]).alias("body"), trim_ws(link["display"]).alias("display"))
+
+    def parts(link: Column) -> Column:
+        body = link["body"]
+        colons = F.instr(body, "::")
+        return F.struct(
+            F.when(colons > 0, trim_ws(F.substring(body, F.lit(1), colons - 1))).otherwise(F.lit("plain")).alias("kind"),
+            F.when(colons > 0, trim_ws(text_from(body, colons + 2))).otherwise(body).alias("target"),
+            link["display"].alias("display"),
+        )
+
+    def parsed(link: Column) -> Column:
+        kind, target, display = link["kind"], link["target"], link["display"]
+        return F.struct(
+            F.when((target != "") & (kind != ""), normalize_slug(target)).alias("target_slug"),
+            kind.alias("link_type"),
+            F.when(display != "", display).alias("context_snippet"),
+        )
+
+    for step in (trim_ws, halves, trimmed, parts, parsed):
+        inner = F.transform(inner, step)
+    return inner
 
 
 def extract_links(text: Column) -> Column:
     """Array of parsed links of a text, in order; code spans and malformed links left out."""
-    return F.filter(F.transform(link_bodies(text), parse_link), lambda x: x["target_slug"].isNotNull())
+    return F.filter(parse_links(link_bodies(text)), lambda x: x["target_slug"].isNotNull())

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from notelattice.functions import body as B
 from notelattice.functions import frontmatter as FM
 from notelattice.functions.stage import built_once, staged
-from notelattice.functions.text import content_hash, slug_error
+from notelattice.functions.text import content_hash, slug_error, trim_long
 from notelattice.functions.wikilinks import extract_links
 from notelattice.operators.skew import first_per_key
 from notelattice.schema import FRONTMATTER_KEYS, LINKS
@@ -20,6 +20,11 @@ def _split_columns() -> dict[str, Column]:
     return {"_yaml": yaml, "_body": text, "_split_error": error}
 
 
+@built_once
+def _found_columns() -> dict[str, Column]:
+    return FM.found_lines(F.col("_yaml"))
+
+
 @built_once
 def _raw_columns() -> dict[str, Column]:
     return FM.raw_values(F.col("_yaml"))
@@ -36,19 +41,19 @@ def _value_columns() -> dict[str, Column]:
 
 
 @built_once
-def _line_columns() -> dict[str, Column]:
-    return {"_decode_error": FM.decode_error(F.col("_yaml")), "_lines": B.body_lines(F.col("_body"))}
+def _chunk_columns() -> dict[str, Column]:
+    return {"_decode_error": FM.decode_error(), "_chunks": B.body_chunks(F.col("_body"))}
 
 
 @built_once
 def _separator_columns() -> dict[str, Column]:
-    return {"_last": B.last_separator(F.col("_lines"))}
+    return {"_last": B.last_separator(F.col("_chunks"))}
 
 
 @built_once
 def _body_columns() -> dict[str, Column]:
-    truth, section = B.split_body(F.col("_body"), F.col("_lines"), F.col("_last"))
-    return {"compiled_truth": truth, "timeline": B.parse_timeline(section)}
+    truth, section = B.split_body(F.col("_body"), F.col("_chunks"), F.col("_last"))
+    return {"_truth": truth, "timeline": B.parse_timeline(section)}
 
 
 @built_once
@@ -63,6 +68,7 @@ def _page_columns() -> dict[str, Column]:
         ),
     )
     return {
+        "compiled_truth": trim_long(F.col("_truth")),
         "timeline_text": B.timeline_text(F.col("timeline")),
         "content_hash": content_hash(F.col("raw_content")),
         "vault": F.lit(""),
@@ -87,9 +93,10 @@ def parse_notes(notes: DataFrame) -> DataFrame:
     Purely row-wise: no shuffle.
     """
     parsed = notes
-    for columns in (_split_columns, _raw_columns, _read_columns, _value_columns, _line_columns, _separator_columns, _body_columns):
+    steps = (_split_columns, _found_columns, _raw_columns, _read_columns, _value_columns, _chunk_columns, _separator_columns, _body_columns)
+    for columns in steps:
         parsed = staged(parsed, columns())
-    scratch = ["_yaml", "_body", "_split_error", "_decode_error", "_lines", "_last", *FM.SCALAR_COLUMNS, *FM.RAW_COLUMNS]
+    scratch = ["_yaml", "_found", "_continued", "_body", "_split_error", "_decode_error", "_chunks", "_truth", "_last", *FM.SCALAR_COLUMNS, *FM.RAW_COLUMNS]
     return parsed.withColumns(_page_columns()).drop(*scratch)
 
 

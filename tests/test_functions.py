@@ -273,3 +273,44 @@ def test_links_are_found_as_by_the_plain_pattern(spark):
     assert df.where(F.coalesce(link_bodies(F.col("t")) != F.when(F.col("t").contains("[["), old).otherwise(F.array().cast("array<string>")), F.lit(True))).collect() == []
     long = spark.range(1).select(F.concat(F.lit("[[a]] "), F.repeat(F.lit("x"), 3_000_000)).alias("t"))
     assert long.select(link_bodies(F.col("t")).alias("l")).first().l == ["a"]
+
+
+def test_links_and_texts_are_trimmed_once(spark):
+    """A link's parts are named step by step, the end of a long text is looked at before it is trimmed; same results."""
+    from notelattice.functions.text import trim_long, trim_ws
+    from notelattice.functions.wikilinks import parse_links
+    from notelattice.operators import parse
+    from notelattice.schema import WHITESPACE
+
+    assert str(parse_links(F.col("found"))).count("trim(") <= 8
+    assert not any("compiled_truth" in c for c in parse._body_columns())
+    r = random.Random(7)
+    parts = [*WHITESPACE, "a", "é", "測", "😀", "​", "\x00", "﻿"]
+    texts = ["".join(r.choices(parts, k=r.randrange(6))) for _ in range(2000)] + [None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert df.where(~trim_long(F.col("t")).eqNullSafe(trim_ws(F.col("t")))).collect() == []
+    inner = [" a | b ", "k :: t.md", "|x", "::", "a::", " ::b", "a|", "a::b::c|d|e", "", " a.md "]
+    got = spark.createDataFrame([(inner,)], "found array<string>").select(parse_links(F.col("found")).alias("l")).first().l
+    assert [tuple(x) for x in got] == [
+        ("a", "plain", "b"), ("t", "k", None), (None, "plain", "x"), (None, "", None), (None, "a", None), (None, "", None),
+        ("a", "plain", None), ("b::c", "a", "d|e"), (None, "plain", None), ("a", "plain", None),
+    ]
+
+
+def test_body_is_cut_at_marks_alone(spark):
+    """Only lines that may be fences or separators are strings of their own; truth and timeline are as by lines."""
+    from notelattice.functions import body as B
+
+    r = random.Random(3)
+    parts = ["\n", "\r\n", "---", "--- ", "  ---", "```", "~~~", "````", "a", "- 2024-01-02: x", " ", "\n---\n", "\r", "--"]
+    texts = ["".join(r.choices(parts, k=r.randrange(14))) for _ in range(1500)]
+    df = spark.createDataFrame([(t,) for t in texts], "b string").withColumn("c", B.body_chunks(F.col("b")))
+    df = df.withColumn("last", B.last_separator(F.col("c")))
+    truth, section = B.split_body(F.col("b"), F.col("c"), F.col("last"))
+    lines = F.split(F.replace("b", F.lit("\r\n"), F.lit("\n")), "\n")
+    by_line = df.withColumns({"truth": truth, "section": section, "lines": lines}).withColumn("n", B.last_separator(F.col("lines")))
+    want_truth = F.when(F.col("n") < 0, F.col("b")).otherwise(F.array_join(F.slice("lines", F.lit(1), F.col("n")), "\n"))
+    want = F.when(F.col("n") < 0, F.array().cast("array<string>")).otherwise(F.slice("lines", F.col("n") + 2, F.size("lines")))
+    assert by_line.where(~(F.col("truth").eqNullSafe(want_truth) & F.col("section").eqNullSafe(want))).collect() == []
+    long = spark.createDataFrame([("one\ntwo\n" * 50 + "---\n",)], "b string").select(F.size(B.body_chunks(F.col("b"))).alias("n"))
+    assert long.first().n == 2
