@@ -166,3 +166,16 @@ def test_shared_link_pairs_of_nothing(spark):
     assert G.shared_link_pairs(links_df(spark, [("a", "x", "plain"), ("b", "x", "plain")])).count() == 0
     with pytest.raises(ValueError):
         G.shared_link_pairs(links_df(spark, []), min_shared=0)
+
+
+def test_links_of_pairs_are_shuffled_once(spark):
+    """One row per page holds its targets; pairs with a page of very many pairs, copies and nulls give the same."""
+    links = links_df(spark, [(f"p{i}", f"t{(i + k) % 7}", "plain") for i in range(60) for k in range(3)] * 2 + [("p1", None, "plain"), ("p2", None, "cites")])
+    pairs = spark.createDataFrame([("p0", f"p{i}") for i in range(60)] * 2 + [("p1", "p2"), ("p3", "none"), (None, "p1"), ("p5", "p5")], "slug_a string, slug_b string")
+    found = G.shared_links_batch(links, pairs)
+    own = {f"p{i}": {f"t{(i + k) % 7}" for k in range(3)} for i in range(60)}
+    asked = {(r.slug_a, r.slug_b) for r in pairs.collect()}
+    want = sorted((a, b, t) for a, b in asked for t in own.get(a, set()) & own.get(b, set()))
+    assert sorted(tuple(r) for r in found.collect()) == want
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_set" in plan and "LeftSemi" not in plan
