@@ -11,7 +11,7 @@ from notelattice.functions.text import content_hash, is_raw_path, normalize_slug
 from notelattice.operators.parse import page_links, parse_notes, repeated_link_sources, unique_links
 from notelattice.operators.skew import BROADCAST_BYTES, first_per_key, if_small, salted_join
 from notelattice.schema import LINKS, MAX_WALK_DEPTH, PAGES
-from notelattice.session import written
+from notelattice.session import TEXT_CODEC, written
 from notelattice.sources.notes import delete_notes, too_deep, walk
 
 REMOVALS = ("all", "scoped", "none")
@@ -207,6 +207,7 @@ def sync(
             {"created_at": F.coalesce("created_at", as_of), "updated_at": as_of}
         ),
         "parsed",
+        **TEXT_CODEC,
     )
     upserts = parsed.where(F.col("parse_error").isNull()).select(*PAGE_COLUMNS)
     removed = status.where("status = 'removed'").select("slug")
