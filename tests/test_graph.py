@@ -3,6 +3,8 @@ import random
 import pytest
 
 from helpers import links_df, pages_df
+from pyspark.sql import functions as F
+
 from notelattice.operators import graph as G
 from notelattice.operators import lookup as L
 from notelattice.operators import skew
@@ -179,3 +181,36 @@ def test_links_of_pairs_are_shuffled_once(spark):
     assert sorted(tuple(r) for r in found.collect()) == want
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert "collect_set" in plan and "LeftSemi" not in plan
+
+
+def test_rows_of_a_target_are_shuffled_once_for_both_sides(spark, monkeypatch):
+    """Sides of the pairs are the same rows; neither these nor the edges of the classes are written."""
+    links = links_df(spark, [(f"p{i}", f"t{(i * k) % 23}", "plain") for i in range(80) for k in range(1, 5)])
+    plans, whole = {}, G.written
+
+    def seen(df, name):
+        df.collect()  # the plan is final then
+        plans[name] = df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+        return whole(df, name)
+
+    monkeypatch.setattr(G, "written", seen)
+    for threshold in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"):
+        spark.conf.set(threshold, "-1")
+    try:
+        got = G.shared_link_pairs(links, min_shared=2, block_rows=3).count()
+    finally:
+        for threshold in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"):
+            spark.conf.unset(threshold)
+    assert got == G.shared_link_pairs(links, min_shared=2).count() > 50
+    assert len([x for x in plans["candidates"].splitlines() if " Exchange hashpartitioning(target" in x and "low" in x and "high" in x]) == 1
+    assert not {"prefixes", "class-edges", "classes"} & set(plans)
+
+
+def test_maybe_in_loses_nothing(spark, monkeypatch):
+    rows = spark.range(5000).select(F.col("id").cast("string").alias("slug"), "id")
+    keys = rows.where("id % 7 = 0").select("slug")
+    found = {r.id for r in skew.maybe_in(rows, "slug", keys.unionByName(keys)).collect()}
+    assert found >= set(range(0, 5000, 7)) and len(found) < 730
+    monkeypatch.setattr(skew, "HASH_BITS", 64)
+    assert {r.id for r in skew.maybe_in(rows, "slug", keys).collect()} == set(range(5000))
+    assert skew.maybe_in(rows, "slug", keys.limit(0)).count() == 0
