@@ -214,3 +214,24 @@ def test_maybe_in_loses_nothing(spark, monkeypatch):
     monkeypatch.setattr(skew, "HASH_BITS", 64)
     assert {r.id for r in skew.maybe_in(rows, "slug", keys).collect()} == set(range(5000))
     assert skew.maybe_in(rows, "slug", keys.limit(0)).count() == 0
+
+
+def test_reach_stores_a_link_once(spark, monkeypatch):
+    """Both directions are read from one table of links, repeated ones included; few hubs need no second table."""
+    edges = [(f"p{i}", f"q{i % 40}") for i in range(200)] + [(f"p{i}", "hub") for i in range(0, 200, 3)] + [("hub", "top"), ("p1", "p1"), ("p2", None)]
+    links = links_df(spark, [(a, b, kind) for a, b in edges for kind in ("plain", "cites")])
+    starts = spark.createDataFrame([(f"p{i}",) for i in range(50)] + [("hub",), ("nowhere",)], "slug string")
+    sizes, whole = {}, G.written
+
+    def counted(df, name):
+        out = whole(df, name)
+        sizes[name] = max(sizes.get(name, 0), out.count())
+        return out
+
+    monkeypatch.setattr(G, "written", counted)
+    for broadcast_rows in (0, 100_000):
+        monkeypatch.setattr(G, "FRONTIER_BROADCAST_ROWS", broadcast_rows)
+        got = G.reach(links, starts, depth=3, direction="both", hub_links=10).collect()
+        want = G.reach_counts(*G.packed_neighbors(links, starts, 3, direction="both")).collect()
+        assert sorted(map(tuple, got)) == sorted(map(tuple, want)) and len(got) > 100
+    assert sizes["edges"] == 2 * len(edges) and not {"light-steps", "near-pages"} & set(sizes)
